@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalspark.functions.dates import days_before, week_start
 from vitalspark.functions.numbers import mean_rounded, one_rep_max, round_to_int
 from vitalspark.operators.history import page_rows
-from vitalspark.skew import join_optional, split_documents
+from vitalspark.skew import DOCUMENT_ROWS, join_optional, split_documents
 
 Tables = Mapping[str, DataFrame]
 USER = ("user_id",)
@@ -110,13 +110,18 @@ def valid_weight(df: DataFrame, *, positive: bool = False) -> DataFrame:
     return df.filter(rule & (F.col("weight_lbs") > 0) if positive else rule)
 
 
+def _name_key(name: Column) -> Column:
+    """Exercise in lower case; never null, so that no join filters the sets beneath it."""
+    return F.coalesce(F.lower(name), F.lit("\u0000"))
+
+
 def reps_at_weight(lifted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reps of the latest set per (keys, exercise in any case, weight), over all machines."""
     latest = F.struct("session_date", "session_id", "set_number", "reps", "gym_equipment_id")
     return (
         lifted.groupBy(
             *[F.col(k).alias(f"_top_{k}") for k in keys],
-            F.lower("exercise_name").alias("_top_name"),
+            _name_key(F.col("exercise_name")).alias("_top_name"),
             F.col("weight_lbs").alias("_top_weight"),
         )
         .agg(F.max(latest).alias("_latest"))
@@ -138,6 +143,8 @@ def personal_records(
         *keys, "exercise_name", "gym_equipment_id", "session_date", "session_id", "set_number",
         "reps", "weight_lbs",
     )
+    if keys:
+        lifted = lifted.dropna(subset=list(keys))
     daily = lifted.groupBy(*keys, "exercise_name", "gym_equipment_id", "session_date").agg(
         F.max("weight_lbs").alias("_weight"),
         F.max(one_rep_max(F.col("weight_lbs"), F.col("reps"))).alias("_one_rep"),
@@ -160,15 +167,16 @@ def personal_records(
         F.min("session_date").cast("string").alias("first_performed"),
     )
     top = reps_at_weight(lifted, keys)
-    on = (F.lower("exercise_name") == F.col("_top_name")) & (
+    on = (_name_key(F.col("exercise_name")) == F.col("_top_name")) & (
         F.col("max_weight_lbs") == F.col("_top_weight")
     )
     for k in keys:
         on = on & (F.col(k) == F.col(f"_top_{k}"))
     return records.join(top, on, "left").select(
         *keys, "exercise_name", "equipment_name", "equipment_brand", "equipment_type",
-        "gym_name", "max_weight_lbs", "estimated_1rm", "reps_at_max", "session_count",
-        "total_sets", "last_performed", "first_performed",
+        "gym_name", "max_weight_lbs", "estimated_1rm",
+        F.when(F.col("exercise_name").isNotNull(), F.col("reps_at_max")).alias("reps_at_max"),
+        "session_count", "total_sets", "last_performed", "first_performed",
     )
 
 
@@ -182,6 +190,10 @@ def optional_equipment_filter(sets: DataFrame, machine_id=None) -> DataFrame:
     return sets if machine_id is None else sets.filter(F.col("gym_equipment_id") == machine_id)
 
 
+# Order of the sets of one day; the first also gives the day's header.
+SET_ORDER = ("set_number", "session_id", "reps", "weight_lbs", "rpe", "gym_equipment_id")
+
+
 def last_performance_rows(
     t: Tables, *, keys: Sequence[str] = USER, per_machine: bool = False, machine_id=None
 ) -> DataFrame:
@@ -199,38 +211,39 @@ def last_performance_rows(
         by.append("gym_equipment_id")
     newest = F.rank().over(Window.partitionBy(*by).orderBy(F.col("session_date").desc()))
     latest = sets.withColumn("_rank", newest).filter(F.col("_rank") == 1)
+    # same partitioning as the rank: numbering the day's sets costs no shuffle
+    latest = latest.withColumn(
+        "place", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c) for c in SET_ORDER]))
+    )
     return join_optional(
         latest, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
     ).select(
         *keys, "exercise_key", "gym_equipment_id", "session_id", "session_date", "workout_name",
         "equipment_name", "equipment_brand", "gym_name", "set_number", "reps", "weight_lbs", "rpe",
+        "place",
     )
 
 
 HEADER = ("session_date", "workout_name", "equipment_name", "equipment_brand", "gym_name")
 
 
-def _first_set(column: str) -> Column:
-    order = F.struct("set_number", "session_id", "reps", "weight_lbs", "rpe", "gym_equipment_id")
-    return F.min_by(column, order).alias(column)
-
-
-def nest_sets(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def nest_sets(rows: DataFrame, by: Sequence[str], limit: int = DOCUMENT_ROWS) -> DataFrame:
     """Rows of ``last_performance_rows`` as header plus an ordered list of sets.
 
-    The header is that of the lowest set number, then session. More sets than one
-    document should hold come as further rows with ``part`` above 0.
+    The header is that of the first set. A document holds ``limit`` sets; further sets
+    follow as rows with ``part`` 1, 2, ..., each continuing the list.
     """
-    parted = split_documents(rows, by, ["session_id", "set_number", "reps", "weight_lbs", "rpe"])
-    one_set = F.struct("set_number", "session_id", "reps", "weight_lbs", "rpe")
+    part = F.floor((F.col("place") - 1) / limit).cast("int").alias("part")
     shown = F.transform(
-        F.sort_array(F.collect_list(one_set)),
+        F.sort_array(F.collect_list(F.struct("place", "set_number", "reps", "weight_lbs", "rpe"))),
         lambda s: F.struct(
             s["set_number"].alias("set_number"), s["reps"].alias("reps"),
             s["weight_lbs"].alias("weight_lbs"), s["rpe"].alias("rpe"),
         ),
     )
-    return parted.groupBy(*by, "part").agg(*[_first_set(c) for c in HEADER], shown.alias("sets"))
+    return rows.groupBy(*by, part).agg(
+        *[F.min_by(c, "place").alias(c) for c in HEADER], shown.alias("sets")
+    )
 
 
 def last_performance(
@@ -277,8 +290,8 @@ def session_list(
 ) -> DataFrame:
     """A page of sessions per user with gym name and number of different exercises.
 
-    The page is cut before the sets are touched; only sets of listed sessions are
-    counted, distinct names per session with partial counts before the shuffle.
+    Names are reduced per (session, name) before they are counted per session, so a
+    session of any size is one row when it meets the page.
     """
     order = [
         F.col("session_date").desc(), F.col("created_at").desc_nulls_first(), F.col("id").desc()
@@ -286,11 +299,9 @@ def session_list(
     page = t["workout_sessions"]
     if limit is not None:
         page = page_rows(page, keys, "session_date", order, limit=limit, offset=offset, cap=cap)
-    listed = page.select(F.col("id").alias("session_id")) if limit is not None else None
-    sets = t["workout_sets"].select("session_id", "exercise_name")
-    if listed is not None:
-        sets = sets.join(listed, "session_id", "left_semi")
-    counts = sets.groupBy("session_id").agg(F.countDistinct("exercise_name").alias("_exercises"))
+    counts = t["workout_sets"].groupBy("session_id").agg(
+        F.countDistinct("exercise_name").alias("_exercises")
+    )
     gyms = t["gyms"].select(F.col("id").alias("_gym_id"), F.col("name").alias("gym_name"))
     listed_sessions = page.join(counts, F.col("id") == F.col("session_id"), "left").drop("session_id")
     return join_optional(listed_sessions, gyms, "gym_id", "_gym_id", ["id"]).select(
@@ -361,16 +372,13 @@ def volume_by_day(t: Tables, *, keys: Sequence[str] = USER, as_of=None, days: in
     """Pounds moved per day; a day whose sessions have no sets shows 0.
 
     Sets are summed per session before they meet the sessions, on the same key, so a
-    session of any size is one row in the join. With ``as_of``, only sets of recent
-    sessions are read past the semi-join.
+    session of any size is one row in the join. With ``as_of`` the few recent sessions
+    let Spark put a runtime filter on a large scan of sets.
     """
     sessions = t["workout_sessions"].select(*keys, "id", "session_date")
-    sets = t["workout_sets"].select("session_id", "weight_lbs", "reps")
     if as_of is not None:
         sessions = sessions.filter(F.col("session_date") >= days_before(as_of, days))
-        recent = sessions.select(F.col("id").alias("session_id"))
-        sets = sets.join(recent, "session_id", "left_semi")
-    moved = sets.groupBy("session_id").agg(
+    moved = t["workout_sets"].groupBy("session_id").agg(
         F.sum(F.col("weight_lbs") * F.col("reps").cast("decimal(5,0)")).alias("_lbs")
     )
     return (
