@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitalspark.functions.numbers import to_number
+
 # Names of the epoch fields a scale may send, in order of preference.
 SCALE_EPOCH_FIELDS = ("timeStamp", "time_stamp", "timestamp")
-SCALE_LOCAL_FORMAT = "yyyy-MM-dd HH:mm:ss"
+SCALE_LOCAL_SHAPE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
+SCALE_LOCAL_FORMAT = "yyyy-M-d H:m:s"
 
 
 def as_date(as_of) -> Column:
@@ -40,7 +43,10 @@ def parse_scale_time(fields: list[Column], local_text: Column, as_of) -> Column:
     Once an epoch field is present but unreadable the other epoch fields are not
     tried; the local text is.
     """
-    seconds = first_epoch_text(fields).try_cast("double")
+    seconds = to_number(first_epoch_text(fields), "double")
     usable = F.when(F.abs(seconds) < F.lit(1e12), seconds)
-    local = F.try_to_timestamp(local_text, F.lit(SCALE_LOCAL_FORMAT))
+    local = F.when(
+        local_text.rlike(SCALE_LOCAL_SHAPE),
+        F.try_to_timestamp(local_text, F.lit(SCALE_LOCAL_FORMAT)),
+    )
     return F.coalesce(F.timestamp_seconds(usable), local, as_timestamp(as_of))

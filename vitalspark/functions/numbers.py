@@ -41,6 +41,14 @@ def one_rep_max(weight: Column, reps: Column) -> Column:
     return weight * (F.lit(1) + F.lit(ONE_REP_MAX_FACTOR) * reps.cast("decimal(5,0)"))
 
 
+NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def to_number(text: Column, kind: str) -> Column:
+    """Text as a number, else null; the shape test spares the cost of failed casts."""
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast(kind))
+
+
 def zero_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(0))
 

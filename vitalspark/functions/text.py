@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,22 +42,21 @@ def contains_listed_word(
 ) -> Column:
     """True when any text holds a listed word after all but letters, digits and space go.
 
-    The default matches inside longer words as well; ``whole_word`` does not.
+    The default matches inside longer words as well; ``whole_word`` does not. Plain
+    searches come first, so the pattern runs only on texts that hold some word.
     """
     if not words:
         return F.lit(False)
-    body = "|".join(words)
-    pattern = rf"(^|\s)({body})(\s|$)" if whole_word else f"({body})"
-    hits = [
-        F.coalesce(
-            F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", "").rlike(pattern), F.lit(False)
-        )
-        for c in texts
-    ]
-    out = hits[0]
-    for hit in hits[1:]:
-        out = out | hit
-    return out
+    # a word that holds another listed word can never be found without it
+    shortest = [w for w in words if not any(o != w and o in w for o in words)]
+    pattern = rf"(^|\s)({'|'.join(words)})(\s|$)"
+
+    def found(c: Column) -> Column:
+        plain = F.regexp_replace(F.lower(c), r"[^a-z0-9\s]+", "")
+        hit = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in shortest])
+        return F.coalesce(hit & plain.rlike(pattern) if whole_word else hit, F.lit(False))
+
+    return reduce(lambda a, b: a | b, [found(c) for c in texts])
 
 
 def setting_value(c: Column) -> Column:

@@ -31,11 +31,18 @@ CONDITION_GOOD = "good"
 
 
 class Change(NamedTuple):
-    """New table, the batch rows that took effect and the rejected ones with a reason."""
+    """The new table, and every batch row with its ``reason``, null where it took effect."""
 
     snapshot: DataFrame
-    applied: DataFrame
-    rejected: DataFrame
+    batch: DataFrame
+
+    @property
+    def applied(self) -> DataFrame:
+        return Split.by_reason(self.batch).accepted
+
+    @property
+    def rejected(self) -> DataFrame:
+        return Split.by_reason(self.batch).rejected
 
 
 def _all_present(columns: Sequence[str]) -> Column:
@@ -57,6 +64,16 @@ def semi_anti_for_upsert(
     return changes.join(stored, list(key), "left_semi"), changes.join(stored, list(key), "left_anti")
 
 
+def mark_stored(
+    current: DataFrame, changes: DataFrame, key: Sequence[str], otherwise: str
+) -> DataFrame:
+    """Batch rows with reason ``otherwise`` where no stored row has their key."""
+    stored = current.select(*[F.col(k).alias(f"_s_{k}") for k in key]).distinct()
+    stored = stored.withColumn("_stored", F.lit(True))
+    joined = join_optional(changes, stored, list(key), [f"_s_{k}" for k in key], [ARRIVAL])
+    return joined.withColumn("reason", F.when(F.col("_stored").isNull(), otherwise)).drop("_stored")
+
+
 def insert_if_absent(
     current: DataFrame, changes: DataFrame, key: Sequence[str], *, where: Column | None = None
 ) -> Change:
@@ -64,12 +81,16 @@ def insert_if_absent(
 
     Rows with a null key part, or outside ``where``, never conflict. The first arrival
     per key is a partial aggregate and the stored keys are compared with one row per
-    batch key, so many copies of one key cost no more than one.
+    batch key, so many copies of one key cost no more than one. A ``reason`` the batch
+    brings along stands, and its rows take no part.
     """
-    counts = where if where is not None else F.lit(True)
-    binding = F.coalesce(counts, F.lit(False)) & _all_present(key)
+    if "reason" not in changes.columns:
+        changes = changes.withColumn("reason", F.lit(None).cast("string"))
+    counts = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    binding = counts & _all_present(key)
+    taking_part = binding & F.col("reason").isNull()
     first = (
-        changes.filter(binding)
+        changes.filter(taking_part)
         .groupBy(*[F.col(k).alias(f"_k_{k}") for k in key])
         .agg(F.min(ARRIVAL).alias("_first"))
     )
@@ -80,15 +101,13 @@ def insert_if_absent(
         changes, verdict, list(key), [f"_k_{k}" for k in key], [ARRIVAL]
     ).withColumn(
         "reason",
-        F.when(~binding, None)
+        F.when(~taking_part, F.col("reason"))
         .when(F.col("_stored"), "already stored")
         .when(F.col(ARRIVAL) != F.col("_first"), "repeated in batch"),
     ).drop("_first", "_stored")
-    split = Split.by_reason(tagged)
-    new_rows = split.accepted.select(*[c for c in split.accepted.columns if c in current.columns])
-    return Change(
-        current.unionByName(new_rows, allowMissingColumns=True), split.accepted, split.rejected
-    )
+    taken = tagged.filter(F.col("reason").isNull())
+    new_rows = taken.select(*[c for c in taken.columns if c in current.columns])
+    return Change(current.unionByName(new_rows, allowMissingColumns=True), tagged)
 
 
 def upsert_settings(current: DataFrame, changes: DataFrame, as_of) -> DataFrame:
@@ -126,8 +145,7 @@ def patch_sessions(
     snapshot = sessions.join(merged, key, "left").select(*[
         F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in sessions.columns
     ])
-    applied, unknown = semi_anti_for_upsert(sessions, patches, key)
-    return Change(snapshot, applied, unknown.withColumn("reason", F.lit("session not found")))
+    return Change(snapshot, mark_stored(sessions, patches, key, "session not found"))
 
 
 def replace_rows(
@@ -165,8 +183,7 @@ def replace_rows(
         else:
             out.append(F.col(c))
     snapshot = current.join(last, list(key), "left").select(*out)
-    applied, unknown = semi_anti_for_upsert(current, changes, key)
-    return Change(snapshot, applied, unknown.withColumn("reason", F.lit("not found")))
+    return Change(snapshot, mark_stored(current, changes, key, "not found"))
 
 
 # What each table's references do when their parent row goes.
@@ -242,10 +259,8 @@ def delete_custom_only(current: DataFrame, requests: DataFrame) -> Change:
         "reason",
         F.when(F.col("_custom").isNull(), "not found").when(~F.col("_custom"), "default rows stay"),
     ).drop("_custom")
-    split = Split.by_reason(tagged)
-    return Change(
-        current.join(split.accepted.select("id"), "id", "left_anti"), split.accepted, split.rejected
-    )
+    eligible = tagged.filter(F.col("reason").isNull()).select("id")
+    return Change(current.join(eligible, "id", "left_anti"), tagged)
 
 
 def backfill_owner(df: DataFrame, owner, column: str = "user_id") -> DataFrame:
@@ -381,11 +396,9 @@ def load_scale_measurements(
         F.when(F.col("rejected_field").isNotNull(), F.concat(F.lit("unreadable "), "rejected_field"))
         .when(F.col("measured_at") <= F.col("_mark"), "not newer than the last load"),
     ).drop("_mark", "rejected_field")
-    split = Split.by_reason(tagged)
-    loaded = insert_if_absent(
-        current, split.accepted, ["renpho_user_id", "measured_at"], where=F.col("source") == "renpho"
+    return insert_if_absent(
+        current, tagged, ["renpho_user_id", "measured_at"], where=F.col("source") == "renpho"
     )
-    return loaded._replace(rejected=split.rejected.unionByName(loaded.rejected))
 
 
 def deactivate_users(users: DataFrame, requests: DataFrame) -> Change:
@@ -393,14 +406,13 @@ def deactivate_users(users: DataFrame, requests: DataFrame) -> Change:
     tagged = requests.withColumn(
         "reason", F.when(F.col("id") == F.col("requested_by"), "own account")
     )
-    split = Split.by_reason(tagged)
-    off = split.accepted.select(F.col("id").alias("_off")).distinct().withColumn("_hit", F.lit(True))
+    off = tagged.filter(F.col("reason").isNull()).select(F.col("id").alias("_off")).distinct().withColumn("_hit", F.lit(True))
     snapshot = (
         users.join(off, F.col("id") == F.col("_off"), "left")
         .withColumn("is_active", F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("is_active")))
         .drop("_off", "_hit")
     )
-    return Change(snapshot, split.accepted, split.rejected)
+    return Change(snapshot, tagged)
 
 
 def mark_invites_used(invites: DataFrame, uses: DataFrame) -> Change:
@@ -431,9 +443,11 @@ def mark_invites_used(invites: DataFrame, uses: DataFrame) -> Change:
         })
         .drop("_code", "_by", "_at")
     )
-    applied = uses.join(first.select(ARRIVAL), ARRIVAL, "left_semi")
-    rejected = uses.join(first.select(ARRIVAL), ARRIVAL, "left_anti")
-    return Change(snapshot, applied, rejected.withColumn("reason", F.lit("invalid or expired code")))
+    redeemed = first.select(ARRIVAL).withColumn("_redeemed", F.lit(True))
+    tagged = uses.join(redeemed, ARRIVAL, "left").withColumn(
+        "reason", F.when(F.col("_redeemed").isNull(), "invalid or expired code")
+    ).drop("_redeemed")
+    return Change(snapshot, tagged)
 
 
 def touch_last_login(users: DataFrame, logins: DataFrame) -> DataFrame:

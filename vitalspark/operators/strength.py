@@ -143,8 +143,8 @@ def personal_records(
         *keys, "exercise_name", "gym_equipment_id", "session_date", "session_id", "set_number",
         "reps", "weight_lbs",
     )
-    if keys:
-        lifted = lifted.dropna(subset=list(keys))
+    for k in keys:
+        lifted = lifted.filter(F.col(k).isNotNull())
     daily = lifted.groupBy(*keys, "exercise_name", "gym_equipment_id", "session_date").agg(
         F.max("weight_lbs").alias("_weight"),
         F.max(one_rep_max(F.col("weight_lbs"), F.col("reps"))).alias("_one_rep"),

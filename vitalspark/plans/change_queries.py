@@ -14,11 +14,6 @@ from vitalspark.sources.domain import AS_OF
 NOW = f"timestamp '{AS_OF} 00:00:00'"
 
 
-def outcomes(change: changes.Change) -> DataFrame:
-    """Batch rows with their reason, null where they took effect."""
-    return change.applied.withColumn("reason", F.lit(None).cast("string")).unionByName(change.rejected)
-
-
 # ---- insert if absent ----
 PLACED = """
 select a.*, case when a.name is null or a.brand is null then null
@@ -36,7 +31,7 @@ def _library_change(t):
 query(
     "insert_if_absent", "arrival:n name:s brand:s type:s reason:s", "equipment_library library_additions",
     PLACED,
-)(lambda t: outcomes(_library_change(t)))
+)(lambda t: _library_change(t).batch)
 query(
     "insert_if_absent_snapshot", "name:s brand:s type:s category:s", "equipment_library library_additions",
     f"""select name, brand, type, category from equipment_library
@@ -359,7 +354,7 @@ from ({MEASURED}) m left join (select renpho_user_id, max(measured_at) as mark f
 query(
     "load_scale_measurements", f"arrival:n renpho_user_id:n {MEASURED_COLUMNS} reason:s",
     "body_metrics scale_readings", LOADED,
-)(lambda t: outcomes(changes.load_scale_measurements(t["body_metrics"], measured(t))))
+)(lambda t: changes.load_scale_measurements(t["body_metrics"], measured(t)).batch)
 
 query(
     "update_status", "id:n is_active:b last_login:t", "users workout_sessions",

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from vitalspark.functions.numbers import blank_to_null, zero_to_null
 from vitalspark.operators.quality import Split
 from vitalspark.schemas import NUTRITION_ENTRY_DDL, WORKOUT_DOCUMENT_DDL
+from vitalspark.shape import with_columns_once
 
 
 def _missing(c: Column) -> Column:
@@ -17,10 +18,8 @@ def _missing(c: Column) -> Column:
 
 def parse_workout_json(documents: DataFrame, column: str = "value") -> DataFrame:
     """JSON text to the fields of a workout document, other columns kept."""
-    kept = [c for c in documents.columns if c != column]
-    return documents.withColumn("_d", F.from_json(column, WORKOUT_DOCUMENT_DDL)).select(
-        *kept, "_d.*"
-    )
+    parsed = with_columns_once(documents, {"_d": F.from_json(column, WORKOUT_DOCUMENT_DDL)})
+    return parsed.select(*[c for c in documents.columns if c != column], "_d.*")
 
 
 def ingest_workout_documents(documents: DataFrame) -> tuple[Split, DataFrame]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalspark.functions.dates import SCALE_EPOCH_FIELDS, parse_scale_time
-from vitalspark.functions.numbers import kg_to_lbs
+from vitalspark.functions.numbers import kg_to_lbs, to_number
 from vitalspark.schemas import SCALE_FIELDS
+from vitalspark.shape import with_columns_once
 
 SCALE_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in SCALE_FIELDS])
 
@@ -48,14 +49,6 @@ def plain_name(field: str) -> str:
     return "epoch_camel" if field == "timeStamp" else field
 
 
-def _number(text: Column) -> Column:
-    return F.trim(text).try_cast("decimal(20,6)")
-
-
-def _present(text: Column) -> Column:
-    return F.coalesce((F.trim(text) != "") & (_number(text).isNull() | (_number(text) != 0)), F.lit(False))
-
-
 def read_scale_measurements(readings: DataFrame, as_of, *carry: str) -> DataFrame:
     """Typed measurements with ``rejected_field`` naming the first unreadable field.
 
@@ -64,19 +57,28 @@ def read_scale_measurements(readings: DataFrame, as_of, *carry: str) -> DataFram
     """
     times = [F.col(plain_name(f)) for f in SCALE_EPOCH_FIELDS]
     measured = parse_scale_time(times, F.col("localCreatedAt"), as_of)
-    out, problems = [], []
-    for field, (column, kind, mass) in SCALE_COLUMNS.items():
-        text = F.col(field)
-        number = _number(text)
-        number = kg_to_lbs(number) if mass else number
-        if kind in ("int", "smallint"):
-            number = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-        value = F.when(_present(text), number.try_cast(kind))
-        out.append(value.alias(column))
-        problems.append(F.when(_present(text) & value.isNull(), F.lit(field)))
-    return readings.select(
+    # steps that name their results, so that no text is converted twice
+    numbers = readings.select(
         *carry,
         measured.alias("measured_at"),
-        *out,
-        F.coalesce(*problems).alias("rejected_field"),
-    ).withColumn("measurement_date", F.col("measured_at").cast("date"))
+        *[F.nullif(F.trim(f), F.lit("")).alias(f"_t_{f}") for f in SCALE_COLUMNS],
+        *[to_number(F.trim(f), "decimal(20,6)").alias(f"_n_{f}") for f in SCALE_COLUMNS],
+    )
+    values, problems = {}, []
+    for field, (column, kind, mass) in SCALE_COLUMNS.items():
+        number = F.nullif(F.col(f"_n_{field}"), F.lit(0))
+        if mass:
+            number = kg_to_lbs(number)
+        elif kind in ("int", "smallint"):
+            number = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
+        values[column] = number.try_cast(kind)
+        present = F.col(f"_t_{field}").isNotNull() & ~F.col(f"_n_{field}").eqNullSafe(F.lit(0))
+        problems.append(F.when(present & F.col(column).isNull(), F.lit(field)))
+    return (
+        with_columns_once(numbers, values)
+        .withColumns({
+            "rejected_field": F.coalesce(*problems),
+            "measurement_date": F.col("measured_at").cast("date"),
+        })
+        .drop(*[f"_{p}_{f}" for f in SCALE_COLUMNS for p in "tn"])
+    )
