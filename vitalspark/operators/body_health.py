@@ -91,17 +91,21 @@ def hr_trend(t: Tables, *, keys: Sequence[str] = USER, rows: int = 7) -> DataFra
     """Resting heart rate with its mean over the last readings (not days).
 
     ``keys=()`` gives one series over all rows; it is cut into blocks like any other.
+    A user has one row a day, so a month is a small slice; a day of all users is not,
+    and is sliced further by the reading.
     """
+    by_time = F.trunc("summary_date", "month") if keys else F.struct("summary_date", "resting_bpm")
     readings = t["heart_rate_daily"].filter(F.col("resting_bpm").isNotNull())
     readings = readings.select(*keys, "summary_date", "resting_bpm", "hrv_ms")
     return rolling_rows(
         readings,
         keys,
-        F.trunc("summary_date", "month"),
+        by_time,
         [F.col("summary_date"), F.col("resting_bpm"), F.col("hrv_ms")],
         rows,
         lambda w: F.round(F.avg(F.col("resting_bpm").cast("decimal(20,12)")).over(w), 1),
         "rolling_7day_avg",
+        null_groups=False,
     ).select(*keys, "summary_date", "resting_bpm", "rolling_7day_avg", "hrv_ms")
 
 

@@ -64,12 +64,22 @@ def semi_anti_for_upsert(
     return changes.join(stored, list(key), "left_semi"), changes.join(stored, list(key), "left_anti")
 
 
+def stored_keys(current: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of the batch that are stored already, once each.
+
+    A semi-join of the stored keys with those of the batch: with a small batch Spark
+    broadcasts it, by measured size, and the stored table is scanned without a shuffle.
+    """
+    return current.select(*key).join(batch.select(*key), list(key), "left_semi").distinct()
+
+
 def mark_stored(
     current: DataFrame, changes: DataFrame, key: Sequence[str], otherwise: str
 ) -> DataFrame:
     """Batch rows with reason ``otherwise`` where no stored row has their key."""
-    stored = current.select(*[F.col(k).alias(f"_s_{k}") for k in key]).distinct()
-    stored = stored.withColumn("_stored", F.lit(True))
+    stored = stored_keys(current, changes, key).select(
+        *[F.col(k).alias(f"_s_{k}") for k in key], F.lit(True).alias("_stored")
+    )
     joined = join_optional(changes, stored, list(key), [f"_s_{k}" for k in key], [ARRIVAL])
     return joined.withColumn("reason", F.when(F.col("_stored").isNull(), otherwise)).drop("_stored")
 
@@ -89,14 +99,11 @@ def insert_if_absent(
     counts = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     binding = counts & _all_present(key)
     taking_part = binding & F.col("reason").isNull()
-    first = (
-        changes.filter(taking_part)
-        .groupBy(*[F.col(k).alias(f"_k_{k}") for k in key])
-        .agg(F.min(ARRIVAL).alias("_first"))
+    first = changes.filter(taking_part).groupBy(*key).agg(F.min(ARRIVAL).alias("_first"))
+    stored = stored_keys(current.filter(binding), first, key).withColumn("_stored", F.lit(True))
+    verdict = first.join(stored, list(key), "left").withColumnsRenamed(
+        {k: f"_k_{k}" for k in key}
     )
-    stored = current.filter(binding).select(*key).distinct().withColumn("_stored", F.lit(True))
-    on = reduce(lambda a, b: a & b, [F.col(f"_k_{k}") == stored[k] for k in key])
-    verdict = first.join(stored, on, "left").drop(*key)
     tagged = join_optional(
         changes, verdict, list(key), [f"_k_{k}" for k in key], [ARRIVAL]
     ).withColumn(
@@ -111,24 +118,27 @@ def insert_if_absent(
 
 
 def upsert_settings(current: DataFrame, changes: DataFrame, as_of) -> DataFrame:
-    """Last value per (user, key) wins; untouched settings stay. A null user never matches."""
+    """Last value per (user, key) wins; untouched settings stay. A null user never matches.
+
+    Stored rows are changed in a left join and new keys added beside it, so that a small
+    batch is broadcast and the stored table keeps its place.
+    """
     key = ["user_id", "key"]
     complete = _all_present(key)
     latest = (
         changes.filter(complete).groupBy(*key)
         .agg(F.max_by(F.struct("value"), ARRIVAL).alias("_new"))
     )
-    ownerless = changes.filter(~complete).select(*key, "value", as_timestamp(as_of).alias("updated_at"))
-    old = current.select(*key, F.struct("value", "updated_at").alias("_old"))
-    keyed = old.filter(complete).join(latest, key, "full")
-    merged = keyed.select(
+    changed = current.join(latest, key, "left").select(
         *key,
-        F.when(F.col("_new").isNotNull(), F.col("_new.value")).otherwise(F.col("_old.value")).alias("value"),
-        F.when(F.col("_new").isNotNull(), as_timestamp(as_of))
-        .otherwise(F.col("_old.updated_at")).alias("updated_at"),
+        F.when(F.col("_new").isNotNull(), F.col("_new.value")).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("_new").isNotNull(), as_timestamp(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    kept = old.filter(~complete).select(*key, "_old.value", "_old.updated_at")
-    return merged.unionByName(kept).unionByName(ownerless)
+    added = latest.join(stored_keys(current, latest, key), key, "left_anti").select(
+        *key, "_new.value", as_timestamp(as_of).alias("updated_at")
+    )
+    ownerless = changes.filter(~complete).select(*key, "value", as_timestamp(as_of).alias("updated_at"))
+    return changed.unionByName(added).unionByName(ownerless)
 
 
 def patch_sessions(

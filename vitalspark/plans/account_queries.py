@@ -9,11 +9,11 @@ from vitalspark.sources.domain import AS_OF
 
 query(
     "filter_owner", "id:n user_id:n weight_lbs:f", "body_metrics users",
-    "select * from body_metrics where user_id in (select id from users where role = 'admin')",
+    "select * from body_metrics where user_id in (select id from users where is_active)",
 )(
     lambda t: accounts.filter_owner(
         t["body_metrics"],
-        t["users"].filter(F.col("role") == "admin").select(F.col("id").alias("user_id")),
+        t["users"].filter(F.col("is_active")).select(F.col("id").alias("user_id")),
     )
 )
 DIRECTORY = "id:n email:s display_name:s role:s is_active:b created_at:t last_login:t"

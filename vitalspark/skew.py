@@ -45,12 +45,16 @@ def row_positions(
     order: Sequence[Column],
     *,
     descending: bool = False,
+    null_groups: bool = True,
     name: str = "position",
 ) -> DataFrame:
     """Number the rows of each group without sorting a whole group in one task.
 
     ``slice_by`` must agree with ``order``: all rows of a slice come before those of
     the next. Each slice is numbered alone; counts per slice give its starting point.
+    The running sum sees one row per slice, so slices should be calendar periods or the
+    like. With ``null_groups=False`` rows with a null key or slice are left out, and the
+    counts meet the rows where the numbering put them, without another shuffle.
     """
     sliced = df.withColumn("_slice", slice_by)
     by = [*keys, "_slice"]
@@ -62,8 +66,9 @@ def row_positions(
     before = Window.partitionBy(*keys).orderBy(ordered).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     starts = starts.select(*[F.col(c).alias(f"_s_{c}") for c in by], "_before")
+    pairs = [(numbered[c], starts[f"_s_{c}"]) for c in by]
     on = reduce(
-        lambda a, b: a & b, [numbered[c].eqNullSafe(starts[f"_s_{c}"]) for c in by]
+        lambda a, b: a & b, [a.eqNullSafe(b) if null_groups else a == b for a, b in pairs]
     )
     return numbered.join(starts, on).select(
         *[numbered[c] for c in df.columns], (F.col("_before") + F.col("_in_slice")).alias(name)
@@ -79,6 +84,7 @@ def rolling_rows(
     measure: Callable[[WindowSpec], Column],
     name: str,
     block_rows: int = BLOCK_ROWS,
+    null_groups: bool = True,
 ) -> DataFrame:
     """``measure(window)`` over the current and the ``rows - 1`` rows before it.
 
@@ -88,7 +94,9 @@ def rolling_rows(
     back = rows - 1
     if not 0 <= back < block_rows:
         raise ValueError("block_rows must exceed the window")
-    placed = row_positions(df, keys, slice_by, order, name="_position")
+    placed = row_positions(
+        df, keys, slice_by, order, null_groups=null_groups, name="_position"
+    )
     home = F.floor((F.col("_position") - 1) / block_rows)
     in_tail = (F.col("_position") - 1) % block_rows >= block_rows - back
     copies = placed.withColumn("_home", home).withColumn(

@@ -36,6 +36,13 @@ def stream_scale_measurements(
     own = F.col("source") == "renpho"
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            store_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         good = batch.filter(F.col("rejected_field").isNull()).drop("rejected_field")
         if batch_id > 0:
