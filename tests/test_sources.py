@@ -5,6 +5,7 @@ from datetime import datetime
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
+import pytest
 
 from tests.fixtures import make, sample_log
 from vitalspark.operators import body_health
@@ -48,6 +49,8 @@ def test_publish_marts(spark, tmp_path):
     paths = marts.publish_marts(t, str(tmp_path), ["daily_nutrition", "weight_trend", "exercise_prs"])
     assert spark.read.parquet(paths["weight_trend"]).count() == 5
     assert spark.read.parquet(paths["exercise_prs"]).count() == 3
+    with pytest.raises(ValueError):
+        marts.publish_mart("gym_equipment_detail", t, str(tmp_path))
     first = marts.ordered("weight_trend", t).first()
     assert str(first.measurement_date) == "2025-04-15"
 

@@ -120,6 +120,11 @@ def gym_workout_summary(t: Tables) -> DataFrame:
     )
 
 
+def gym_list(t: Tables) -> DataFrame:
+    """All gyms with their workouts, default gyms first."""
+    return gym_workout_summary(t).orderBy(F.col("is_default").desc_nulls_first(), F.col("name"))
+
+
 SEARCHED = ("id", "name", "address", "city", "state", "zip", "gym_type", "is_24hr", "workout_count")
 
 

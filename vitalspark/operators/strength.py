@@ -261,13 +261,14 @@ def last_performance_fallback(
     """Per requested (keys, exercise, machine): machine history, else that of any machine.
 
     ``requests`` has the key columns, ``exercise_name`` and ``gym_equipment_id``
-    (which may be null). Returns one row per set with ``used_machine``.
+    (which may be null). Returns one row per set with ``used_machine``; for documents
+    pass it to ``nest_sets`` by keys, exercise_key, requested_machine and used_machine.
     """
     asked = requests.select(
         *keys, F.lower("exercise_name").alias("exercise_key"),
         F.col("gym_equipment_id").alias("requested_machine"),
     ).distinct()
-    fields = ["session_id", *HEADER, "set_number", "reps", "weight_lbs", "rpe"]
+    fields = ["session_id", *HEADER, "set_number", "reps", "weight_lbs", "rpe", "place"]
     special = last_performance_rows(t, keys=keys, per_machine=True).withColumnRenamed(
         "gym_equipment_id", "requested_machine"
     )

@@ -68,6 +68,7 @@ def load_all() -> dict[str, Query]:
         intake_queries,
         strength_queries,
         stream_queries,
+        submission_queries,
     )
 
     return CATALOG

@@ -80,6 +80,7 @@ GYM_COLUMNS = "id:n name:s address:s city:s state:s zip:s gym_type:s is_24hr:b w
 query("gym_workout_summary", f"{GYM_COLUMNS} is_default:b", "gyms workout_sessions", GYMS)(
     equipment.gym_workout_summary
 )
+query("gym_list", f"{GYM_COLUMNS} is_default:b", "gyms workout_sessions", GYMS)(equipment.gym_list)
 query(
     "search_gyms", GYM_COLUMNS, "gyms workout_sessions",
     f"""select * from ({GYMS}) where lower(name) like lower('%00%') or lower(city) like lower('%00%')

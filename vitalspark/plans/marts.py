@@ -17,9 +17,17 @@ Tables = Mapping[str, DataFrame]
 
 @dataclass(frozen=True)
 class Mart:
-    build: Callable[[Tables], DataFrame]
+    build: Callable[..., DataFrame]
     order: Sequence[tuple[str, str]]
     period: str | None = None
+    needs_now: bool = False
+
+    def frame(self, t: Tables, as_of=None) -> DataFrame:
+        if not self.needs_now:
+            return self.build(t)
+        if as_of is None:
+            raise ValueError("this mart needs as_of")
+        return self.build(t, as_of)
 
     def order_columns(self) -> list[Column]:
         return [
@@ -51,23 +59,28 @@ MARTS = {
     "library_with_gym_count": Mart(
         equipment.library_with_gym_count, [("category", "asc"), ("name", "asc")]
     ),
+    "gym_equipment_detail": Mart(
+        equipment.gym_equipment_detail, [("category", "asc"), ("equipment_name", "asc")],
+        needs_now=True,
+    ),
+    "personal_records": Mart(strength.personal_records, [("max_weight_lbs", "desc")]),
 }
 
 
-def ordered(name: str, t: Tables) -> DataFrame:
+def ordered(name: str, t: Tables, as_of=None) -> DataFrame:
     """A mart in its declared order, for a reader that shows it."""
     mart = MARTS[name]
-    return mart.build(t).orderBy(*mart.order_columns())
+    return mart.frame(t, as_of).orderBy(*mart.order_columns())
 
 
-def publish_mart(name: str, t: Tables, root: str) -> str:
+def publish_mart(name: str, t: Tables, root: str, as_of=None) -> str:
     """Store a mart by month, newest first within each file.
 
     Only the months present are replaced. Rows are ranged over (month, order, user)
     first, so a month or user with most of the rows is still written by several tasks.
     """
     mart = MARTS[name]
-    df = mart.build(t)
+    df = mart.frame(t, as_of)
     path = f"{root.rstrip('/')}/{name}"
     spread = [F.col(c) for c in ("user_id", "id") if c in df.columns]
     if mart.period is None:
@@ -86,8 +99,10 @@ def publish_mart(name: str, t: Tables, root: str) -> str:
     return path
 
 
-def publish_marts(t: Tables, root: str, names: Sequence[str] = tuple(MARTS)) -> dict[str, str]:
-    return {name: publish_mart(name, t, root) for name in names}
+def publish_marts(
+    t: Tables, root: str, names: Sequence[str] = tuple(MARTS), as_of=None
+) -> dict[str, str]:
+    return {name: publish_mart(name, t, root, as_of) for name in names}
 
 
 def publish_and_read(t: Tables, measures: Mapping[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -24,16 +25,20 @@ def local_session(cpus: str = "8", app: str = "vitalspark") -> SparkSession:
     )
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="vitalspark-")
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session) is one made on
-    this machine, and it is then recorded in the session.
+    Only where that setting is absent, in a local test session, is a folder of this
+    machine used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="vitalspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
