@@ -9,6 +9,7 @@ import pytest
 from tests.fixtures import sample_log
 from vitalspark.operators import strength
 from vitalspark.operators.history import page_rows
+from vitalspark.sources.seeds import conform
 from vitalspark.skew import first_rows, join_optional, rolling_rows, row_positions, split_documents
 
 
@@ -142,3 +143,44 @@ def test_hot_last_day_continues_over_parts(spark):
 def test_hot_records(spark):
     got = {r.exercise_name: r for r in strength.personal_records(hot_log(spark)).collect()}
     assert got["Bench Press"].total_sets == 2003 and got["Bench Press"].session_count == 1
+
+
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.mark.parametrize("build", [
+    strength.workout_detail, strength.personal_records, strength.session_detail,
+    strength.sets_with_machine, strength.last_performance,
+])
+def test_hot_session_is_split_at_run_time(spark, build):
+    t = sample_log(spark)
+    sets = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5000).cast("string")))
+        .alias("session_id"),
+        F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("smallint").alias("set_number"),
+        F.concat(F.lit("ex"), (F.col("id") % 40).cast("string")).alias("exercise_name"),
+        (F.col("id") % 12).cast("smallint").alias("reps"), (F.col("id") % 300 + 1).cast("decimal(6,2)").alias("weight_lbs"),
+        F.sha2(F.col("id").cast("string"), 256).alias("notes"),
+    )
+    sessions = spark.range(5000).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), (F.col("id") % 100).cast("string").alias("user_id"),
+        F.lit("2024-02-02").cast("date").alias("session_date"), F.lit("x").alias("name"),
+    ).unionByName(spark.sql("select 'hot' as id, 'u' as user_id, date'2024-02-02' as session_date, 'hot' as name"))
+    t = {**t, "workout_sets": conform(sets, "workout_sets"), "workout_sessions": conform(sessions, "workout_sessions")}
+    before = {k: spark.conf.get(k, None) for k in SPLIT_EARLY}
+    try:
+        for k, v in SPLIT_EARLY.items():
+            spark.conf.set(k, v)
+        execution = build(t)._jdf.queryExecution()
+        assert execution.toRdd().count() > 0
+        assert "skew=true" in execution.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -243,20 +243,21 @@ def delete_owned_cascade(
             if parent not in gone or column not in rows.columns:
                 continue
             changed = True
-            parents = gone[parent].select(F.col("id").alias("_gone"))
+            marked = gone[parent].select(F.col("id").alias("_gone")).distinct()
+            marked = marked.withColumn("_hit", F.lit(True))
+            spread = [c for c in ("id", "session_id", "set_number", "key") if c in rows.columns]
+            rows = join_optional(rows, marked, column, "_gone", spread)
             if action == "delete":
-                doomed = t[child].join(parents, F.col(column) == F.col("_gone"), "left_semi")
-                if "id" in doomed.columns:
-                    ids = doomed.select("id")
-                    gone[child] = gone[child].union(ids) if child in gone else ids
-                rows = rows.join(parents, F.col(column) == F.col("_gone"), "left_anti")
+                if "id" in rows.columns:
+                    doomed = t[child].join(
+                        marked, F.col(column) == F.col("_gone"), "left_semi"
+                    ).select("id")
+                    gone[child] = gone[child].union(doomed) if child in gone else doomed
+                rows = rows.filter(F.col("_hit").isNull()).drop("_hit")
             else:
-                marked = parents.distinct().withColumn("_cleared", F.lit(True))
-                spread = [c for c in ("id", "code", "email") if c in rows.columns] or rows.columns
-                rows = join_optional(rows, marked, column, "_gone", spread)
                 rows = rows.withColumn(
-                    column, F.when(F.col("_cleared").isNull(), F.col(column))
-                ).drop("_cleared")
+                    column, F.when(F.col("_hit").isNull(), F.col(column))
+                ).drop("_hit")
         if changed:
             out[child] = rows
     return out, unmatched.withColumn("reason", F.lit("not found"))
@@ -302,7 +303,7 @@ def report_oos(
     known = machines.select(F.col("id").alias("gym_equipment_id"))
     valid = reports.join(known, "gym_equipment_id", "left_semi")
     rejected = reports.join(known, "gym_equipment_id", "left_anti")
-    latest = valid.groupBy(F.col("gym_equipment_id").alias("_machine")).agg(
+    latest = reports.groupBy(F.col("gym_equipment_id").alias("_machine")).agg(
         F.max("reported_at").alias("_at")
     )
     hit = F.col("_at").isNotNull()
@@ -344,11 +345,11 @@ def resolve_oos(
     if "updated_at" in machines.columns:
         news["updated_at"] = F.when(hit, as_timestamp(as_of)).otherwise(F.col("updated_at"))
     fixed = machines.join(done, F.col("id") == F.col("_done"), "left").withColumns(news)
-    closed = history.join(done, F.col("gym_equipment_id") == F.col("_done"), "left").withColumn(
+    closed = join_optional(history, done, "gym_equipment_id", "_done", ["id"]).withColumn(
         "resolved_at",
         F.when(hit & F.col("resolved_at").isNull(), as_timestamp(as_of)).otherwise(F.col("resolved_at")),
     )
-    return fixed.drop("_done", "_hit"), closed.drop("_done", "_hit")
+    return fixed.drop("_done", "_hit"), closed.drop("_hit")
 
 
 def expire_oos(machines: DataFrame, as_of) -> DataFrame:

@@ -121,8 +121,10 @@ def join_optional(
     """Left join on nullable keys; ``right_keys`` are dropped from the result.
 
     Rows without a full key match nothing, so they are dealt over many hash values
-    instead of all meeting in the task that owns null. A hot non-null key is left to
-    the adaptive skew split; a right side of small measured size is broadcast by Spark.
+    instead of all meeting in the task that owns null. A hot key is left to the adaptive
+    skew split: the extra join column makes Spark shuffle both sides for this join alone,
+    which the split needs, even where the right side was grouped by the same key. A right
+    side of small measured size is broadcast by Spark.
     """
     ours = [left_keys] if isinstance(left_keys, str) else list(left_keys)
     theirs = [right_keys] if isinstance(right_keys, str) else list(right_keys)
@@ -157,11 +159,10 @@ def split_documents(
             F.ceil(F.col("_rows") / limit).alias("_parts"),
         )
     )
-    on = reduce(lambda a, b: a & b, [rows[k] == large[f"_d_{k}"] for k in keys])
     part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0).cast("bigint"))
     return (
-        rows.join(large, on, "left")
+        join_optional(rows, large, list(keys), [f"_d_{k}" for k in keys], spread_by)
         .withColumn("part", part.cast("int"))
-        .drop("_parts", *[f"_d_{k}" for k in keys])
+        .drop("_parts")
         .repartition(*[F.col(k) for k in keys], F.col("part"))
     )
