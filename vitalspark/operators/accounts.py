@@ -34,7 +34,7 @@ def redeemable_invites(t: Tables, as_of) -> DataFrame:
 
 def active_users_by_email(t: Tables, emails: DataFrame) -> DataFrame:
     """Active users whose email is listed, in any case."""
-    wanted = emails.select(F.lower("email").alias("_email"))
+    wanted = emails.select(F.lower("email").alias("_email")).distinct()
     users = t["users"].filter(F.col("is_active"))
     return users.join(wanted, F.lower(users["email"]) == F.col("_email"), "left_semi")
 

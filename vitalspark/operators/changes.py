@@ -65,7 +65,7 @@ def semi_anti_for_upsert(
 
 
 def stored_keys(current: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keys of the batch that are stored already, once each.
+    """Keys that are stored already, once each, out of a batch that holds a key once.
 
     A semi-join of the stored keys with those of the batch: with a small batch Spark
     broadcasts it, by measured size, and the stored table is scanned without a shuffle.
@@ -77,7 +77,8 @@ def mark_stored(
     current: DataFrame, changes: DataFrame, key: Sequence[str], otherwise: str
 ) -> DataFrame:
     """Batch rows with reason ``otherwise`` where no stored row has their key."""
-    stored = stored_keys(current, changes, key).select(
+    asked = changes.select(*key).distinct()
+    stored = stored_keys(current, asked, key).select(
         *[F.col(k).alias(f"_s_{k}") for k in key], F.lit(True).alias("_stored")
     )
     joined = join_optional(changes, stored, list(key), [f"_s_{k}" for k in key], [ARRIVAL])

@@ -18,7 +18,7 @@ def stream_table(t, name: str, source: str) -> DataFrame:
     path = f"{t.sf_dir.rstrip('/')}/{source}.parquet*"
     schema = t.raw(source).schema
     view = f"_stream_{source}"
-    t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path).createOrReplaceTempView(view)
+    t.spark.readStream.schema(schema).parquet(path).createOrReplaceTempView(view)
     if name == source:
         return t.spark.table(view)
     return t.spark.sql(TABLE_SQL[name].format(**{source: view}))
