@@ -2,7 +2,6 @@
 
 from collections import ChainMap
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.operators import changes, quality

@@ -10,7 +10,7 @@ from vitalspark.plans.strength_queries import WEEK_COLUMNS, WEEKLY
 from vitalspark.session import work_dir
 from vitalspark.sources.domain import AS_OF, TABLE_SQL
 from vitalspark.streaming import flags, oos, periods, scale
-from vitalspark.streaming.store import finish
+from vitalspark.streaming.store import finish, write_batch
 
 
 def stream_table(t, name: str, source: str) -> DataFrame:
@@ -43,6 +43,21 @@ def _scale(t):
     return scale.loaded_measurements(t.spark, store)
 
 
+@query(
+    "stream_scale_bounded", "renpho_user_id:n measured_at:t", "scale_readings",
+    f"""select distinct renpho_user_id, measured_at from ({MEASURED}) where rejected_field is null""",
+)
+def _scale_bounded(t):
+    store, checkpoint = _folders(t, "scale-bounded")
+    lines = reading_lines(stream_table(t, "scale_readings", "events"))
+    unique = scale.stream_scale_bounded(lines, AS_OF)
+    finish(
+        unique.writeStream.foreachBatch(lambda b, i: write_batch(b, store, i))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    return scale.loaded_measurements(t.spark, store)
+
+
 HOLD_DAYS, DELAY_DAYS = 5, 1
 OOS_EVENTS = """
 select user_id as gym_equipment_id, ts as moment, case when event_type = 'error' then 'report' else 'resolve' end as kind

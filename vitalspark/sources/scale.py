@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitalspark.functions.dates import SCALE_EPOCH_FIELDS, parse_scale_time
 from vitalspark.functions.numbers import kg_to_lbs, to_number
 from vitalspark.schemas import SCALE_FIELDS
 from vitalspark.shape import with_columns_once
 
-SCALE_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in SCALE_FIELDS])
-
 # Reading field -> (measurement column, stored type, is a mass in kg).
 SCALE_COLUMNS = {
     "weight": ("weight_lbs", "decimal(6,2)", True),
@@ -28,20 +27,21 @@ SCALE_COLUMNS = {
 
 
 def scan_scale_readings(spark: SparkSession, path: str, *extra: str) -> DataFrame:
-    """JSON readings with every field as text; ``extra`` names further text fields.
+    """JSON readings with every field as text; ``extra`` names further text fields."""
+    return reading_columns(spark.read.text(path), (*SCALE_FIELDS, *extra))
 
-    ``timeStamp`` and ``timestamp`` are different fields, so names are matched by case.
-    """
-    schema = T.StructType([*SCALE_SCHEMA.fields, *[T.StructField(e, T.StringType()) for e in extra]])
-    return reading_columns(spark.read.text(path), schema)
 
+def reading_columns(
+    lines: DataFrame, fields: Sequence[str] = SCALE_FIELDS, source: str = "value"
+) -> DataFrame:
+    """Fields of JSON text lines, in one pass over the text.
 
-def reading_columns(lines: DataFrame, schema: T.StructType = SCALE_SCHEMA, source: str = "value") -> DataFrame:
-    """Fields of JSON text lines, renamed so that no two names differ in case only."""
+    ``timeStamp`` and ``timestamp`` are different fields: names are matched by case, and
+    the first is renamed so that no two columns differ in case only.
+    """
     kept = [c for c in lines.columns if c != source]
-    names = [f.name for f in schema.fields]
     return lines.select(
-        *kept, F.json_tuple(source, *names).alias(*[plain_name(n) for n in names])
+        *kept, F.json_tuple(source, *fields).alias(*[plain_name(f) for f in fields])
     )
 
 
