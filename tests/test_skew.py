@@ -131,13 +131,15 @@ def test_hot_session_is_whole_in_parts(spark, monkeypatch):
     assert max(len(e.sets) for p in parts for e in p.exercises) < 250
 
 
-def test_hot_last_day_continues_over_parts(spark):
-    rows = strength.last_performance_rows(hot_log(spark))
-    docs = strength.nest_sets(rows, ["user_id", "exercise_key"], limit=500).filter("exercise_key = 'bench press'")
-    got = sorted(docs.collect(), key=lambda r: r.part)
-    assert [len(d.sets) for d in got] == [500, 500, 500, 500, 3]
-    numbers = [s.set_number for d in got for s in d.sets]
-    assert numbers == sorted(numbers)
+def test_hot_last_day_is_whole_in_parts(spark):
+    rows = strength.last_performance_rows(hot_log(spark), limit=500)
+    docs = strength.nest_sets(rows, ["user_id", "exercise_key"]).filter("exercise_key = 'bench press'")
+    got = docs.collect()
+    assert sorted(d.part for d in got) == [0, 1, 2, 3, 4]
+    assert max(len(d.sets) for d in got) < 700
+    numbers = [[s.set_number for s in d.sets] for d in got]
+    assert all(n == sorted(n) for n in numbers)
+    assert sorted(n for ns in numbers for n in ns) == [1, 2, 3, *range(10, 2010)]
 
 
 def test_hot_records(spark):
@@ -165,7 +167,8 @@ def test_hot_session_is_split_at_run_time(spark, build):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5000).cast("string")))
         .alias("session_id"),
         F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("smallint").alias("set_number"),
-        F.concat(F.lit("ex"), (F.col("id") % 40).cast("string")).alias("exercise_name"),
+        F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("ex"), (F.col("id") % 40).cast("string")))
+        .alias("exercise_name"),
         (F.col("id") % 12).cast("smallint").alias("reps"), (F.col("id") % 300 + 1).cast("decimal(6,2)").alias("weight_lbs"),
         F.sha2(F.col("id").cast("string"), 256).alias("notes"),
     )

@@ -190,59 +190,69 @@ def optional_equipment_filter(sets: DataFrame, machine_id=None) -> DataFrame:
     return sets if machine_id is None else sets.filter(F.col("gym_equipment_id") == machine_id)
 
 
-# Order of the sets of one day; the first also gives the day's header.
-SET_ORDER = ("set_number", "session_id", "reps", "weight_lbs", "rpe", "gym_equipment_id")
-
-
 def last_performance_rows(
-    t: Tables, *, keys: Sequence[str] = USER, per_machine: bool = False, machine_id=None
+    t: Tables,
+    *,
+    keys: Sequence[str] = USER,
+    per_machine: bool = False,
+    machine_id=None,
+    limit: int = DOCUMENT_ROWS,
 ) -> DataFrame:
     """Sets of the latest day per exercise (any case) [and machine], one row per set.
 
-    ``rank() = 1`` keeps all sets of the latest day and is cut on the map side.
+    Sets are first counted per session and exercise; the latest day is picked among those
+    few rows, with ``rank() = 1`` cut on the map side, and only its sessions fetch their
+    sets. ``part`` deals the sets of a day with more than ``limit`` over several documents.
     """
-    sets = optional_equipment_filter(performed_sets(t), machine_id)
-    sets = sets.withColumn("exercise_key", F.lower("exercise_name")).filter(
-        F.col("exercise_key").isNotNull()
-    )
-    by = [*keys, "exercise_key"]
-    if per_machine:
-        sets = sets.filter(F.col("gym_equipment_id").isNotNull())
-        by.append("gym_equipment_id")
+    unit = ["exercise_key", "gym_equipment_id"] if per_machine else ["exercise_key"]
+    sets = optional_equipment_filter(t["workout_sets"], machine_id).withColumn(
+        "exercise_key", F.lower("exercise_name")
+    )
+    for c in unit:
+        sets = sets.filter(F.col(c).isNotNull())
+    sessions = t["workout_sessions"].select(
+        F.col("id").alias("session_id"), "user_id", "session_date", F.col("name").alias("workout_name")
+    )
+    by = [*keys, *unit]
     newest = F.rank().over(Window.partitionBy(*by).orderBy(F.col("session_date").desc()))
-    latest = sets.withColumn("_rank", newest).filter(F.col("_rank") == 1)
-    # same partitioning as the rank: numbering the day's sets costs no shuffle
-    latest = latest.withColumn(
-        "place", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c) for c in SET_ORDER]))
+    latest = (
+        sets.groupBy("session_id", *unit)
+        .agg(F.count(F.lit(1)).alias("_sets"))
+        .join(sessions, "session_id")
+        .withColumn("_rank", newest)
+        .filter(F.col("_rank") == 1)
+        .withColumn("_parts", F.ceil(F.sum("_sets").over(Window.partitionBy(*by)) / limit))
+        .select("session_id", *by, "session_date", "workout_name", "_parts")
+    )
+    rows = sets.join(latest, ["session_id", *unit]).withColumn(
+        "part",
+        F.pmod(F.xxhash64("session_id", "set_number", *SET_VALUES), F.col("_parts")).cast("int"),
     )
     return join_optional(
-        latest, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
+        rows, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
     ).select(
         *keys, "exercise_key", "gym_equipment_id", "session_id", "session_date", "workout_name",
-        "equipment_name", "equipment_brand", "gym_name", "set_number", "reps", "weight_lbs", "rpe",
-        "place",
+        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES, "part",
     )
 
 
+SET_VALUES = ("reps", "weight_lbs", "rpe")
 HEADER = ("session_date", "workout_name", "equipment_name", "equipment_brand", "gym_name")
 
 
-def nest_sets(rows: DataFrame, by: Sequence[str], limit: int = DOCUMENT_ROWS) -> DataFrame:
+def nest_sets(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of ``last_performance_rows`` as header plus an ordered list of sets.
 
-    The header is that of the first set. A document holds ``limit`` sets; further sets
-    follow as rows with ``part`` 1, 2, ..., each continuing the list.
+    The header is that of the first set: lowest set number, then session. A day of more
+    sets than one document should hold comes as several, each ordered in itself.
     """
-    part = F.floor((F.col("place") - 1) / limit).cast("int").alias("part")
+    order = F.struct("set_number", "session_id", *SET_VALUES, "gym_equipment_id")
     shown = F.transform(
-        F.sort_array(F.collect_list(F.struct("place", "set_number", "reps", "weight_lbs", "rpe"))),
-        lambda s: F.struct(
-            s["set_number"].alias("set_number"), s["reps"].alias("reps"),
-            s["weight_lbs"].alias("weight_lbs"), s["rpe"].alias("rpe"),
-        ),
+        F.sort_array(F.collect_list(order)),
+        lambda s: F.struct(*[s[c].alias(c) for c in ("set_number", *SET_VALUES)]),
     )
-    return rows.groupBy(*by, part).agg(
-        *[F.min_by(c, "place").alias(c) for c in HEADER], shown.alias("sets")
+    return rows.groupBy(*by, "part").agg(
+        *[F.min_by(c, order).alias(c) for c in HEADER], shown.alias("sets")
     )
 
 
@@ -268,9 +278,9 @@ def last_performance_fallback(
         *keys, F.lower("exercise_name").alias("exercise_key"),
         F.col("gym_equipment_id").alias("requested_machine"),
     ).distinct()
-    fields = ["session_id", *HEADER, "set_number", "reps", "weight_lbs", "rpe", "place"]
-    special = last_performance_rows(t, keys=keys, per_machine=True).withColumnRenamed(
-        "gym_equipment_id", "requested_machine"
+    fields = ["gym_equipment_id", "session_id", *HEADER, "set_number", *SET_VALUES, "part"]
+    special = last_performance_rows(t, keys=keys, per_machine=True).withColumn(
+        "requested_machine", F.col("gym_equipment_id")
     )
     exact = asked.join(special, [*keys, "exercise_key", "requested_machine"]).withColumn(
         "used_machine", F.lit(True)
@@ -278,7 +288,7 @@ def last_performance_fallback(
     # which requests found machine history, one row each
     found = special.select(*keys, "exercise_key", "requested_machine").distinct()
     open_requests = asked.join(found, [*keys, "exercise_key", "requested_machine"], "left_anti")
-    general = last_performance_rows(t, keys=keys).drop("gym_equipment_id")
+    general = last_performance_rows(t, keys=keys)
     rest = open_requests.join(general, [*keys, "exercise_key"]).withColumn(
         "used_machine", F.lit(False)
     )
