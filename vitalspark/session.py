@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,20 +23,12 @@ def local_session(cpus: str = "8", app: str = "vitalspark") -> SparkSession:
     )
 
 
-@cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="vitalspark-")
-
-
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, in a local test session, is a folder of this
-    machine used.
+    Where that setting is absent, the shared warehouse takes its place. All folders of one
+    application lie under one parent.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_base()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    app = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/work-{app}/{purpose}-{uuid.uuid4().hex}"
