@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import blocks, body, map_arrow, remainder, utf8
+from vitalspark.llm.common import (
+    SPACES, blocks, body, map_arrow, prefix_hash, remainder, span_hash, spans, utf8,
+)
 
-#: Hashed features; each byte n-gram of the orders sets one of them.
+#: Hashed features; each n-gram sets one of them.
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
+#: Word n-grams of up to nine words enter by their pattern of repeated neighbours.
+PATTERNS = range(1, 9)
 #: Rows whose flags are held at once.
 ROWS = 256
 
@@ -34,9 +38,27 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             h ^= h >> np.uint32(15)
         at = np.flatnonzero(np.arange(m) + k <= ends[:m])
         flags.reshape(-1)[rows[at] * FEATURES + (h[at] & np.uint32(FEATURES - 1))] = True
+    _set_patterns(flags, data, offsets)
     return flags
 
 
+def _set_patterns(flags: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    """Word n-grams, each word told only as equal or unequal to the one before."""
+    starts, ends = spans(~SPACES[data], offsets)
+    bounds = np.searchsorted(starts, offsets)
+    words = span_hash(prefix_hash(data), starts, ends)
+    same = np.zeros(len(words), np.int64)
+    same[1:] = words[1:] == words[:-1]
+    row = np.repeat(np.arange(len(flags)), np.diff(bounds))
+    place = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
+    code = np.zeros(len(words), np.int64)
+    for m in PATTERNS:
+        code[m:] = (code[m - 1:-1] << 1 | same[m:]) if len(words) > m else code[m:]
+        at = np.flatnonzero(place >= m)
+        h = (code[at] + (1 << m)) * 40503 & FEATURES - 1
+        flags[row[at], h] = True
+
+
 @dataclass(frozen=True)
 class Model:
     """``weights`` already hold the log-count ratios; rows are scaled to unit length by ``ratio``."""
