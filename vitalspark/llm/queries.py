@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import classifier, exact, packing, rules, tokens
+from vitalspark.llm import classifier, exact, near, packing, rules, tokens
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -35,6 +35,10 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_tokens": op2_tokens,
     "op4_rules": op4_rules,
     "op5_exact": op5_exact,
+    "op6_near": op6_near,
     "op8_quality": op8_quality,
 }
 
