@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import classifier, exact, near, packing, rules, tokens
+from vitalspark.llm import classifier, exact, near, packing, rules, suffixes, tokens
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -27,6 +27,11 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(spark, path)
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_tokens": op2_tokens,
+    "op3_suffix": op3_suffix,
     "op4_rules": op4_rules,
     "op5_exact": op5_exact,
     "op6_near": op6_near,
