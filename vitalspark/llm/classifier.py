@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import (
-    SPACES, blocks, body, map_arrow, prefix_hash, remainder, span_hash, spans, utf8,
+    SPACES, blocks, body, hashed_sample, map_arrow, prefix_hash, remainder, span_hash, spans, utf8,
 )
 
 #: Hashed features; each n-gram sets one of them.
@@ -151,13 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Mode
     """Fit on at most ``sample_rows`` labelled documents that are not held out.
 
     They are the rows of ``labels`` with the smallest hash of their id, so the sample's size is
-    bounded and it may be broadcast. Of several labels of an id the lowest counts; null labels
+    bounded and it may be broadcast (ids are expected unique). Of several labels of an id the lowest counts; null labels
     and null ids take no part.
     """
-    sample = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").dropna()
-              .filter(remainder(F.col("doc_id"), 5) != 0)
-              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").dropna()
+             .filter(remainder(F.col("doc_id"), 5) != 0)
+             .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    sample = hashed_sample(known, "doc_id", sample_rows)
     picked = body(docs).join(F.broadcast(sample), "doc_id")
 
     def features(batch: pa.RecordBatch):
@@ -171,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Mode
 
     rows = (map_arrow(picked.select("doc_id", F.col("quality").cast("int").alias("quality"), "text"),
                       features, "doc_id long, quality int, features binary")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample_rows).collect())
+            .collect())
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.features))
     return fit([np.frombuffer(r.features, np.uint16).astype(np.int64) for r in rows],
                np.array([r.quality == 1 for r in rows], bool))
 

@@ -52,6 +52,19 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those whose hash of ``key`` is smallest.
+
+    What surely lies beyond the bound is filtered out first, so no task sends many rows.
+    """
+    total = df.count()
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if total > rows:
+        share = min(1.0, (rows + 6 * rows ** 0.5 + 10) / total)
+        df = df.filter(h < int(share * (1 << 40)))
+    return df.orderBy(h, key, *[c for c in df.columns if c != key]).limit(rows)
+
+
 def release() -> None:
     """Let the driver forget finished frames, so that Spark's cleaner drops their shuffle files."""
     import gc

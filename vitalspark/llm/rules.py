@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import (
-    SPACES, blocks, body, map_arrow, mix, per_row, prefix_hash, saved, span_hash, spans, utf8,
+    SPACES, blocks, body, hashed_sample, map_arrow, mix, per_row, prefix_hash, saved, span_hash, spans, utf8,
     windows,
 )
 
@@ -200,8 +200,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000)
     counts = saved(text_counts(docs), "rule-counts")
     marks = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")
              .dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    sample = (counts.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS)
-              .limit(sample_rows).toPandas())
+    sample = hashed_sample(counts.join(marks, "doc_id"), "doc_id", sample_rows).toPandas()
     table = {name: sample[a].to_numpy() / np.maximum(sample[b].to_numpy(), 1)
              for name, (a, b) in RATIOS.items()}
     bad = (sample["quality"] == 0).to_numpy(dtype=bool)
