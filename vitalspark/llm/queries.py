@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import classifier, exact, near, packing, rules, suffixes, tokens
+from vitalspark.llm import classifier, exact, near, packing, rules, scoring, suffixes, tokens
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -44,6 +44,10 @@ def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(documents(spark, sf_dir))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_rules": op4_rules,
     "op5_exact": op5_exact,
     "op6_near": op6_near,
+    "op7_lm": op7_lm,
     "op8_quality": op8_quality,
 }
 
