@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import classifier, exact, near, packing, rules, scoring, suffixes, tokens
+from vitalspark.llm import bpe, classifier, exact, near, packing, rules, scoring, suffixes, tokens
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -52,6 +52,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode_texts(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.decode_ids(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_tokens": op2_tokens,
@@ -61,6 +69,7 @@ QUERIES = {
     "op6_near": op6_near,
     "op7_lm": op7_lm,
     "op8_quality": op8_quality,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
