@@ -197,3 +197,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     return map_arrow(body(docs), score, "doc_id long, score double").select(
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they are."""
+    model = train(docs, labels)
+    if model is None:
+        return docs
+
+    def keep(batch: pa.RecordBatch):
+        data, offsets = utf8(batch.column(batch.num_columns - 1))
+        rows = batch.select(range(batch.num_columns - 1))
+        for lo, hi in blocks(offsets, rows=ROWS):
+            flags = indicators(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            yield rows[lo:hi].filter(pa.array(model.scores(flags) >= threshold))
+
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("*", whole.alias("whole_text")).mapInArrow(
+        lambda batches: (out for b in batches for out in keep(b)), docs.schema)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitalspark.session import work_dir
 
@@ -43,8 +44,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def body(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and the text, null as empty; other columns play no part."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(*body_columns())
+
+
+def body_columns() -> list[Column]:
+    return [F.col("doc_id").cast("bigint").alias("doc_id"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -77,7 +82,7 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str | StructType) -> DataFrame:
     """Apply ``make`` to record batches; it may be a generator."""
 
     def run(batches):

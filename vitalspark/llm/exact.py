@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import body, saved
@@ -43,3 +43,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return (alike.select(*columns).unionByName(split.select(*columns))
             .select("doc_id", "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are; of rows that repeat an id and its
+    text one stays."""
+    kept = exact_dedup(docs).filter("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("row_id"),
+                        F.sha2(normalised(whole).cast("binary"), 256).alias("row_sha"))
+    same = named.row_id.eqNullSafe(kept.kept_id) & (named.row_sha == kept.kept_sha)
+    one = Window.partitionBy("row_id", "row_sha").orderBy("row_id")
+    return (named.join(kept, same, "left_semi").withColumn("place", F.row_number().over(one))
+            .filter("place = 1").select("row.*"))

@@ -265,3 +265,10 @@ def near_dedup(docs: DataFrame, threshold: int = 75) -> DataFrame:
                     F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id"))
                     .otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def representatives(docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """The rows of ``docs`` that stay, one id of each component, all columns as they are."""
+    kept = near_dedup(docs, threshold).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    row_id = docs["doc_id"].cast("bigint")
+    return docs.join(kept, row_id.eqNullSafe(kept.kept_id), "left_semi")

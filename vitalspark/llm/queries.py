@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import bpe, classifier, exact, near, packing, rules, scoring, suffixes, tokens
+from vitalspark.llm import bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -60,6 +60,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/block of 50 ids/id``."""
+    docs = documents(spark, sf_dir)
+    block = F.format_string("%06d", F.floor(F.col("doc_id") / 50).cast("long"))
+    files = docs.select(F.concat_ws("/", "source", "lang", block, F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(files).withColumn(
+        "doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_tokens": op2_tokens,
@@ -70,6 +79,7 @@ QUERIES = {
     "op7_lm": op7_lm,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL = {

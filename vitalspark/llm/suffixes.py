@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitalspark.llm.chunks import chunked
 from vitalspark.llm.common import (
-    BYTE_VALUES, blocks, mix, powers, prefix_hash, release, saved, span_hash, spans, utf8,
+    BYTE_VALUES, blocks, map_arrow, mix, powers, prefix_hash, release, saved, span_hash, spans, utf8,
 )
 
 #: Difference covers: every residue is a difference of two members.
@@ -130,9 +131,12 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, starts), len(keys))
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, rounds: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 100, rounds: int = 4,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay).
 
+    Columns named in ``carry`` come along as ``carry_0`` and so on.
+
     A byte goes if a string of ``width`` bytes over it also starts earlier, in a document with a
     smaller ``doc_id`` or further ahead in the same one. Strings are those of the input; none
     crosses documents. A null text is empty; texts shorter than ``width`` stay whole. Rows of one
@@ -143,7 +147,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, rounds: int = 4) -> DataFr
     documents share costs one entry per chunk. ``rounds`` divides the key space: scratch space
     holds one of them at a time.
     """
-    table, count = chunked(docs, "suffix_chunks", CHUNK_BYTES)
+    table, count = chunked(docs, "suffix_chunks", CHUNK_BYTES, carry)
     buckets = -(-count // 2)
     release()
 
@@ -261,7 +265,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, rounds: int = 4) -> DataFr
         replies = replies.union(a.select("chunk", "bucket", "later"))
 
     def cut(chunk: pa.Table, right: pa.Table) -> pa.Table:
-        chunk, data, offsets = texts_of(chunk.select(["row", "doc_id", "text"]))
+        chunk, data, offsets = texts_of(chunk)
         gone = np.zeros(len(data), bool)
         if right.num_rows:
             right = right.sort_by("bucket").combine_chunks()
@@ -289,7 +293,33 @@ def repeated_spans(docs: DataFrame, width: int = 100, rounds: int = 4) -> DataFr
             "n_removed": np.diff(removed[offsets]),
             "n_spans": np.diff(np.searchsorted(begin, offsets)).astype(np.int64),
             "kept": pa.array([stay[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)],
-                             pa.binary())})
+                             pa.binary()),
+            **{c: chunk.column(c) for c in carried}})
+
+    carried = [f"carry_{k}" for k in range(len(carry))]
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = StructType(schema.fields + [table.schema[c] for c in carried])
+    return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
+
 
-    return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+    """The rows of ``docs`` with repeated strings cut from ``text``, all other columns as they are.
+
+    Bytes of a character that was cut apart go too. ``n_chars``, where there is one, is the length of
+    the new text.
+    """
+    names = tuple(c for c in docs.columns if c != "text")
+    rows = repeated_spans(docs, width, carry=names)
+
+    def as_text(batch: pa.RecordBatch):
+        text = [x.decode(errors="ignore") for x in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(f"carry_{k}") for k in range(len(names))), pa.array(text, pa.string())],
+            [*(f"carry_{k}" for k in range(len(names))), "kept_text"])
+
+    schema = StructType([rows.schema[f"carry_{k}"] for k in range(len(names))]).add("kept_text", "string")
+    found = map_arrow(rows.drop("doc_id", "n_bytes", "n_removed", "n_spans"), as_text, schema)
+    new = {c: F.col(f"carry_{k}") for k, c in enumerate(names)} | {"text": F.col("kept_text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new[c].alias(c) for c in docs.columns])
