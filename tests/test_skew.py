@@ -10,7 +10,7 @@ from tests.fixtures import sample_log
 from vitalspark.operators import strength
 from vitalspark.operators.history import page_rows
 from vitalspark.sources.seeds import conform
-from vitalspark.skew import first_rows, join_optional, rolling_rows, row_positions, split_documents
+from vitalspark.skew import first_rows, join_optional, position_parts, rolling_rows, row_positions
 
 
 @pytest.fixture(scope="module")
@@ -92,18 +92,19 @@ def test_null_keys_meet_many_tasks(spark, hot):
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def test_split_documents(hot):
-    got = split_documents(hot.filter("k is not null"), ["k"], ["id"], limit=50)
-    sizes = {(r.k, r.part): r["count"] for r in got.groupBy("k", "part").count().collect()}
-    assert sum(sizes.values()) == hot.filter("k is not null").count()
-    assert max(sizes.values()) < 120
-    small = split_documents(hot.filter("k is not null"), ["k"], ["id"], limit=100_000)
-    assert {r.part for r in small.select("part").distinct().collect()} == {0}
+@pytest.mark.parametrize("size", [50, 1000, 100_000])
+def test_parts_follow_one_another(hot, size):
+    order = [F.col("day").asc_nulls_first(), F.col("id").asc()]
+    got = position_parts(hot, ["k"], F.col("day"), order, size)
+    place = F.row_number().over(Window.partitionBy("k").orderBy(*order))
+    want = {r.id: r.p for r in hot.withColumn("p", place).collect()}
+    for r in got.collect():
+        assert (r.place, r.part) == (want[r.id], (want[r.id] - 1) // size)
 
 
 def test_deep_page_equals_plain_numbering(hot):
     order = [F.col("day").desc(), F.col("id").desc()]
-    got = page_rows(hot, ["k"], "day", order, limit=300, offset=900, cap=300)
+    got = page_rows(hot, ["k"], "day", order, limit=300, offset=900)
     place = F.row_number().over(Window.partitionBy("k").orderBy(*order))
     want = hot.withColumn("p", place).filter(F.col("p").between(901, 1200))
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
@@ -122,24 +123,31 @@ def hot_log(spark):
     return {**t, "workout_sets": t["workout_sets"].unionByName(more)}
 
 
-def test_hot_session_is_whole_in_parts(spark, monkeypatch):
+def test_session_is_the_same_at_any_part_size(spark):
     t = hot_log(spark)
-    monkeypatch.setattr(strength, "split_documents", lambda r, k, s: split_documents(r, k, s, limit=100))
-    parts = strength.session_detail(t).collect()
-    assert len(parts) > 10
-    assert sum(len(e.sets) for p in parts for e in p.exercises) == 2007
-    assert max(len(e.sets) for p in parts for e in p.exercises) < 250
-
-
-def test_hot_last_day_is_whole_in_parts(spark):
-    rows = strength.last_performance_rows(hot_log(spark), limit=500)
-    docs = strength.nest_sets(rows, ["user_id", "exercise_key"]).filter("exercise_key = 'bench press'")
-    got = docs.collect()
-    assert sorted(d.part for d in got) == [0, 1, 2, 3, 4]
-    assert max(len(d.sets) for d in got) < 700
-    numbers = [[s.set_number for s in d.sets] for d in got]
-    assert all(n == sorted(n) for n in numbers)
-    assert sorted(n for ns in numbers for n in ns) == [1, 2, 3, *range(10, 2010)]
+
+    def whole(part_rows):
+        parts = sorted(strength.session_detail(t, part_rows).collect(), key=lambda p: (p.id, p.part))
+        assert max(sum(len(e.sets) for e in p.exercises) for p in parts if p.exercises) <= part_rows
+        rows = [(p.id, e.name, e.first_place + k, *s) for p in parts for e in p.exercises or () for k, s in enumerate(e.sets)]
+        assert len(rows) == 2007
+        return rows
+
+    assert whole(100) == whole(7) == whole(10_000)
+
+
+def test_last_day_is_the_same_at_any_part_size(spark):
+    rows = strength.last_performance_rows(hot_log(spark))
+
+    def whole(part_rows):
+        docs = strength.nest_sets(rows, ["user_id", "exercise_key"], part_rows).collect()
+        docs.sort(key=lambda d: (d.user_id, d.exercise_key, d.part))
+        assert max(len(d.sets) for d in docs) <= part_rows
+        return [(d.user_id, d.exercise_key, *(d[c] for c in strength.HEADER), *s) for d in docs for s in d.sets]
+
+    assert whole(500) == whole(3) == whole(10_000)
+    bench = [r for r in whole(500) if r[1] == "bench press"]
+    assert len(bench) == 2003 and len({r[:7] for r in bench}) == 1
 
 
 def test_hot_records(spark):

@@ -86,7 +86,7 @@ def _contains(c: Column, text: str) -> Column:
 
 def search_library(
     t: Tables, q: str | None = None, type: str | None = None, category: str | None = None,
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     """Library entries by text, type and category, most widespread first."""
     found = t["equipment_library"]
@@ -128,7 +128,7 @@ def gym_list(t: Tables) -> DataFrame:
 SEARCHED = ("id", "name", "address", "city", "state", "zip", "gym_type", "is_24hr", "workout_count")
 
 
-def search_gyms(t: Tables, q: str | None, limit: int | None = 20) -> DataFrame:
+def search_gyms(t: Tables, q: str | None, limit: int | None = None) -> DataFrame:
     """Gyms by part of name or city, or start of the zip code, busiest first.
 
     Fewer than two characters after trimming find nothing; the text is matched as given.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalspark.functions.dates import days_before, week_start
 from vitalspark.functions.numbers import mean_rounded, one_rep_max, round_to_int
 from vitalspark.operators.history import page_rows
-from vitalspark.skew import DOCUMENT_ROWS, join_optional, split_documents
+from vitalspark.skew import PART_ROWS, join_optional, join_shared, position_parts
 
 Tables = Mapping[str, DataFrame]
 USER = ("user_id",)
@@ -148,7 +148,7 @@ def personal_records(
     daily = lifted.groupBy(*keys, "exercise_name", "gym_equipment_id", "session_date").agg(
         F.max("weight_lbs").alias("_weight"),
         F.max(one_rep_max(F.col("weight_lbs"), F.col("reps"))).alias("_one_rep"),
-        F.count("set_number").alias("_sets"),
+        F.count(F.lit(1)).alias("_sets"),
     )
     named = join_optional(
         daily, machines(t), "gym_equipment_id", "machine_id",
@@ -196,13 +196,12 @@ def last_performance_rows(
     keys: Sequence[str] = USER,
     per_machine: bool = False,
     machine_id=None,
-    limit: int = DOCUMENT_ROWS,
 ) -> DataFrame:
     """Sets of the latest day per exercise (any case) [and machine], one row per set.
 
-    Sets are first counted per session and exercise; the latest day is picked among those
+    Sets are first reduced to sessions and exercises; the latest day is picked among those
     few rows, with ``rank() = 1`` cut on the map side, and only its sessions fetch their
-    sets. ``part`` deals the sets of a day with more than ``limit`` over several documents.
+    sets.
     """
     unit = ["exercise_key", "gym_equipment_id"] if per_machine else ["exercise_key"]
     sets = optional_equipment_filter(t["workout_sets"], machine_id).withColumn(
@@ -216,23 +215,18 @@ def last_performance_rows(
     by = [*keys, *unit]
     newest = F.rank().over(Window.partitionBy(*by).orderBy(F.col("session_date").desc()))
     latest = (
-        sets.groupBy("session_id", *unit)
-        .agg(F.count(F.lit(1)).alias("_sets"))
+        sets.select("session_id", *unit).distinct()
         .join(sessions, "session_id")
         .withColumn("_rank", newest)
         .filter(F.col("_rank") == 1)
-        .withColumn("_parts", F.ceil(F.sum("_sets").over(Window.partitionBy(*by)) / limit))
-        .select("session_id", *by, "session_date", "workout_name", "_parts")
-    )
-    rows = sets.join(latest, ["session_id", *unit]).withColumn(
-        "part",
-        F.pmod(F.xxhash64("session_id", "set_number", *SET_VALUES), F.col("_parts")).cast("int"),
+        .select("session_id", *by, "session_date", "workout_name")
     )
+    rows = sets.join(latest, ["session_id", *unit])
     return join_optional(
         rows, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
     ).select(
         *keys, "exercise_key", "gym_equipment_id", "session_id", "session_date", "workout_name",
-        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES, "part",
+        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES,
     )
 
 
@@ -240,20 +234,23 @@ SET_VALUES = ("reps", "weight_lbs", "rpe")
 HEADER = ("session_date", "workout_name", "equipment_name", "equipment_brand", "gym_name")
 
 
-def nest_sets(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def nest_sets(rows: DataFrame, by: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
     """Rows of ``last_performance_rows`` as header plus an ordered list of sets.
 
-    The header is that of the first set: lowest set number, then session. A day of more
-    sets than one document should hold comes as several, each ordered in itself.
+    The header is that of the first set: lowest set number, then session. A document comes in
+    parts of ``part_rows`` sets, numbered by ``part`` from 0; every part has the same header and
+    they follow one another in order.
     """
-    order = F.struct("set_number", "session_id", *SET_VALUES, "gym_equipment_id")
-    shown = F.transform(
-        F.sort_array(F.collect_list(order)),
-        lambda s: F.struct(*[s[c].alias(c) for c in ("set_number", *SET_VALUES)]),
-    )
-    return rows.groupBy(*by, "part").agg(
-        *[F.min_by(c, order).alias(c) for c in HEADER], shown.alias("sets")
+    order = ["set_number", "session_id", *SET_VALUES, "gym_equipment_id"]
+    placed = position_parts(
+        rows, by, F.col("set_number"), [F.col(c).asc_nulls_first() for c in order], part_rows
     )
+    first = placed.filter(F.col("place") == 1).select(*by, *HEADER)
+    lists = placed.groupBy(*by, "part").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("place", "set_number", *SET_VALUES))),
+        lambda s: F.struct(*[s[c].alias(c) for c in ("set_number", *SET_VALUES)]),
+    ).alias("sets"))
+    return join_shared(lists, first, by).select(*by, "part", *HEADER, "sets")
 
 
 def last_performance(
@@ -278,7 +275,7 @@ def last_performance_fallback(
         *keys, F.lower("exercise_name").alias("exercise_key"),
         F.col("gym_equipment_id").alias("requested_machine"),
     ).distinct()
-    fields = ["gym_equipment_id", "session_id", *HEADER, "set_number", *SET_VALUES, "part"]
+    fields = ["gym_equipment_id", "session_id", *HEADER, "set_number", *SET_VALUES]
     special = last_performance_rows(t, keys=keys, per_machine=True).withColumn(
         "requested_machine", F.col("gym_equipment_id")
     )
@@ -297,9 +294,9 @@ def last_performance_fallback(
 
 
 def session_list(
-    t: Tables, *, keys: Sequence[str] = USER, limit: int | None = 50, offset: int = 0, cap: int = 200
+    t: Tables, *, keys: Sequence[str] = USER, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """A page of sessions per user with gym name and number of different exercises.
+    """All sessions, or a page per user, with gym name and number of different exercises.
 
     Names are reduced per (session, name) before they are counted per session, so a
     session of any size is one row when it meets the page.
@@ -309,7 +306,7 @@ def session_list(
     ]
     page = t["workout_sessions"]
     if limit is not None:
-        page = page_rows(page, keys, "session_date", order, limit=limit, offset=offset, cap=cap)
+        page = page_rows(page, keys, "session_date", order, limit=limit, offset=offset)
     counts = t["workout_sets"].groupBy("session_id").agg(
         F.countDistinct("exercise_name").alias("_exercises")
     )
@@ -321,33 +318,33 @@ def session_list(
     )
 
 
-def session_detail(t: Tables) -> DataFrame:
+def session_detail(t: Tables, part_rows: int = PART_ROWS) -> DataFrame:
     """Each session with its exercises by name and their sets in order, nested.
 
-    A session of more sets than one document should hold comes as several rows with
-    ``part`` 0, 1, ...; each part is ordered in itself.
+    A session comes in parts of ``part_rows`` sets, numbered by ``part`` from 0, that follow one
+    another in order; an exercise that is cut goes on at the start of the next part. ``first_place``
+    is the position of an entry's first set in its exercise.
     """
-    sets = t["workout_sets"].select(
-        "session_id", "exercise_name", "set_number", "reps", "weight_lbs", "rpe", "notes"
-    )
-    parted = split_documents(
-        sets, ["session_id"], ["exercise_name", "set_number", "reps", "weight_lbs", "rpe", "notes"]
-    )
-    one_set = F.struct("set_number", "reps", "weight_lbs", "rpe", "notes")
+    values = ["set_number", "reps", "weight_lbs", "rpe", "notes"]
+    sets = t["workout_sets"].select("session_id", "exercise_name", *values)
+    order = [F.col(c).asc_nulls_first() for c in ("exercise_name", *values)]
+    parted = position_parts(sets, ["session_id"], F.col("exercise_name"), order, part_rows)
     per_exercise = parted.groupBy("session_id", "part", "exercise_name").agg(
+        F.min("place").alias("_from"),
         F.transform(
-            F.sort_array(F.collect_list(one_set)),
-            lambda s: F.struct(
-                s["reps"].alias("reps"), s["weight_lbs"].alias("weight_lbs"),
-                s["rpe"].alias("rpe"), s["notes"].alias("notes"),
-            ),
-        ).alias("sets")
-    )
-    documents = per_exercise.groupBy("session_id", "part").agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col("exercise_name").alias("name"), "sets"))
-        ).alias("exercises")
-    )
+            F.sort_array(F.collect_list(F.struct("place", *values[1:]))),
+            lambda s: F.struct(*[s[c].alias(c) for c in values[1:]]),
+        ).alias("sets"),
+    )
+    starts = per_exercise.groupBy("session_id", "exercise_name").agg(F.min("_from").alias("_start"))
+    entries = join_shared(per_exercise, starts, ["session_id", "exercise_name"]).withColumn(
+        "first_place", F.col("_from") - F.col("_start") + 1
+    )
+    documents = entries.groupBy("session_id", "part").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct(
+            "_from", F.col("exercise_name").alias("name"), "first_place", "sets"))),
+        lambda e: F.struct(*[e[c].alias(c) for c in ("name", "first_place", "sets")]),
+    ).alias("exercises"))
     sessions = t["workout_sessions"]
     return sessions.join(documents, F.col("id") == F.col("session_id"), "left").select(
         *sessions.columns, F.coalesce("part", F.lit(0)).alias("part"), "exercises"
@@ -358,9 +355,12 @@ def session_detail_rows(details: DataFrame, *columns: str) -> DataFrame:
     """Nested session documents laid out again, one row per set."""
     return (
         details.select(*columns, F.explode("exercises").alias("_e"))
-        .select(*columns, F.col("_e.name").alias("exercise_name"), F.posexplode("_e.sets").alias("_p", "_s"))
         .select(
-            *columns, "exercise_name", (F.col("_p") + 1).alias("place"), "_s.reps",
+            *columns, F.col("_e.name").alias("exercise_name"), F.col("_e.first_place").alias("_f"),
+            F.posexplode("_e.sets").alias("_p", "_s"),
+        )
+        .select(
+            *columns, "exercise_name", (F.col("_p") + F.col("_f")).alias("place"), "_s.reps",
             "_s.weight_lbs", "_s.rpe", "_s.notes",
         )
     )

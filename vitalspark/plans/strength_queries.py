@@ -224,7 +224,7 @@ LIST_COLUMNS = (
     " gym_name:s exercise_count:n"
 )
 query("session_list", LIST_COLUMNS, f"{SETS} gyms", f"select * from ({LISTED}) where place <= 50")(
-    strength.session_list
+    lambda t: strength.session_list(t, limit=50)
 )
 query("session_list_all", LIST_COLUMNS, f"{SETS} gyms", LISTED)(
     lambda t: strength.session_list(t, limit=None)
@@ -262,7 +262,7 @@ query(
     lambda t: history.page_rows(
         t["cardio_sessions"], ["activity_type"], "session_date",
         [F.col("session_date").desc(), F.col("created_at").desc(), F.col("id").desc()],
-        limit=1000, offset=500, cap=1000,
+        limit=1000, offset=500,
     )
 )
 query(

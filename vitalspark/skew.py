@@ -4,7 +4,7 @@
 ``row_positions``   1-based position of every row in its group, numbered slice by slice
 ``rolling_rows``    aggregate over the last n rows of a group, in fixed-size blocks
 ``join_optional``   left join whose null keys do not pile up in one task
-``split_documents`` part numbers so that no collected list grows without bound
+``position_parts`` documents cut into parts of so many positions, alike at every size
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import WindowSpec
 
 NULL_SPREAD = 256
 BLOCK_ROWS = 4096
-DOCUMENT_ROWS = 10_000
+PART_ROWS = 10_000
 
 
 def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -28,6 +28,15 @@ def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     )
 
 
+def join_shared(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Inner join on shared columns, nulls equal; the right side may come from the left one."""
+    named = right.select(
+        *[F.col(c).alias(f"_k_{c}") for c in columns], *[c for c in right.columns if c not in columns]
+    )
+    on = reduce(lambda a, b: a & b, [left[c].eqNullSafe(named[f"_k_{c}"]) for c in columns], F.lit(True))
+    return left.join(named, on).drop(*[f"_k_{c}" for c in columns])
+
+
 def first_rows(df: DataFrame, keys: Sequence, order: Sequence[Column], rows: int = 1) -> DataFrame:
     """The first ``rows`` rows of each group.
 
@@ -142,27 +151,14 @@ def join_optional(
     return joined.drop("_spread", "_target")
 
 
-def split_documents(
-    rows: DataFrame, keys: Sequence[str], spread_by: Sequence[str], limit: int = DOCUMENT_ROWS
+def position_parts(
+    rows: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[Column],
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Add ``part`` so that collecting per (keys, part) takes about ``limit`` rows at most.
+    """Add ``place``, the position in the document of ``keys``, and ``part``, its block of positions.
 
-    Groups within the limit keep part 0. Only groups beyond it are in the joined
-    table, so the join is with a small or empty side in the usual case.
+    Parts of a document in order of ``part``, each ordered by ``place``, are the whole
+    document in order, whatever ``part_rows`` is.
     """
-    large = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(
-            *[F.col(k).alias(f"_d_{k}") for k in keys],
-            F.ceil(F.col("_rows") / limit).alias("_parts"),
-        )
-    )
-    part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0).cast("bigint"))
-    return (
-        join_optional(rows, large, list(keys), [f"_d_{k}" for k in keys], spread_by)
-        .withColumn("part", part.cast("int"))
-        .drop("_parts")
-        .repartition(*[F.col(k) for k in keys], F.col("part"))
-    )
+    placed = row_positions(rows, keys, slice_by, order, name="place")
+    return placed.withColumn("part", F.floor((F.col("place") - 1) / part_rows).cast("int"))

@@ -34,20 +34,6 @@ def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
 
 
-def scan_jdbc_table(
-    spark: SparkSession, url: str, name: str, split_on: str, low: str, high: str, splits: int, **options
-) -> DataFrame:
-    """One table from a database, read in ``splits`` ranges of ``split_on``."""
-    return (
-        spark.read.format("jdbc")
-        .options(
-            url=url, dbtable=name, partitionColumn=split_on, lowerBound=low, upperBound=high,
-            numPartitions=splits, **options,
-        )
-        .load()
-    )
-
-
 def scan_all(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
     return {name: scan_table(spark, root, name) for name in names}
 
