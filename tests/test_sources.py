@@ -14,7 +14,7 @@ from vitalspark.schemas import TABLE_DDL, table_schema
 from vitalspark.sources import documents, scale, tables
 
 
-def test_every_schema_parses():
+def test_every_schema_parses(spark):
     assert all(table_schema(n).fields for n in TABLE_DDL)
 
 
@@ -31,17 +31,54 @@ def test_store_and_scan(spark, tmp_path):
     assert "ReadSchema: struct<weight_lbs:decimal(6,2)>" in plan
 
 
-def test_months_not_in_the_write_stay(spark, tmp_path):
-    def row(i, day):
-        return (f"s{i}", "u", day, "Legs")
+def stored_sessions(spark, root, days):
+    rows = [(f"s{k}", "u", day, "Legs") for k, day in enumerate(days)]
+    tables.store_table(
+        make(spark, "workout_sessions", ["id", "user_id", "session_date", "name"], rows), root, "workout_sessions"
+    )
+
+
+def read_back(spark, root):
+    got = tables.scan_table(spark, root, "workout_sessions").collect()
+    return {r.id: (str(r.session_date), r.month) for r in got}
+
+
+def test_a_stored_table_is_the_whole_truth(spark, tmp_path):
+    stored_sessions(spark, str(tmp_path), ["2025-01-05", "2025-02-05"])
+    stored_sessions(spark, str(tmp_path), ["2025-02-06"])
+    assert read_back(spark, str(tmp_path)) == {"s0": ("2025-02-06", "2025-02")}
+
+
+def test_changes_touch_the_named_months_alone(spark, tmp_path):
+    root = str(tmp_path)
+    stored_sessions(spark, root, ["2025-01-05", "2025-01-06", "2025-02-05", "2025-03-05", "2025-03-06"])
+    march = sorted(p.name for p in (tmp_path / "workout_sessions/month=2025-03").glob("*.parquet"))
 
-    columns = ["id", "user_id", "session_date", "name"]
-    both = make(spark, "workout_sessions", columns, [row(1, "2025-01-05"), row(2, "2025-02-05")])
-    tables.store_table(both, str(tmp_path), "workout_sessions")
-    february = make(spark, "workout_sessions", columns, [row(3, "2025-02-06")])
-    tables.store_table(february, str(tmp_path), "workout_sessions")
-    got = tables.scan_table(spark, str(tmp_path), "workout_sessions")
-    assert {r.id for r in got.collect()} == {"s1", "s3"}
+    def delete_and_move(old):
+        moved = F.when(F.col("id") == "s2", F.lit("2025-01-31").cast("date")).otherwise(F.col("session_date"))
+        return old.filter("id <> 's0'").withColumn("session_date", moved)
+
+    tables.change_months(spark, root, "workout_sessions", ["2025-01", "2025-02"], delete_and_move)
+    assert read_back(spark, root) == {
+        "s1": ("2025-01-06", "2025-01"), "s2": ("2025-01-31", "2025-01"),
+        "s3": ("2025-03-05", "2025-03"), "s4": ("2025-03-06", "2025-03"),
+    }
+    assert march == sorted(p.name for p in (tmp_path / "workout_sessions/month=2025-03").glob("*.parquet"))
+    with pytest.raises(ValueError):
+        tables.change_months(spark, root, "workout_sessions", ["2025-02"], lambda old: old.unionByName(
+            tables.scan_table(spark, root, "workout_sessions").drop("month")))
+
+
+def test_marts_shrink(spark, tmp_path):
+    t = sample_log(spark)
+    path = marts.publish_mart("weight_trend", t, str(tmp_path))
+    less = {**t, "body_metrics": t["body_metrics"].filter("measurement_date < '2025-04-15'")}
+    kept = spark.read.parquet(path).filter("measurement_date < '2025-04-15'").count()
+    marts.publish_mart("weight_trend", less, str(tmp_path), months=["2025-04"])
+    assert spark.read.parquet(path).count() == kept
+    marts.publish_mart("weight_trend", t, str(tmp_path))
+    marts.publish_mart("weight_trend", less, str(tmp_path))
+    assert spark.read.parquet(path).count() == kept
 
 
 def test_publish_marts(spark, tmp_path):

@@ -11,6 +11,8 @@ from vitalspark.functions.numbers import to_number
 SCALE_EPOCH_FIELDS = ("timeStamp", "time_stamp", "timestamp")
 SCALE_LOCAL_SHAPE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
 SCALE_LOCAL_FORMAT = "yyyy-M-d H:m:s"
+# Epoch seconds of the years 1 to 9999; others are unreadable.
+FIRST_EPOCH, AFTER_EPOCH = -62_135_596_800, 253_402_300_800
 
 
 def as_date(as_of) -> Column:
@@ -44,7 +46,7 @@ def parse_scale_time(fields: list[Column], local_text: Column, as_of) -> Column:
     tried; the local text is.
     """
     seconds = to_number(first_epoch_text(fields), "double")
-    usable = F.when(F.abs(seconds) < F.lit(1e12), seconds)
+    usable = F.when((seconds >= FIRST_EPOCH) & (seconds < AFTER_EPOCH), seconds)
     local = F.when(
         local_text.rlike(SCALE_LOCAL_SHAPE),
         F.try_to_timestamp(local_text, F.lit(SCALE_LOCAL_FORMAT)),

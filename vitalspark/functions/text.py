@@ -37,6 +37,10 @@ def is_email(c: Column) -> Column:
     return F.coalesce(F.contains(c, F.lit("@")), F.lit(False))
 
 
+# White space in the sense of the web form, which goes beyond \\s here.
+SPACES = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
 def contains_listed_word(
     *texts: Column, words: Sequence[str] = LISTED_WORDS, whole_word: bool = False
 ) -> Column:
@@ -49,10 +53,10 @@ def contains_listed_word(
         return F.lit(False)
     # a word that holds another listed word can never be found without it
     shortest = [w for w in words if not any(o != w and o in w for o in words)]
-    pattern = rf"(^|\s)({'|'.join(words)})(\s|$)"
+    pattern = rf"(^|[{SPACES}])({'|'.join(words)})([{SPACES}]|$)"
 
     def found(c: Column) -> Column:
-        plain = F.regexp_replace(F.lower(c), r"[^a-z0-9\s]+", "")
+        plain = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACES}]+", "")
         hit = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in shortest])
         return F.coalesce(hit & plain.rlike(pattern) if whole_word else hit, F.lit(False))
 

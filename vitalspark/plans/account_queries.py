@@ -26,11 +26,11 @@ query(
 query(
     "active_users_by_email", "id:n email:s", "users",
     """select * from users where is_active and lower(email) in (
-         select lower(concat(upper(c_name), '@EXAMPLE.com')) from customer where c_mktsegment = 'MACHINERY')""",
+         select lower(concat(upper(c_name), '@EXAMPLE.com')) from customer)""",
 )(
     lambda t: accounts.active_users_by_email(
         t,
-        t.raw("customer").filter(F.col("c_mktsegment") == "MACHINERY")
+        t.raw("customer")
         .select(F.concat(F.upper("c_name"), F.lit("@EXAMPLE.com")).alias("email")),
     )
 )

@@ -92,12 +92,14 @@ query(
 )(equipment.top_gyms)
 
 WORDS = "|".join(LISTED_WORDS)
+BLANKS = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+PLAIN = f"regexp_replace(lower(text), '[^a-z0-9{BLANKS}]', '', 'g')"
 query(
     "content_screen", "doc_id:n flagged:b flagged_words:b", "",
     f"""
     select doc_id,
-      regexp_matches(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '({WORDS})') as flagged,
-      regexp_matches(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '(^|\\s)({WORDS})(\\s|$)')
+      regexp_matches({PLAIN}, '({WORDS})') as flagged,
+      regexp_matches({PLAIN}, '(^|[{BLANKS}])({WORDS})([{BLANKS}]|$)')
         as flagged_words
     from documents""",
 )(

@@ -53,7 +53,8 @@ _FIRST = ", ".join(
     for c in ("epoch_camel", "time_stamp", '"timestamp"')
 )
 SCALE_TIME = f"""coalesce(
-    case when abs(try_cast(coalesce({_FIRST}) as double)) < 1e12
+    case when try_cast(coalesce({_FIRST}) as double) >= -62135596800
+        and try_cast(coalesce({_FIRST}) as double) < 253402300800
       then make_timestamp(cast(try_cast(coalesce({_FIRST}) as double) * 1000000 as bigint)) end,
     try_strptime(localCreatedAt, '%Y-%m-%d %H:%M:%S'), timestamp '{AS_OF} 00:00:00')"""
 _VALUES = ", ".join(f"{_sql_value(f, k, m)} as {c}" for f, (c, k, m) in SCALE_COLUMNS.items())

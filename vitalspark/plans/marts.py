@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalspark.operators import body_health, cardio_nutrition, equipment, strength
 from vitalspark.session import work_dir
+from vitalspark.sources.tables import replace_partitions
 
 Tables = Mapping[str, DataFrame]
 
@@ -73,10 +74,13 @@ def ordered(name: str, t: Tables, as_of=None) -> DataFrame:
     return mart.frame(t, as_of).orderBy(*mart.order_columns())
 
 
-def publish_mart(name: str, t: Tables, root: str, as_of=None) -> str:
+def publish_mart(
+    name: str, t: Tables, root: str, as_of=None, months: Sequence[str] | None = None
+) -> str:
     """Store a mart by month, newest first within each file.
 
-    Only the months present are replaced. Rows are ranged over (month, order, user)
+    The stored mart is replaced whole, or in the named ``months`` alone, months that have no
+    rows any more included. Rows are ranged over (month, order, user)
     first, so a month or user with most of the rows is still written by several tasks.
     """
     mart = MARTS[name]
@@ -88,14 +92,15 @@ def publish_mart(name: str, t: Tables, root: str, as_of=None) -> str:
         laid.sortWithinPartitions(*mart.order_columns()).write.mode("overwrite").parquet(path)
         return path
     df = df.withColumn("month", F.date_format(mart.period, "yyyy-MM"))
+    if months is not None:
+        df = df.filter(F.col("month").isin(list(months)))
     laid = df.repartitionByRange(F.col("month"), *mart.order_columns(), *spread)
-    (
-        laid.sortWithinPartitions(F.col("month"), *mart.order_columns())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
+    laid = laid.sortWithinPartitions(F.col("month"), *mart.order_columns())
+    if months is not None:
+        replace_partitions(laid, path, months)
+    else:
+        writer = laid.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy("month").parquet(path)
     return path
 
 

@@ -91,8 +91,7 @@ query(
 query(
     "edit_gyms", "id:n name:s address:s city:s gym_type:s is_24hr:b is_default:b", "gyms",
     """
-    with e as (select s_suppkey as id, upper(s_name) as name, n_name as city from supplier join nation on n_nationkey = s_nationkey
-      where s_acctbal > 5000)
+    with e as (select s_suppkey as id, upper(s_name) as name, n_name as city from supplier join nation on n_nationkey = s_nationkey)
     select g.id, coalesce(e.name, g.name) as name, case when e.id is null then g.address end as address, coalesce(e.city, g.city) as city,
       case when e.id is null then g.gym_type else 'Commercial chain' end as gym_type,
       e.id is null and g.is_24hr as is_24hr, e.id is null and g.is_default as is_default
@@ -100,7 +99,7 @@ query(
 )(
     lambda t: submissions.edit_gyms(
         t["gyms"],
-        t.raw("supplier").filter("s_acctbal > 5000").join(t.raw("nation"), F.expr("n_nationkey = s_nationkey")).select(
+        t.raw("supplier").join(t.raw("nation"), F.expr("n_nationkey = s_nationkey")).select(
             F.col("s_suppkey").alias("arrival"), F.col("s_suppkey").alias("id"), F.upper("s_name").alias("name"),
             F.col("n_name").alias("city"),
         ),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspark.schemas import table_schema
+from vitalspark.session import work_dir
 
 # Date column that decides the month partition of each time-based table.
 MONTH_OF = {
@@ -38,24 +39,58 @@ def scan_all(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str,
     return {name: scan_table(spark, root, name) for name in names}
 
 
-def store_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> str:
-    """Write a table; time-based ones by month, replacing only the months present.
+def _laid_by_month(df: DataFrame, name: str) -> DataFrame:
+    """Rows ranged by date, so one busy month is spread over several tasks and files carry
+    narrow min/max statistics."""
+    day = MONTH_OF[name]
+    others = [c for c in ("user_id", "id") if c in df.columns]
+    df = df.withColumn("month", F.date_format(day, "yyyy-MM"))
+    return df.repartitionByRange("month", day, *others).sortWithinPartitions("month", day)
 
-    Rows are ranged by date before the write, so one busy month is spread over
-    several tasks and files carry narrow min/max statistics.
+
+def store_table(df: DataFrame, root: str, name: str) -> str:
+    """Write a table as its whole truth: rows stored before that ``df`` lacks are gone.
+
+    Time-based tables are partitioned by month. ``df`` must not read the stored table itself;
+    changes go through ``change_months``.
     """
     path = f"{root.rstrip('/')}/{name}"
     if name in MONTH_OF:
-        day = MONTH_OF[name]
-        others = [c for c in ("user_id", "id") if c in df.columns]
-        df = df.withColumn("month", F.date_format(day, "yyyy-MM"))
-        df = df.repartitionByRange("month", day, *others).sortWithinPartitions("month", day)
-        (
-            df.write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month")
-            .parquet(path)
-        )
+        writer = _laid_by_month(df, name).write.partitionBy("month")
+        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     else:
-        df.write.mode(mode).parquet(path)
+        df.write.mode("overwrite").parquet(path)
     return path
+
+
+def replace_partitions(df: DataFrame, path: str, months: Sequence[str]) -> None:
+    """Replace the named months of a table partitioned by ``month``, those left empty too.
+
+    ``df`` has a ``month`` column and no rows of other months. Files of other months stay.
+    """
+    found = {r.month for r in df.select("month").distinct().collect()}
+    if not found <= set(months):
+        raise ValueError(f"rows of months that are not replaced: {sorted(map(str, found - set(months)))}")
+    if found:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("month").parquet(path))
+    none = df.drop("month").limit(0)
+    for month in sorted(set(months) - found):
+        none.write.mode("overwrite").parquet(f"{path}/month={month}")
+
+
+def change_months(
+    spark: SparkSession, root: str, name: str, months: Sequence[str],
+    change: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Apply ``change`` to the named months of a stored table; reads and writes only those.
+
+    ``months`` must name every month a row leaves or enters. The new rows are written to the
+    scratch folder first, since they come from the files they replace.
+    """
+    stored = scan_table(spark, root, name)
+    old = stored.filter(F.col("month").isin(list(months))).drop("month")
+    draft = work_dir(spark, f"change-{name}")
+    change(old).write.parquet(draft)
+    new = spark.read.schema(old.schema).parquet(draft)
+    replace_partitions(_laid_by_month(new, name), f"{root.rstrip('/')}/{name}", months)
