@@ -87,6 +87,32 @@ def test_flag_stream(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/again").count() == 1 and last.count() == 3
 
 
+def test_late_rows_count_in_their_period(spark, tmp_path):
+    folder, store, spec = str(tmp_path), f"{tmp_path}/store", periods.weekly_workouts()
+    days = ["2025-06-02", "2025-06-03", "2024-01-02", "2025-06-04", "2024-01-03"]
+    whole = None
+    for k, day in enumerate(days):
+        df = make(spark, "workout_sessions", WORKOUTS, [(str(k), "u", day, "a", 30)])
+        whole = df if whole is None else whole.unionByName(df)
+        df.coalesce(1).write.parquet(f"{folder}/in{k}")
+        finish(periods.stream_period_totals(stream(spark, folder, df.schema), spec, store, f"{folder}/cp"))
+    got = {str(r.week_start): r.session_count for r in periods.period_totals(spark, store, spec).collect()}
+    assert got == {"2025-06-02": 3, "2024-01-01": 2}
+    want = strength.weekly_workouts({"workout_sessions": whole})
+    assert got == {str(r.week_start): r.session_count for r in want.collect()}
+
+
+@pytest.mark.parametrize("cut", [[[0, 1]], [[0], [1]], [[1], [0]]])
+def test_report_and_fix_at_one_time_in_any_batches(spark, tmp_path, cut):
+    folder, store = str(tmp_path), f"{tmp_path}/store"
+    rows = [(1, T0, "report"), (1, T0, "resolve")]
+    for i, part in enumerate(cut):
+        land(spark, folder, [rows[k] for k in part], EVENT, i)
+        finish(oos.stream_oos_state(stream(spark, folder, EVENT), store, f"{folder}/cp"))
+    got = oos.machine_status(spark, store).collect()
+    assert [(r.is_out_of_service, r.cause) for r in got] == [(True, "report")]
+
+
 T0 = datetime(2025, 1, 1)
 EVENT = "gym_equipment_id long, at timestamp, kind string"
 

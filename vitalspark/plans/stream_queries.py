@@ -107,8 +107,7 @@ def _flags(t):
 def _periods(t, spec, table: str, source: str) -> DataFrame:
     store, checkpoint = _folders(t, spec.name)
     rows = stream_table(t, table, source)
-    # the files hold all of history at once, so nothing may count as late
-    finish(periods.stream_period_totals(rows, spec, store, checkpoint, delay="20000 days"))
+    finish(periods.stream_period_totals(rows, spec, store, checkpoint))
     return periods.period_totals(t.spark, store, spec)
 
 

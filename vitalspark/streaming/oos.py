@@ -16,8 +16,9 @@ STATUS_DDL = (
     "gym_equipment_id long, is_out_of_service boolean, changed_at timestamp,"
     " auto_clear_at timestamp, cause string"
 )
-STATE_DDL = "last_ms long, clear_ms long"
-OPEN, NEVER = "report", -1
+# time of the last event in microseconds, doubled, plus one for a report; and when it clears
+STATE_DDL = "last long, clear_ms long"
+OPEN, FIX, NEVER = "report", "resolve", -1
 
 
 class MachineStatus(StatefulProcessor):
@@ -30,41 +31,39 @@ class MachineStatus(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("status", STATE_DDL)
 
-    def _row(self, key, out: bool, at_ms: int, clear_ms: int, cause: str) -> pd.DataFrame:
+    def _row(self, key, out: bool, at_us: int, clear_ms: int, cause: str) -> pd.DataFrame:
         return pd.DataFrame({
             "gym_equipment_id": [key[0]],
             "is_out_of_service": [out],
-            "changed_at": [pd.Timestamp(at_ms, unit="ms")],
+            "changed_at": [pd.Timestamp(at_us, unit="us")],
             "auto_clear_at": [pd.Timestamp(clear_ms, unit="ms") if clear_ms != NEVER else pd.NaT],
             "cause": [cause],
         })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last_ms, clear_ms = self.state.get() if self.state.exists() else (NEVER, NEVER)
-        newest = None
+        last, clear_ms = self.state.get() if self.state.exists() else (None, NEVER)
+        newest = last
         for chunk in rows:
-            at = chunk["at"].astype("datetime64[ms]").astype("int64")
-            # on equal times a report outranks a fix
-            order = at * 2 + (chunk["kind"] == OPEN)
-            place = order.idxmax()
-            if newest is None or order[place] > newest[0]:
-                newest = (order[place], int(at[place]), chunk["kind"][place])
-        if newest is None or newest[1] < last_ms:
+            at = chunk["at"].astype("datetime64[us]").astype("int64")
+            # on equal times a report outranks a fix, in whichever batch they come
+            order = int((at * 2 + (chunk["kind"] == OPEN)).max())
+            newest = order if newest is None else max(newest, order)
+        if newest is None or newest == last:
             return
         if clear_ms != NEVER:
             self.handle.deleteTimer(clear_ms)
-        at_ms, out = newest[1], newest[2] == OPEN
-        clear_ms = at_ms + self.hold_ms if out else NEVER
+        at_us, out = newest >> 1, bool(newest & 1)
+        clear_ms = at_us // 1000 + self.hold_ms if out else NEVER
         if out:
             self.handle.registerTimer(clear_ms)
-        self.state.update((at_ms, clear_ms))
-        yield self._row(key, out, at_ms, clear_ms, newest[2])
+        self.state.update((newest, clear_ms))
+        yield self._row(key, out, at_us, clear_ms, OPEN if out else FIX)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last_ms, clear_ms = self.state.get()
+        last, clear_ms = self.state.get()
         if clear_ms == expiredTimerInfo.getExpiryTimeInMs():
-            self.state.update((last_ms, NEVER))
-            yield self._row(key, False, clear_ms, NEVER, "cleared")
+            self.state.update((last, NEVER))
+            yield self._row(key, False, clear_ms * 1000, NEVER, "cleared")
 
     def close(self) -> None:
         pass

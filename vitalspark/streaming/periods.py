@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from vitalspark.functions.dates import week_start
 from vitalspark.functions.numbers import mean_rounded
-from vitalspark.streaming.store import keep_state_on_disk, latest_state, write_batch
+from vitalspark.streaming.store import latest_state, write_batch
 
-DAY = ("1 day", "1 day", "0 hours")
-# Weeks start on Monday: windows are counted from a Thursday, four days on is a Monday.
-WEEK = ("7 days", "7 days", "96 hours")
+
+
+def DAY(at: Column) -> Column:
+    return at.cast("date")
+
+
+def WEEK(at: Column) -> Column:
+    return week_start(at.cast("date"))
 
 
 @dataclass(frozen=True)
 class PeriodTotals:
     at: str
-    window: tuple[str, str, str]
+    period: Callable[[Column], Column]
     name: str
     totals: tuple[Column, ...]
     extra: tuple[str, ...] = ()
@@ -76,25 +84,39 @@ def stream_period_totals(
     checkpoint: str,
     *,
     keys: Sequence[str] = ("user_id",),
-    delay: str = "30 days",
     **trigger,
 ) -> StreamingQuery:
     """Totals per (keys, period); each batch stores the periods it changed.
 
-    Rows more than ``delay`` behind the newest are not counted. Dates count as
-    midnight; windows are cut in UTC, so the session zone must be UTC.
+    Rows are stored by month next to the totals, and the periods of a batch are totalled anew
+    from all their rows, so a row counts however late it comes, and a replay changes nothing. A
+    batch reads the months it touches.
     """
-    spark = rows.sparkSession
-    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
-        raise ValueError("daily and weekly windows need spark.sql.session.timeZone=UTC")
-    keep_state_on_disk(spark)
-    timed = rows.withColumn("_at", F.col(spec.at).cast("timestamp")).withWatermark("_at", delay)
-    totals = timed.groupBy(*keys, F.window("_at", *spec.window).alias("_w"), *spec.extra).agg(*spec.totals)
-    names = [c for c in totals.columns if c not in (*keys, "_w")]
-    shown = totals.select(*keys, F.col("_w.start").cast("date").alias(spec.name), *names)
+    by = [*keys, spec.name, *spec.extra]
+    stored_rows = f"{store.rstrip('/')}-rows"
+    kept = [c for c in rows.columns if c != spec.name]
+
+    def total(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        placed = batch.withColumn("_period", spec.period(F.col(spec.at))).select(
+            *kept, F.col("_period").alias(spec.name),
+            F.coalesce(F.date_format("_period", "yyyy-MM"), F.lit("none")).alias("_month"),
+        )
+        own = f"{stored_rows}/batch={batch_id}"
+        placed.write.mode("overwrite").partitionBy("_month").parquet(own)
+        schema = T.StructType([*placed.schema.fields, T.StructField("batch", T.LongType())])
+        history = spark.read.schema(schema).option("basePath", stored_rows).parquet(stored_rows)
+        new = history.filter(F.col("batch") == batch_id)
+        months = [r[0] for r in new.select("_month").distinct().collect()]
+        if not months:
+            return
+        touched = new.select(*[F.col(c).alias(f"_t_{c}") for c in by]).distinct()
+        old = history.filter((F.col("batch") <= batch_id) & F.col("_month").isin(months))
+        same = reduce(lambda a, b: a & b, [old[c].eqNullSafe(touched[f"_t_{c}"]) for c in by])
+        write_batch(old.join(touched, same, "left_semi").groupBy(*by).agg(*spec.totals), store, batch_id)
+
     return (
-        shown.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, store, batch_id))
+        rows.writeStream.foreachBatch(total)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
