@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from vitalspark.session import work_dir
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
