@@ -12,7 +12,6 @@ than 0.99999; the screen lies five standard errors below the threshold.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,9 @@ SHINGLE = 5
 BUCKETS = 128
 BAND = 4
 MANTISSA = 10
+#: Members of a bucket in one slice, and rows that one task compares.
+SLICE = 4096
+BIN_ROWS = 20_000
 _rng = np.random.default_rng(99)
 FACTORS = _rng.integers(0, 1 << 62, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, BUCKETS, dtype=np.uint64)
@@ -97,10 +99,15 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return total / (1 << MANTISSA)
 
 
+def corrected(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from the share of equal registers, without chance agreement."""
+    c = chance(n.astype(float), m.astype(float))
+    return (agree - c) / (1 - c)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard estimates of register rows, corrected for chance agreement."""
-    agree, c = (a == b).mean(axis=1), chance(n.astype(float), m.astype(float))
-    return (agree - c) / (1 - c)
+    return corrected((a == b).mean(axis=1), n, m)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -142,28 +149,8 @@ def bands(reps: DataFrame) -> DataFrame:
     return map_arrow(reps.select("doc_id", "registers"), cut, "band long, doc_id long")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the threshold (in hundredths).
-
-    Pairs that fail the screen on registers are not read again. A pair's texts meet once; the
-    sets are made anew from whole texts.
-    """
-    sides = [reps.select(F.col("doc_id").alias(s), F.col("registers").alias(f"r{s}"),
-                         F.col("n_shingles").alias(f"n{s}")) for s in "ab"]
-    share = threshold / 100
-    near = share - 5 * np.sqrt(share * (1 - share) / BUCKETS)
-
-    def screen(batch: pa.RecordBatch):
-        ra, rb = (np.frombuffer(utf8(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, BUCKETS)
-                  for c in ("ra", "rb"))
-        n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        small, large = np.minimum(n, m), np.maximum(n, m)
-        ok = (estimate(ra, rb, n, m) >= near) & (100 * small >= threshold * large)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
-            pa.array(ok))
-
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ra", "rb", "na", "nb")
-    close = saved(map_arrow(joined, screen, "a long, b long"), "near-close")
+def confirmed(close: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets, made anew from whole texts, reach the threshold."""
 
     def confirm(batch: pa.RecordBatch):
         da, oa = utf8(batch.column("ta"))
@@ -184,31 +171,75 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: in
     return map_arrow(both.select("a", "b", "ta", "tb"), confirm, "a long, b long")
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, centers: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of this round and the buckets that stay open.
+def screened(members: DataFrame, centers: DataFrame, threshold: int, bins: int) -> DataFrame:
+    """Pairs ``a, b`` of a center and a member of another group of its bucket that pass the screen.
+
+    Members of a bucket are dealt over slices, and the few centers go to each slice, so no task
+    holds a bucket whole and only pairs that may be links leave it.
+    """
+    share = threshold / 100
+    near = share - 5 * np.sqrt(share * (1 - share) / BUCKETS)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs, agreed = [np.zeros((4, 0), np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            m, c = (t.sort_by([("band", "ascending"), ("slice", "ascending")]).combine_chunks() for t in (left, right))
+            key = [np.stack([t.column(k).to_numpy() for k in ("band", "slice")]) for t in (m, c)]
+            edge = [np.flatnonzero(np.append(True, (k[:, 1:] != k[:, :-1]).any(0))) for k in key]
+            place = {tuple(key[1][:, s].tolist()): (s, e) for s, e in zip(
+                edge[1].tolist(), np.append(edge[1][1:], key[1].shape[1]).tolist(), strict=True)}
+            col = [{k: t.column(k).to_numpy() for k in ("doc_id", "group", "n_shingles")}
+                   | {"r": np.frombuffer(utf8(t.column("registers"))[0].tobytes(), np.uint16).reshape(-1, BUCKETS)}
+                   for t in (m, c)]
+            for s, e in zip(edge[0].tolist(), np.append(edge[0][1:], key[0].shape[1]).tolist(), strict=True):
+                for k in range(*place.get(tuple(key[0][:, s].tolist()), (0, 0))):
+                    at = np.flatnonzero(col[0]["group"][s:e] != col[1]["group"][k]) + s
+                    n, own = col[0]["n_shingles"][at], col[1]["n_shingles"][k]
+                    at = at[100 * np.minimum(n, own) >= threshold * np.maximum(n, own)]
+                    agree = (col[0]["r"][at] == col[1]["r"][k]).mean(1)
+                    at, agree = at[agree >= near], agree[agree >= near]  # chance only adds agreement
+                    pairs.append(np.stack([col[0]["doc_id"][at], np.full(len(at), col[1]["doc_id"][k]),
+                                           col[0]["n_shingles"][at], np.full(len(at), own)]))
+                    agreed.append(agree)
+        found, agree = np.concatenate(pairs, 1), np.concatenate(agreed)
+        found = np.sort(found[:2, corrected(agree, found[2], found[3]) >= near], axis=0)
+        return pa.table({"a": found[0], "b": found[1]})
+
+    return (members.groupBy("bin").cogroup(centers.groupBy("bin"))
+            .applyInArrow(compare, "a long, b long").distinct())
+
+
+def open_pairs(buckets: DataFrame, labels: DataFrame, centers: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Screened pairs of this round and the buckets that stay open.
 
     Of a bucket with members of several groups, the ``centers`` members of its smallest groups,
     heaviest first, meet all members of other groups, and leave the bucket: they have met
     everyone. A bucket of at most ``centers`` members is settled by that.
     """
     grouped = saved(buckets.join(labels, buckets.doc_id == labels.node, "left")
-                    .select("band", "doc_id", "weight", F.coalesce("component", "doc_id").alias("group")),
-                    "near-grouped")
-    mixed = (grouped.groupBy("band").agg(F.min("group").alias("least"), F.max("group").alias("most"))
-             .filter("least <> most").select("band"))
+                    .select(*buckets.columns, F.coalesce("component", "doc_id").alias("group")), "near-grouped")
+    mixed = (grouped.groupBy("band").agg(F.min("group").alias("least"), F.max("group").alias("most"),
+                                         F.count(F.lit(1)).alias("members"))
+             .filter("least <> most").select("band", F.ceil(F.col("members") / SLICE).alias("slices")))
     sizes = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"))
     first = Window.partitionBy("band").orderBy("size", F.desc("weight"), "doc_id")
-    chosen = (grouped.join(mixed, "band", "left_semi").join(sizes, ["band", "group"])
-              .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= centers)
-              .select("band", F.col("doc_id").alias("center"), F.col("group").alias("own")))
-    chosen = saved(chosen, "near-centers")
-    met = grouped.join(chosen, "band")
-    pairs = (met.filter("group <> own")
-             .select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b"))
-             .distinct())
-    used = chosen.select("band", F.col("center").alias("doc_id"))
-    rest = (grouped.join(chosen.select("band").distinct(), "band", "left_semi")
-            .join(used, ["band", "doc_id"], "left_anti").select("band", "doc_id", "weight"))
+    open_ = saved(grouped.join(mixed, "band"), "near-open")
+    chosen = saved(
+        open_.select("band", "doc_id", "weight", "group").join(sizes, ["band", "group"])
+        .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= centers)
+        .select("band", "doc_id"), "near-centers")
+    bins = max(1, open_.count() // BIN_ROWS)
+
+    def binned(df: DataFrame, slice_) -> DataFrame:
+        df = df.withColumn("slice", slice_)
+        return df.select("band", "slice", "doc_id", "group", "n_shingles", "registers",
+                         F.pmod(F.xxhash64("band", "slice"), F.lit(bins)).alias("bin"))
+
+    members = binned(open_, F.pmod(F.xxhash64("doc_id"), F.col("slices")))
+    met = saved(binned(open_.join(chosen, ["band", "doc_id"], "left_semi"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))), "near-met")
+    pairs = screened(members, met, threshold, bins)
+    rest = open_.join(chosen, ["band", "doc_id"], "left_anti").select(*buckets.columns)
     return pairs, rest
 
 
@@ -225,7 +256,8 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: int = 75) -> DataFra
     sizes = by_band.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
     shared = saved(by_band.join(sizes.filter("size > 1"), "band"), "near-shared")
     weights = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    buckets = saved(shared.join(weights, "doc_id").select("band", "doc_id", "weight"), "near-buckets")
+    buckets = saved(shared.join(weights, "doc_id").join(reps, "doc_id")
+                    .select("band", "doc_id", "weight", "n_shingles", "registers"), "near-buckets")
     texts = saved(body(docs).join(weights, "doc_id", "left_semi"), "near-texts")
     texts = texts.dropDuplicates(["doc_id"])
     release()
@@ -233,8 +265,8 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: int = 75) -> DataFra
     labels = spark.createDataFrame([], "node long, component long")
     centers = 1
     while True:
-        pairs, rest = open_pairs(buckets, labels, centers)
-        found = saved(confirmed(saved(pairs, "near-pairs"), reps, texts, threshold), "near-links")
+        pairs, rest = open_pairs(buckets, labels, centers, threshold)
+        found = saved(confirmed(saved(pairs, "near-pairs"), texts, threshold), "near-links")
         links = links.union(found)
         buckets = saved(rest, "near-buckets")
         if found.limit(1).count():
