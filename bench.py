@@ -25,7 +25,8 @@ HEADLINE = (
     "admin_user_activity", "gym_equipment_detail", "library_with_gym_count", "search_library",
     "gym_workout_summary", "insert_if_absent", "upsert_settings", "patch_sessions",
     "delete_owned_cascade", "validate_gym_equipment", "load_scale_measurements", "content_screen",
-    "ingest_workout_documents",
+    "ingest_workout_documents", "last_performance_fallback", "submit_library_entries", "publish_marts",
+    "stream_daily_weekly",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.functions.dates import days_before, week_start
@@ -90,23 +90,26 @@ def one_sleep_per_night(t: Tables, *, keys: Sequence[str] = USER) -> DataFrame:
 def hr_trend(t: Tables, *, keys: Sequence[str] = USER, rows: int = 7) -> DataFrame:
     """Resting heart rate with its mean over the last readings (not days).
 
-    ``keys=()`` gives one series over all rows; it is cut into blocks like any other.
-    A user has one row a day, so a month is a small slice; a day of all users is not,
-    and is sliced further by the reading.
+    A user has one row a day, so with a user key one window over the user's readings does.
+    ``keys=()`` gives one series over all rows; it is cut into blocks, sliced by day and reading.
     """
-    by_time = F.trunc("summary_date", "month") if keys else F.struct("summary_date", "resting_bpm")
     readings = t["heart_rate_daily"].filter(F.col("resting_bpm").isNotNull())
     readings = readings.select(*keys, "summary_date", "resting_bpm", "hrv_ms")
-    return rolling_rows(
-        readings,
-        keys,
-        by_time,
-        [F.col("summary_date"), F.col("resting_bpm"), F.col("hrv_ms")],
-        rows,
-        lambda w: F.round(F.avg(F.col("resting_bpm").cast("decimal(20,12)")).over(w), 1),
-        "rolling_7day_avg",
-        null_groups=False,
-    ).select(*keys, "summary_date", "resting_bpm", "rolling_7day_avg", "hrv_ms")
+    order = [F.col("summary_date"), F.col("resting_bpm"), F.col("hrv_ms")]
+
+    def mean(window) -> Column:
+        return F.round(F.avg(F.col("resting_bpm").cast("decimal(20,12)")).over(window), 1)
+
+    if keys:
+        known = readings.dropna(subset=[*keys, "summary_date"])
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
+        shown = known.withColumn("rolling_7day_avg", mean(window))
+    else:
+        shown = rolling_rows(
+            readings, keys, F.struct("summary_date", "resting_bpm"), order, rows, mean,
+            "rolling_7day_avg", null_groups=False,
+        )
+    return shown.select(*keys, "summary_date", "resting_bpm", "rolling_7day_avg", "hrv_ms")
 
 
 def blood_pressure_log(t: Tables, *, keys: Sequence[str] = USER) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalspark.functions.dates import days_before, week_start
 from vitalspark.functions.numbers import mean_rounded, one_rep_max, round_to_int
 from vitalspark.operators.history import page_rows
-from vitalspark.skew import PART_ROWS, join_optional, join_shared, position_parts
+from vitalspark.skew import PART_ROWS, first_rows, join_optional, join_shared, position_parts
 
 Tables = Mapping[str, DataFrame]
 USER = ("user_id",)
@@ -117,16 +117,11 @@ def _name_key(name: Column) -> Column:
 
 def reps_at_weight(lifted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reps of the latest set per (keys, exercise in any case, weight), over all machines."""
-    latest = F.struct("session_date", "session_id", "set_number", "reps", "gym_equipment_id")
-    return (
-        lifted.groupBy(
-            *[F.col(k).alias(f"_top_{k}") for k in keys],
-            _name_key(F.col("exercise_name")).alias("_top_name"),
-            F.col("weight_lbs").alias("_top_weight"),
-        )
-        .agg(F.max(latest).alias("_latest"))
-        .withColumn("reps_at_max", F.col("_latest.reps"))
-        .drop("_latest")
+    newest = [F.col(c).desc() for c in ("session_date", "session_id", "set_number", "reps", "gym_equipment_id")]
+    named = lifted.withColumn("_top_name", _name_key(F.col("exercise_name")))
+    return first_rows(named, [*keys, "_top_name", "weight_lbs"], newest).select(
+        *[F.col(k).alias(f"_top_{k}") for k in keys], "_top_name",
+        F.col("weight_lbs").alias("_top_weight"), F.col("reps").alias("reps_at_max"),
     )
 
 
@@ -145,7 +140,8 @@ def personal_records(
     )
     for k in keys:
         lifted = lifted.filter(F.col(k).isNotNull())
-    daily = lifted.groupBy(*keys, "exercise_name", "gym_equipment_id", "session_date").agg(
+    counted = lifted.filter(F.col("gym_equipment_id").isNotNull()) if machine_only else lifted
+    daily = counted.groupBy(*keys, "exercise_name", "gym_equipment_id", "session_date").agg(
         F.max("weight_lbs").alias("_weight"),
         F.max(one_rep_max(F.col("weight_lbs"), F.col("reps"))).alias("_one_rep"),
         F.count(F.lit(1)).alias("_sets"),
