@@ -20,7 +20,7 @@ ORDERS = (1, 2, 3)
 #: Word n-grams of up to nine words enter by their pattern of repeated neighbours.
 PATTERNS = range(1, 9)
 #: Rows whose flags are held at once.
-ROWS = 256
+ROWS = 64
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
