@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.functions.dates import as_timestamp
@@ -120,12 +120,14 @@ def waitlist_newest_first(t: Tables) -> DataFrame:
 
 
 def lookup_lists(t: Tables) -> DataFrame:
-    """All lookups in one table: (list, name, is_custom)."""
+    """All lookups in one table: (list, name, is_custom, place), numbered as ``lookup_list`` orders them."""
     out = None
     for name in LOOKUPS:
         custom = F.col("is_custom") if "is_custom" in t[name].columns else F.lit(False)
+        order = [F.col(c).asc_nulls_last() for c in LOOKUPS[name]]
         rows = t[name].select(
-            F.lit(name).alias("list"), "name", F.coalesce(custom, F.lit(False)).alias("is_custom")
+            F.lit(name).alias("list"), "name", F.coalesce(custom, F.lit(False)).alias("is_custom"),
+            F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)).alias("place"),
         )
         out = rows if out is None else out.unionByName(rows)
     return out

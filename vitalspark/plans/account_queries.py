@@ -61,14 +61,15 @@ query(
          (select count(*) from gyms) as gyms, (select count(*) from gym_equipment) as equipment""",
 )(accounts.admin_totals)
 query(
-    "lookup_lists", "list:s name:s is_custom:b",
+    "lookup_lists", "list:s name:s is_custom:b place:n",
     "equipment_types equipment_categories gym_types exercises muscle_groups cardio_types",
-    """select 'equipment_types' as list, name, false as is_custom from equipment_types
-       union all select 'equipment_categories', name, false from equipment_categories
-       union all select 'gym_types', name, false from gym_types
-       union all select 'exercises', name, is_custom from exercises
-       union all select 'muscle_groups', name, is_custom from muscle_groups
-       union all select 'cardio_types', name, is_custom from cardio_types""",
+    """select 'equipment_types' as list, name, false as is_custom,
+         row_number() over (order by name) as place from equipment_types
+       union all select 'equipment_categories', name, false, row_number() over (order by name) from equipment_categories
+       union all select 'gym_types', name, false, row_number() over (order by name) from gym_types
+       union all select 'exercises', name, is_custom, row_number() over (order by is_custom, name) from exercises
+       union all select 'muscle_groups', name, is_custom, row_number() over (order by is_custom, name) from muscle_groups
+       union all select 'cardio_types', name, is_custom, row_number() over (order by is_custom, name) from cardio_types""",
 )(accounts.lookup_lists)
 query("waitlist_newest_first", "email:s invited_at:t created_at:t", "waitlist", "select * from waitlist")(
     accounts.waitlist_newest_first
