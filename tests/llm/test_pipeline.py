@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from check_queries import compare, open_db
 from tests.llm.corpus import frame, texts
 from tests.llm.test_operators import brute_near, brute_repeats, ids_of, labelled
 from vitalspark.llm.queries import ORACLE_SQL, QUERIES
@@ -15,6 +16,14 @@ def test_names():
     assert len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
 
 
+def test_queries_with_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    db = open_db(folder)
+    for name, sql in ORACLE_SQL.items():
+        rows, ok, note = compare(spark, db, folder, name, QUERIES[name], sql)
+        assert ok and rows, note
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     from tests.llm.test_operators import WORD
 
