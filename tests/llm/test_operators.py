@@ -360,6 +360,42 @@ def test_scores_odd_rows(spark):
     assert len(scoring.score_texts(awkward(spark), BYTE).collect()) == 8
 
 
+def test_the_model_learns_from_all_training_ids(spark):
+    rng = random.Random(12)
+    values = [" ".join(rng.choice(["red", "blue", "tree", "stone"]) for _ in range(30)) for _ in range(400)]
+    values.append("zebra quokka")
+    table = scoring.encoded(frame(spark, values), BYTE)
+    end = Tokenizer.from_file(BYTE).get_vocab_size()
+    ids = [np.frombuffer(r.ids, "<u2").tolist() for r in table.collect()]
+    counts = scoring.id_counts(table, end)
+    flat = Counter(k for x in ids for k in x)
+    assert {k: counts[k] for k in np.flatnonzero(counts)} == flat
+    slot = attention.slots(counts)
+    near = scoring.neighbour_counts(table, slot)
+    want = Counter()
+    for x in ids:
+        line = [end, *x, end]
+        for one, other in zip(line, line[1:], strict=False):
+            want[one, slot[other]] += 1
+            want[other, attention.SLOTS + slot[one]] += 1
+    assert {k: near[k] for k in want if k[0] != end} == {k: n for k, n in want.items() if k[0] != end}
+    # ids seen once have classes by their neighbours too
+    classes = attention.token_classes(counts, near, np.ones(end, bool))
+    assert all(classes[k] > 1 for k in flat)
+    model = attention.Attention.fresh()
+    assert scoring.fit_all(model, table, classes) == sum(len(x) + 1 for x in ids)
+
+
+def test_gradient_sums_are_those_of_all_windows():
+    rng = np.random.default_rng(2)
+    model = attention.Attention.fresh()
+    windows = attention.windows_of(rng.integers(0, attention.CLASSES, 700), np.array([0, 5, 300, 700]))
+    whole = model.shaped(model.gradient_sums(*windows) / windows[2].sum())
+    parts = model.shaped(model.gradient_sums(*windows, batch=7) / windows[2].sum())
+    for name, g in model.gradients(*windows).items():
+        assert np.allclose(whole[name], g, atol=1e-5) and np.allclose(parts[name], g, atol=1e-5)
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(1)
     model = attention.Attention.fresh()
