@@ -507,3 +507,28 @@ def test_licenses(spark):
     odd = spark.createDataFrame([(None, None), (None, t["MIT"]), ("x", "y"), ("x", "y")], "path string, text string")
     assert Counter((r.path, r.license) for r in licenses.scan(odd).collect()) == Counter(
         {("", "MIT"): 2, ("x", "MIT"): 2})
+
+
+def test_licenses_of_real_files(spark):
+    rng = random.Random(7)
+    wrapped = ["#!/bin/sh", "# This program is free software; you can redistribute it and/or modify",
+               "# it under the terms of the GNU General Public License as published by",
+               "# the Free Software Foundation; either version 2 of the License, or",
+               "# (at your option) any later version.", ""]
+    bsd = ["/* Redistribution and use in source and binary forms, with or without",
+           " * modification, are permitted provided that the following conditions are met: */"]
+    files = {
+        "m/LICENSE": "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + licenses.full_text("MIT"),
+        "m/src/x": prose(rng, 60), "g/COPYING": licenses.full_text("GPL-3.0"), "g/x": prose(rng, 60),
+        "a/LICENSE": licenses.full_text("Apache-2.0"), "w": "\n".join([*wrapped, prose(rng, 900)]),
+        "b": "\n".join([*bsd, prose(rng, 900)]), "s": "// SPDX-License-Identifier: LGPL-2.1-or-later\n" + prose(rng, 90),
+        "u": "// SPDX-License-Identifier: Unknown-1\n" + prose(rng, 90), "t": "The MIT License (MIT)\n" + prose(rng, 400),
+        "n": prose(rng, 200) + "\nMIT\n" + prose(rng, 200),
+        "p/x": prose(rng, 500) + "\n" + licenses.full_text("MPL-2.0") + "\n" + prose(rng, 9000),
+    }
+    got = {r.path: (r.license, r.how) for r in licenses.scan(
+        spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        "m/LICENSE": "MIT", "m/src/x": "MIT", "g/COPYING": "GPL-3.0", "g/x": "GPL-3.0", "a/LICENSE": "Apache-2.0",
+        "w": "GPL-2.0", "b": "BSD-3-Clause", "s": "LGPL-2.1", "u": None, "t": "MIT", "n": None, "p/x": "MPL-2.0"}
+    assert got["m/src/x"][1] == got["g/x"][1] == "inherited" and got["w"][1] == got["p/x"][1] == "header"
