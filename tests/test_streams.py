@@ -144,6 +144,25 @@ def test_oos_stream(spark, tmp_path):
     assert clear[1] == day(50) and clear[4] == day(55)
 
 
+def test_oos_stream_keeps_late_events_in_any_cut(spark, tmp_path):
+    def day(n):
+        return T0 + timedelta(days=n)
+
+    rows = [(9, day(100), "resolve"), (1, day(90), "report"), (2, day(60), "report"), (3, day(95), "report"),
+            (3, day(96), "resolve"), (4, day(80), "resolve"), (4, day(80), "report"), (3, day(10), "report"),
+            (5, day(99), "noted"), (1, None, "resolve"), (None, day(97), "report"), (2, day(20), "resolve")]
+    want = {1: (True, "report", day(120)), 2: (False, "cleared", None), 3: (False, "resolve", None),
+            4: (True, "report", day(110)), 9: (False, "resolve", None), None: (True, "report", day(127))}
+    for cut in (1, 3, len(rows)):
+        folder = f"{tmp_path}/{cut}"
+        for i in range(0, len(rows), cut):
+            land(spark, folder, rows[i:i + cut], EVENT, i)
+            finish(oos.stream_oos_state(stream(spark, folder, EVENT), f"{folder}/store", f"{folder}/cp"))
+        got = {r.gym_equipment_id: (r.is_out_of_service, r.cause, r.auto_clear_at)
+               for r in oos.machine_status(spark, f"{folder}/store").collect()}
+        assert got == want, cut
+
+
 MEALS = ["id", "user_id", "log_date", "meal_type", "food_name", "calories_kcal", "protein_g"]
 WORKOUTS = ["id", "user_id", "session_date", "name", "duration_min"]
 

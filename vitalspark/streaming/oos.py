@@ -2,71 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from vitalspark.operators.changes import OOS_DAYS
-from vitalspark.streaming.store import keep_state_on_disk, latest_state, write_batch
-
-STATUS_DDL = (
-    "gym_equipment_id long, is_out_of_service boolean, changed_at timestamp,"
-    " auto_clear_at timestamp, cause string"
-)
-# time of the last event in microseconds, doubled, plus one for a report; and when it clears
-STATE_DDL = "last long, clear_ms long"
-OPEN, FIX, NEVER = "report", "resolve", -1
-
-
-class MachineStatus(StatefulProcessor):
-    """Latest event of one machine and the time it clears itself."""
-
-    def __init__(self, days: int):
-        self.hold_ms = int(timedelta(days=days).total_seconds() * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("status", STATE_DDL)
-
-    def _row(self, key, out: bool, at_us: int, clear_ms: int, cause: str) -> pd.DataFrame:
-        return pd.DataFrame({
-            "gym_equipment_id": [key[0]],
-            "is_out_of_service": [out],
-            "changed_at": [pd.Timestamp(at_us, unit="us")],
-            "auto_clear_at": [pd.Timestamp(clear_ms, unit="ms") if clear_ms != NEVER else pd.NaT],
-            "cause": [cause],
-        })
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, clear_ms = self.state.get() if self.state.exists() else (None, NEVER)
-        newest = last
-        for chunk in rows:
-            at = chunk["at"].astype("datetime64[us]").astype("int64")
-            # on equal times a report outranks a fix, in whichever batch they come
-            order = int((at * 2 + (chunk["kind"] == OPEN)).max())
-            newest = order if newest is None else max(newest, order)
-        if newest is None or newest == last:
-            return
-        if clear_ms != NEVER:
-            self.handle.deleteTimer(clear_ms)
-        at_us, out = newest >> 1, bool(newest & 1)
-        clear_ms = at_us // 1000 + self.hold_ms if out else NEVER
-        if out:
-            self.handle.registerTimer(clear_ms)
-        self.state.update((newest, clear_ms))
-        yield self._row(key, out, at_us, clear_ms, OPEN if out else FIX)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, clear_ms = self.state.get()
-        if clear_ms == expiredTimerInfo.getExpiryTimeInMs():
-            self.state.update((last, NEVER))
-            yield self._row(key, False, clear_ms * 1000, NEVER, "cleared")
-
-    def close(self) -> None:
-        pass
+from vitalspark.streaming.store import latest_state, write_batch
+
+# last is the time of the newest event in microseconds, doubled, plus one for a report
+STATE_DDL = "gym_equipment_id long, last long, cleared boolean"
+OPEN, FIX = "report", "resolve"
+
+
+def status_columns(hold_us: int) -> list:
+    """The stored row of a machine from ``last`` and ``cleared``; clearing is due at whole milliseconds."""
+    out = (F.col("last") % 2 != 0) & ~F.col("cleared")
+    at = F.shiftright("last", 1)
+    due = F.timestamp_micros(clears_at(hold_us))
+    return [
+        F.col("gym_equipment_id"), out.alias("is_out_of_service"),
+        F.when(F.col("cleared"), due).otherwise(F.timestamp_micros(at)).alias("changed_at"),
+        F.when(out, due).alias("auto_clear_at"),
+        F.when(F.col("cleared"), "cleared").when(out, OPEN).otherwise(FIX).alias("cause"),
+    ]
+
+
+def clears_at(hold_us: int):
+    """Microseconds at which a report clears."""
+    at = F.shiftright("last", 1)
+    return at - F.pmod(at, F.lit(1000)) + hold_us
 
 
 def stream_oos_state(
@@ -81,23 +47,43 @@ def stream_oos_state(
     """Status changes from events (gym_equipment_id, at, kind 'report' or 'resolve').
 
     Each report restarts the clock; a fix stops it; when it runs out the machine is in
-    service again. State is two numbers per machine; a batch's rows for one machine
-    pass through in chunks.
+    service again. The clock is the newest event of any machine less ``delay``. The newest
+    event of a machine decides, on equal times a report, however late and in whichever batch
+    it comes, so the status after any cut into batches is the same. Other kinds and events
+    without a time leave everything as it is.
+
+    Each batch stores the machines it changed, as they stand at its end, and next to them two
+    numbers for every machine, which only the next batch reads; a replay changes nothing.
     """
-    keep_state_on_disk(events.sparkSession)
-    changes = (
-        events.withWatermark("at", delay)
-        .groupBy("gym_equipment_id")
-        .transformWithStateInPandas(
-            statefulProcessor=MachineStatus(days),
-            outputStructType=STATUS_DDL,
-            outputMode="append",
-            timeMode="EventTime",
-        )
-    )
+    state = f"{store.rstrip('/')}-state"
+    hold_us = int(timedelta(days=days).total_seconds() * 1_000_000)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = (F.unix_micros(F.col("at").cast("timestamp")) * 2 + (F.col("kind") == OPEN).cast("long"))
+        news = (batch.filter(F.col("at").isNotNull() & F.col("kind").isin(OPEN, FIX))
+                .select(F.col("gym_equipment_id").cast("long"), last.alias("last"), F.lit(None).cast("boolean").alias("cleared")))
+        if batch_id > 0:
+            before = spark.read.schema(STATE_DDL).parquet(f"{state}/batch={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], STATE_DDL)
+        # only rows of the state say whether they are cleared
+        old = F.col("cleared").isNotNull()
+        both = before.unionByName(news).groupBy("gym_equipment_id").agg(
+            F.max("last").alias("last"), F.max(F.when(old, F.col("last"))).alias("_last"),
+            F.max("cleared").alias("_cleared"))
+        path = f"{state}/batch={batch_id}"
+        newest = before.unionByName(news).agg(F.max(F.shiftright("last", 1))).first()[0]
+        clock = F.unix_micros(F.timestamp_micros(F.lit(newest).cast("long")) - F.expr(f"interval {delay}"))
+        now = both.withColumn("cleared", F.coalesce(
+            (F.col("last") % 2 != 0) & (clears_at(hold_us) <= clock), F.lit(False)))
+        now.write.mode("overwrite").parquet(path)
+        now = spark.read.schema(now.schema).parquet(path)
+        same = F.col("last").eqNullSafe(F.col("_last")) & F.col("cleared").eqNullSafe(F.col("_cleared"))
+        write_batch(now.filter(~same).select(*status_columns(hold_us)), store, batch_id)
+
     return (
-        changes.writeStream.outputMode("append")
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, store, batch_id))
+        events.writeStream.foreachBatch(update)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
