@@ -2,8 +2,8 @@
 
 Positions whose residue lies in the cover are the sample: any two positions have a common
 distance, below the modulus, at which both meet the sample. So where two strings of ``width``
-bytes are equal, two sample strings of ``width - modulus + 1`` bytes are. The sample is ranked
-first. Only suffixes that stand before a tied sample can be tied over the whole width; these
+bytes are equal, two sample strings of ``width - modulus + 1`` bytes are. Sample strings are hashed
+first, not ranked. Only windows before a hash that occurs twice can be equal over the width; these
 are sorted one bucket of the key space at a time, which bounds memory and scratch space. Keys
 are 80-bit fingerprints of the width, so the order within a bucket is that of fingerprints.
 """
