@@ -80,9 +80,10 @@ from events where event_type in ('error', 'signup')"""
 )
 def _oos(t):
     store, checkpoint = _folders(t, "oos")
-    events = stream_table(t, "events", "events").filter(F.col("event_type").isin("error", "signup")).select(
+    events = stream_table(t, "events", "events").select(
         F.col("user_id").alias("gym_equipment_id"), F.col("ts").cast("timestamp").alias("at"),
-        F.when(F.col("event_type") == "error", "report").otherwise("resolve").alias("kind"),
+        F.when(F.col("event_type") == "error", "report").when(F.col("event_type") == "signup", "resolve")
+        .otherwise(F.col("event_type")).alias("kind"),
     )
     finish(oos.stream_oos_state(events, store, checkpoint, days=HOLD_DAYS, delay=f"{DELAY_DAYS} days"))
     return oos.machine_status(t.spark, store)
