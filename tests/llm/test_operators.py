@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.corpus import SCHEMA, awkward, frame, lower, prose, remainder, texts, words
 from vitalspark.llm import (
-    attention, bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens,
+    attention, bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens, trie,
 )
 from vitalspark.llm.words import WordEncoder
 
@@ -532,3 +533,71 @@ def test_licenses_of_real_files(spark):
         "m/LICENSE": "MIT", "m/src/x": "MIT", "g/COPYING": "GPL-3.0", "g/x": "GPL-3.0", "a/LICENSE": "Apache-2.0",
         "w": "GPL-2.0", "b": "BSD-3-Clause", "s": "LGPL-2.1", "u": None, "t": "MIT", "n": None, "p/x": "MPL-2.0"}
     assert got["m/src/x"][1] == got["g/x"][1] == "inherited" and got["w"][1] == got["p/x"][1] == "header"
+
+
+# the trie of distinct words
+
+@pytest.fixture(scope="module")
+def spec():
+    return trie.read_spec(BYTE)
+
+
+def odd_texts(n, seed=3):
+    """Texts of special tokens, marks, white space of all kinds and characters of all planes."""
+    rng = random.Random(seed)
+    parts = [*"abcdeThe of\n\n  .,;'sé中😀İñ\x1c\x85\xa0 0123#*$<|>", "<|endoftext|>", " the", "'s", "aaaa", "\r\n", "\t", "ing", "́"]
+    wide = [lambda: rng.randint(32, 126), lambda: rng.randint(0x80, 0x24F), lambda: rng.randint(0x250, 0xD7FF),
+            lambda: rng.randint(0x10000, 0x1FFFF)]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+    made += ["".join(chr(rng.choice(wide)()) for _ in range(rng.randint(0, 20))) for _ in range(n // 2)]
+    return made + ["a" * 700, "ab" * 2000, "".join(rng.choice("etaoin") for _ in range(3000)), " " * 50 + "x"]
+
+
+def test_trie_gives_the_ids_of_the_library(spec):
+    encoder, whole = trie.Encoder(spec), Tokenizer.from_file(BYTE)
+    for some in (ODD, [t or "" for t in texts()], odd_texts(3000), odd_texts(3000, 4)):
+        for t, ids in zip(some, encoder.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_trie_of_few_tokens_against_plain_merges():
+    rng = random.Random(6)
+    letters = dict(enumerate("abc"))
+    for _ in range(30):
+        vocab = {c: i for i, c in letters.items()}
+        pairs = []
+        while len(pairs) < 12:
+            a, b = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if a + b not in vocab:
+                vocab[a + b] = len(vocab)
+                pairs.append((a, b))
+        spec = {"added_tokens": [], "model": {"vocab": vocab, "merges": pairs}}
+        made = trie.Trie(trie.Vocabulary(json.dumps(spec)))
+        some = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(300)})
+        for word, ids in zip(some, made.encode([w.encode() for w in some]), strict=True):
+            plain = list(word)
+            while True:  # the lowest rank first, the leftmost of equals
+                best = min(((pairs.index(p), k) for k, p in enumerate(zip(plain, plain[1:])) if p in pairs), default=None)
+                if best is None:
+                    break
+                k = best[1]
+                plain[k:k + 2] = [plain[k] + plain[k + 1]]
+            assert np.frombuffer(ids, "<u4").tolist() == [vocab[t] for t in plain], word
+
+
+def test_trie_round_trip(spark, docs, spec):
+    found = trie.decode_ids(trie.encode_texts(docs, spec), spec).collect()
+    whole, expected = Tokenizer.from_file(BYTE), {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r.doc_id: r.decoded for r in found} == expected
+    for r in found:
+        ids = whole.encode(expected[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and np.frombuffer(r.ids, "<u4").tolist() == ids
+    cut = spark.createDataFrame([(1, 2, np.array([447, 50256], "<u4").tobytes())], "doc_id long, n_tokens long, ids binary")
+    assert trie.decode_ids(cut, spec).first().decoded == whole.decode([447, 50256], skip_special_tokens=False)
+
+
+def test_trie_odd_rows(spark, spec):
+    found = trie.encode_texts(awkward(spark), spec).collect()
+    assert Counter(r.doc_id for r in found) == {None: 2, 3: 2, 4: 2, 5: 1, 6: 1}
+    assert {r.n_tokens for r in found if r.doc_id in (5, 6)} == {0}
+    assert trie.encode_texts(frame(spark, []), spec).collect() == []

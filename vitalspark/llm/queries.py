@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens
+from vitalspark.llm import bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens, trie
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -69,6 +69,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = trie.read_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    return trie.decode_ids(trie.encode_texts(documents(spark, sf_dir), spec), spec).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_tokens": op2_tokens,
@@ -80,6 +87,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op12_trie": op12_trie,
 }
 
 ORACLE_SQL = {
