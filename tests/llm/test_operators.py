@@ -14,11 +14,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.corpus import SCHEMA, awkward, frame, lower, prose, remainder, texts, words
 from vitalspark.llm import (
-    attention, bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens, trie,
+    attention, bpe, classifier, exact, licenses, near, packing, rules, scoring, search,
+    suffixes, tokens, trie,
 )
 from vitalspark.llm.words import WordEncoder
 
@@ -601,3 +603,66 @@ def test_trie_odd_rows(spark, spec):
     assert Counter(r.doc_id for r in found) == {None: 2, 3: 2, 4: 2, 5: 1, 6: 1}
     assert {r.n_tokens for r in found if r.doc_id in (5, 6)} == {0}
     assert trie.encode_texts(frame(spark, []), spec).collect() == []
+
+
+# ranked search
+
+def search_by_hand(docs, items, top):
+    """Every document scored for every item, without an index."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(t))
+    held = [(d, Counter(terms(t))) for d, t in docs]
+    n, total = sum(bool(c) for _, c in held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for d, c in held:
+            m = 75 + 25 * sum(c.values()) * n // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                        * (1_000_000_000 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text))
+            if score > 0:
+                found.append((-score, d is None, d or 0, d))
+        out += [(item, k + 1, d, -s) for k, (s, _, _, d) in enumerate(sorted(found)[:top])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("shard_bytes", "top"), [(200, 3), (4000, 1), (1 << 22, 20)])
+def test_search(spark, docs, monkeypatch, shard_bytes, top):
+    monkeypatch.setattr(search, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(search, "BLOCK_ITEMS", 40)
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    rng = random.Random(8)
+    asked = [(k, " ".join(rng.sample((t or "").split(), min(len((t or "").split()), rng.randint(1, 25)))))
+             for k, (_, t) in enumerate(given)]
+    asked += [(None, "Word"), (7, "same id"), (8, ""), (9, None), (10, "zzzz"), (11, "word word WORD two")]
+    items = spark.createDataFrame(asked, "item_id int, text string").withColumn("score", F.lit("clash"))
+    found = [tuple(r) for r in search.ranked_search(docs, items, top).collect()]
+    assert sorted(found, key=str) == search_by_hand(given, asked, top)
+
+
+def test_search_odd_rows(spark):
+    items = spark.createDataFrame([(1, "twice id null other")], "item_id long, text string")
+    given = [(r.doc_id, r.text) for r in awkward(spark).collect()]
+    found = [tuple(r) for r in search.ranked_search(awkward(spark), items).collect()]
+    assert sorted(found, key=str) == search_by_hand(given, [(1, "twice id null other")], 20)
+    assert search.ranked_search(frame(spark, []), items).collect() == []
+    assert search.ranked_search(awkward(spark), items.limit(0)).collect() == []
+
+
+def test_pair_bounds_hold_and_are_tighter():
+    rng = np.random.default_rng(3)
+    tighter = 0
+    for _ in range(200):
+        n, docs_n = int(rng.integers(1, 7)), 12
+        impact = rng.integers(1, 100, (n, docs_n)) * (rng.random((n, docs_n)) < 0.4)
+        c = rng.integers(1, 4, n)
+        pairs = rng.permutation(n)[:n // 2 * 2].reshape(-1, 2)
+        both = (impact[pairs[:, 0]] > 0) & (impact[pairs[:, 1]] > 0)
+        joint = np.where(both, impact[pairs[:, 0]] + impact[pairs[:, 1]], 0).max(1, initial=0)
+        groups, bound = search.bounds(c * impact.max(1), c, pairs, joint, impact.max(1))
+        for (a, b), most in zip(groups.tolist(), bound.tolist(), strict=True):
+            real = c[a] * impact[a] + (c[b] * impact[b] if b >= 0 else 0)
+            assert real.max() <= most
+        assert sorted(g for g in groups.ravel().tolist() if g >= 0) == list(range(n))
+        tighter += bound.sum() < (c * impact.max(1)).sum()
+    assert tighter > 100

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import bpe, classifier, exact, licenses, near, packing, rules, scoring, suffixes, tokens, trie
+from vitalspark.llm import bpe, classifier, exact, licenses, near, packing, rules, scoring, search, suffixes, tokens, trie
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -76,6 +76,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_tokens": op2_tokens,
@@ -88,6 +92,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
     "op12_trie": op12_trie,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL = {
@@ -99,5 +104,22 @@ g as (select body, min(doc_id) as keep_id, count(*) as group_size from t group b
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept,
        sha256(t.body) as text_sha256
 from t join g using (body)
+""",
+    "op13_search": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+c as (select count(*) filter (len(words) > 0)::bigint as n_docs, sum(len(words))::bigint as n_terms from d),
+tf as (select doc_id, len(words)::bigint as n, term, count(*)::bigint as tf from (
+  select doc_id, words, unnest(words) as term from d) group by all),
+q as (select item_id, term, count(*)::bigint as times from (
+  select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+w as (select term, floor(1000 * ln((2 * max(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tf, c where term in (select term from q) group by term),
+s as (select q.item_id, tf.doc_id, sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (100 - 25 + ((25 * tf.n * n_docs) // n_terms)))))::bigint as score
+  from tf join w using (term) join q using (term), c group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 20
 """,
 }
