@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.corpus import SCHEMA, awkward, frame, lower, prose, remainder, texts, words
 from vitalspark.llm import (
-    attention, bpe, classifier, exact, licenses, near, packing, rules, scoring, search,
+    attention, bpe, classifier, exact, licenses, near, packing, phrases, rules, scoring, search,
     suffixes, tokens, trie,
 )
 from vitalspark.llm.words import WordEncoder
@@ -666,3 +666,58 @@ def test_pair_bounds_hold_and_are_tighter():
         assert sorted(g for g in groups.ravel().tolist() if g >= 0) == list(range(n))
         tighter += bound.sum() < (c * impact.max(1)).sum()
     assert tighter > 100
+
+
+# collocations
+
+def phrases_by_hand(rows, longest, least, cover, top):
+    counts, total = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(ws)
+            for k in range(1, longest + 1):
+                for i in range(len(ws) - k + 1):
+                    counts.setdefault(lang, Counter())[tuple(ws[i:i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        made = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        found = []
+        for p, a in made.items():
+            inside = [a2 for q, a2 in made.items() if len(q) > len(p) and any(
+                q[i:i + len(p)] == p for i in range(len(q)))]
+            if not any(100 * a2 >= cover * a for a2 in inside):
+                score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, n + 1, p.decode(), -a, l, r, total[lang], -s)
+                for n, (s, a, p, l, r) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("longest", "least", "share", "block"), [(3, 2, 1, 300), (3, 3, 4, 2000), (3, 2, 10 ** 9, 700),
+                                                                  (2, 2, 2, 1 << 20)])
+def test_phrases(spark, monkeypatch, longest, least, share, block):
+    """Whole, partial and empty samples give the same phrases."""
+    monkeypatch.setattr(phrases, "COUNT_BYTES", block)
+    rng = random.Random(9)
+    some = "New york  city\tnew york.São paulo,the of The of;中文 词!\n a a a a\x0b:b? b".split(" ")
+    given = [(k, " ".join(rng.choice(some) for _ in range(rng.randint(0, 40))), rng.choice(["en", "de", None, "und", ""]))
+             for k in range(60)]
+    given += [(None, None, "en"), (3, "", None), (3, "york city York city york city", "xx"), (3, "york city York city york city", "xx")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string").withColumn("phrase", F.lit("clash"))
+    found = phrases.collocations(docs, longest=longest, least=least, top=7, share=share)
+    assert sorted(map(tuple, found.collect())) == phrases_by_hand([(g, t) for _, t, g in given], longest, least, 50, 7)
+
+
+def test_phrases_odd_rows(spark):
+    assert phrases.collocations(frame(spark, []), least=1).collect() == []
+    given = [(r.lang, r.text) for r in awkward(spark).collect()]
+    assert sorted(map(tuple, phrases.collocations(awkward(spark), least=1).collect())) == phrases_by_hand(given, 3, 1, 50, 2000)
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    data = np.frombuffer(b"ab cd ab", np.uint8)
+    starts, ends = np.array([0, 3, 6]), np.array([2, 5, 8])
+    number, first = phrases._numbers(np.full(3, 7, np.uint64), starts, ends, np.zeros(3, np.int64), data)
+    assert number[0] == number[2] != number[1] and sorted(first.tolist()) == [0, 1]

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm import bpe, classifier, exact, licenses, near, packing, rules, scoring, search, suffixes, tokens, trie
+from vitalspark.llm import (
+    bpe, classifier, exact, licenses, near, packing, phrases, rules, scoring, search, suffixes, tokens, trie,
+)
 from vitalspark.llm.common import documents
 from vitalspark.session import work_dir
 
@@ -69,6 +71,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = trie.read_spec(public_tokenizers.path("byte_bpe_50k.json"))
     return trie.decode_ids(trie.encode_texts(documents(spark, sf_dir), spec), spec).select(
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op11_phrases": op11_phrases,
     "op12_trie": op12_trie,
     "op13_search": op13_search,
 }
@@ -104,6 +111,33 @@ g as (select body, min(doc_id) as keep_id, count(*) as group_size from t group b
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept,
        sha256(t.body) as text_sha256
 from t join g using (body)
+""",
+    "op11_phrases": r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+g as (select lang, ws, unnest(generate_series(1, len(ws))) as i from w),
+f as materialized (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as a
+  from g, (values (1), (2), (3)) as v(k) where i + k - 1 <= len(ws) group by all),
+total as (select lang, sum(a) as n from f where k = 1 group by 1),
+c as (select * from f where k > 1 and a >= 10),
+cuts as (select c.*, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') as head,
+  array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') as rest
+  from c, (values (1), (2)) as v(cut) where cut < k),
+s as (select cuts.*, x.a as l, y.a as r, 1000000::hugeint * cuts.a * cuts.a // (x.a::hugeint * y.a) as score
+  from cuts join (select row(lang, phrase) as key, a from f) x on x.key = row(lang, head)
+  join (select row(lang, phrase) as key, a from f) y on y.key = row(lang, rest)),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select lang, inside, max(a) as a from (
+  select lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '),
+    array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as inside from c where k = 3) group by 1, 2),
+kept as (select best.* from best left join longer o on o.lang = best.lang and o.inside = best.phrase
+  where o.a is null or 100 * o.a < 50 * best.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n,
+  score::bigint as score
+from ranked join total using (lang) where rank <= 2000
 """,
     "op13_search": r"""
 with d as (
