@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalspark.llm.chunks import text_bytes
 from vitalspark.llm.common import (
     LOWER, blocks, map_arrow, mix, prefix_hash, saved, span_hash, spans, utf8,
 )
@@ -29,7 +30,11 @@ from vitalspark.llm.common import (
 FIELD = 27
 LOW = 10
 #: Bytes of text that are counted together before anything leaves a task.
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 4 << 20
+#: Bytes of text per bucket of hashes; their sums take about three times as much memory.
+BUCKET_BYTES = 8 << 20
+#: Phrases that a task holds before it sends their counts.
+HELD = 200_000
 
 PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
@@ -210,33 +215,58 @@ def block_words(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str], np.nd
         yield words_of(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], lang[lo:hi]), names, lang_hash
 
 
-def hash_counts(texts: DataFrame, longest: int, known: BitFilter | None = None,
+def hash_counts(texts: DataFrame, buckets: int, longest: int, least: int, known: BitFilter | None = None,
                 before: BitFilter | None = None, first: bool = True) -> DataFrame:
-    """``h, a``: counts by hash of the phrases that a pass counts; tasks send sums by block."""
+    """``h, a``: the phrases that a pass counts, by hash, which occur ``least`` times or more.
+
+    Tasks send sums by block, as arrays dealt over ``buckets`` by hash: a phrase is one entry a
+    block however frequent it is, so buckets are even, and each is summed by itself.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((known, before))
 
     def count(batch: pa.RecordBatch):
         known, before = shared.value
         for w, _, lang_hash in block_words(batch):
             for found in walk(w, lang_hash, longest, known, before, first):
-                if len(found.counts):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.hashes.view(np.int64)), pa.array(found.counts.astype(np.int64))], ["h", "a"])
-
-    return map_arrow(texts, count, "h long, a long").groupBy("h").agg(F.sum("a").alias("a"))
+                if not len(found.hashes):
+                    continue
+                bucket = (found.hashes >> np.uint64(2)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                h, a = found.hashes[order], found.counts[order].astype("<i4")
+                used, start = np.unique(bucket[order], return_index=True)
+                ends = np.append(start[1:], len(h))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used.astype(np.int64)),
+                     pa.array([h[i:j].tobytes() for i, j in zip(start, ends, strict=True)], pa.binary()),
+                     pa.array([a[i:j].tobytes() for i, j in zip(start, ends, strict=True)], pa.binary())],
+                    ["bucket", "h", "a"])
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = [(np.frombuffer(x, np.uint64), np.frombuffer(y, "<i4"))
+                 for x, y in zip(table["h"].to_pylist(), table["a"].to_pylist(), strict=True)]
+        h, a = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h)
+        h, a = h[order], a[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        a = np.add.reduceat(a, first)
+        keep = a >= least
+        return pa.table({"h": h[first][keep].view(np.int64), "a": a[keep]})
+
+    sent = map_arrow(texts, count, "bucket long, h binary, a binary")
+    return sent.groupBy("bucket").applyInArrow(total, "h long, a long")
 
 
 def word_count(h: str = "h") -> Column:
     return F.col(h).bitwiseAND(F.lit(3))
 
 
-def frequent_hashes(texts: DataFrame, sample: DataFrame, longest: int, least: int, least_in_sample: int) -> list[DataFrame]:
+def frequent_hashes(texts: DataFrame, sample: DataFrame, longest: int, least: int, share: int) -> list[DataFrame]:
     """Hashes of all phrases that occur ``least`` times or more, from each pass; see the module's head."""
-    proposed = hash_counts(sample, longest - 1).filter(F.col("a") >= least_in_sample)
-    known, before, found = BitFilter.of(proposed), None, []
+    buckets = max(1, -(-text_bytes(texts) // BUCKET_BYTES))
+    known = BitFilter.of(hash_counts(sample, -(-buckets // share), longest - 1, max(2, least * 4 // (5 * share))))
+    before, found = None, []
     while True:
-        counted = hash_counts(texts, longest, known, before, first=before is None)
-        kept = saved(counted.filter(F.col("a") >= least), "phrases-counted")
+        kept = saved(hash_counts(texts, buckets, longest, least, known, before, first=before is None), "phrases-counted")
         found.append(kept)
         # frequent phrases that were not known: the border has failed there
         wider, failed = known.joined(BitFilter.of(kept.filter(word_count() < longest)))
@@ -248,30 +278,39 @@ def frequent_hashes(texts: DataFrame, sample: DataFrame, longest: int, least: in
 def phrase_counts(texts: DataFrame, kept: BitFilter, longest: int) -> DataFrame:
     """``lang, phrase, words, a, n``: exact counts of the phrases in the filter; a row without a
     phrase has all words of a language as ``n``."""
-    shared = texts.sparkSession.sparkContext.broadcast(kept)
-
-    def count(batch: pa.RecordBatch):
-        kept = shared.value
-        for w, names, lang_hash in block_words(batch):
-            total = np.bincount(w.langs[w.number], minlength=len(names))
-            some = np.flatnonzero(total)
-            yield _rows([names[k] for k in some], [None] * len(some), 0, total[some])
-            for found in walk(w, lang_hash, longest, kept, None, True):
-                take = np.flatnonzero(kept.holds(found.hashes))
-                for lo in range(0, len(take), 100_000):
-                    part = take[lo:lo + 100_000]
-                    words = found.words[part]
-                    yield _rows([names[k] for k in w.langs[words[:, 0]]], spelled(w, words), words.shape[1],
-                                found.counts[part])
-
-    rows = map_arrow(texts, count, "lang string, phrase string, words int, a long")
+    kept = texts.sparkSession.sparkContext.broadcast(kept)
+
+    def count(batches):
+        held: dict[tuple, int] = {}
+        for batch in batches:
+            for w, names, lang_hash in block_words(batch):
+                total = np.bincount(w.langs[w.number], minlength=len(names))
+                for k in np.flatnonzero(total).tolist():
+                    held[names[k], None, 0] = held.get((names[k], None, 0), 0) + int(total[k])
+                for found in walk(w, lang_hash, longest, kept.value, None, True):
+                    take = np.flatnonzero(kept.value.holds(found.hashes))
+                    for lo in range(0, len(take), HELD):
+                        part = take[lo:lo + HELD]
+                        words, n = found.words[part], found.words.shape[1]
+                        for k, phrase, a in zip(w.langs[words[:, 0]].tolist(), spelled(w, words),
+                                                found.counts[part].tolist(), strict=True):
+                            key = (names[k], phrase, n)
+                            held[key] = held.get(key, 0) + a
+                        if len(held) >= HELD:
+                            yield _rows(held)
+                            held = {}
+        if held:
+            yield _rows(held)
+
+    rows = texts.mapInArrow(count, "lang string, phrase string, words int, a long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
 
 
-def _rows(lang: list[str], phrase: list, words: int, a: np.ndarray) -> pa.RecordBatch:
+def _rows(held: dict[tuple, int]) -> pa.RecordBatch:
+    lang, phrase, words = zip(*held, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), pa.array(phrase, pa.string()),
-         pa.array(np.full(len(lang), words), pa.int32()), pa.array(a.astype(np.int64))], ["lang", "phrase", "words", "a"])
+        [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(words, pa.int32()),
+         pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "words", "a"])
 
 
 def spelled(w: Words, words: np.ndarray) -> list[str]:
@@ -333,7 +372,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
         raise ValueError("phrases have two or three words")
     texts = lines(docs)
     sample = lines(docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(share)) == 0))
-    found = frequent_hashes(texts, sample, longest, least, max(2, least * 4 // (5 * share)))
+    found = frequent_hashes(texts, sample, longest, least, share)
     kept = BitFilter()
     for part in found:
         kept, _ = kept.joined(BitFilter.of(part))
