@@ -30,11 +30,11 @@ from vitalspark.llm.common import (
 FIELD = 27
 LOW = 10
 #: Bytes of text that are counted together before anything leaves a task.
-COUNT_BYTES = 4 << 20
+COUNT_BYTES = 2 << 20
 #: Bytes of text per bucket of hashes; their sums take about three times as much memory.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Phrases that a task holds before it sends their counts.
-HELD = 200_000
+HELD = 100_000
 
 PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
@@ -115,8 +115,8 @@ def _numbers(h, starts, ends, lang, data) -> tuple[np.ndarray, np.ndarray]:
     same = (size == size[like]) & (lang == lang[like])
     # bytes of every word next to those of the word that stands for it
     some = np.flatnonzero(same & (like != np.arange(len(like))))
-    for lo in range(0, len(some), 1 << 20):
-        part = some[lo:lo + (1 << 20)]
+    for lo in range(0, len(some), 1 << 17):
+        part = some[lo:lo + (1 << 17)]
         begin = np.cumsum(size[part]) - size[part]
         inner = np.arange(size[part].sum()) - np.repeat(begin, size[part])
         equal = data[np.repeat(starts[part], size[part]) + inner] == data[np.repeat(starts[like[part]], size[part]) + inner]
