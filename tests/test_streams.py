@@ -1,6 +1,7 @@
 """Streams over several batches, against their batch twins; replays change nothing."""
 
 import json
+import pathlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -56,15 +57,20 @@ def test_scale_stream(spark, tmp_path):
     assert {r.arrival for r in once.applied.collect()} == got
 
 
-def test_bounded_scale_stream_runs(spark, tmp_path):
+@pytest.mark.parametrize("cut", [1, 4, 100])
+def test_bounded_scale_stream_loses_no_late_reading(spark, tmp_path, cut):
+    """Readings out of order, months late, repeated across batches, in any cut."""
+    day, base = 86400, 1700000000
+    rows = [("a", 0), ("b", 300), ("a", 0), ("c", -200), ("a", 299), ("b", 300), ("a", -90), ("c", -200), (None, -90),
+            (None, -90), ("a", 1), ("b", 301), ("a", -90), ("b", 298), ("a", 1)]
+    rows = [(k, user, reading(base + at * day, 80 + k)) for k, (user, at) in enumerate(rows)]
     folder = str(tmp_path)
-    land(spark, folder, [(1, "a", reading(1700000000, 80)), (2, "a", reading(1700000000, 81)),
-                         (3, None, reading(1700000000, 82)), (4, None, reading(1700000000, 83))], LINE, 0)
-    out = scale.stream_scale_bounded(stream(spark, folder, LINE), "2025-01-01")
-    q = (out.writeStream.foreachBatch(lambda b, i: write_batch(b, f"{folder}/store", i))
-         .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
-    finish(q)
-    assert scale.loaded_measurements(spark, f"{folder}/store").count() == 3
+    for i in range(0, len(rows), cut):
+        land(spark, folder, rows[i:i + cut], LINE, i)
+        finish(scale.stream_scale_bounded(stream(spark, folder, LINE), f"{folder}/store", f"{folder}/cp", "2025-01-01"))
+    got = {r.arrival for r in scale.loaded_measurements(spark, f"{folder}/store").collect()}
+    assert got == {0, 1, 3, 4, 6, 8, 9, 10, 11, 13}
+    assert scale.loaded_measurements(spark, f"{folder}/store").count() == len(got)
 
 
 def test_flag_stream(spark, tmp_path):
@@ -113,6 +119,30 @@ def test_report_and_fix_at_one_time_in_any_batches(spark, tmp_path, cut):
     assert [(r.is_out_of_service, r.cause) for r in got] == [(True, "report")]
 
 
+def stored_bytes(folder):
+    return sum(p.stat().st_size for p in pathlib.Path(folder).rglob("*.parquet"))
+
+
+def test_period_batches_cost_the_same_however_long_the_history(spark, tmp_path):
+    """Ten batches of like size: each stores sums of its own rows, compaction keeps the totals."""
+    folder, store, spec = str(tmp_path), f"{tmp_path}/store", periods.weekly_workouts()
+    days = ["2025-06-02", "2024-01-02", "2025-06-09", "2025-06-03", "2024-01-03"] * 2
+    whole = None
+    for k, day in enumerate(days):
+        df = make(spark, "workout_sessions", WORKOUTS, [(str(10 * k + i), "u", day, "a", 30 + k) for i in range(4)])
+        whole = df if whole is None else whole.unionByName(df)
+        df.coalesce(1).write.parquet(f"{folder}/in{k}")
+        finish(periods.stream_period_totals(stream(spark, folder, df.schema), spec, store, f"{folder}/cp", compact_every=4))
+    sizes = [stored_bytes(f"{store}/batch={k}") for k in range(10)]
+    assert max(sizes) < 1.2 * min(sizes)
+    assert {p.name for p in pathlib.Path(f"{store}-base").iterdir() if p.is_dir()} == {"upto=3", "upto=7"}
+    want = sorted(map(tuple, strength.weekly_workouts({"workout_sessions": whole}).collect()))
+    assert sorted(map(tuple, periods.period_totals(spark, store, spec).collect())) == want
+    # a compaction by hand, twice, changes nothing; neither does a replay of the last batch
+    assert periods.compact_totals(spark, store, spec) == periods.compact_totals(spark, store, spec) == 9
+    assert sorted(map(tuple, periods.period_totals(spark, store, spec).collect())) == want
+
+
 T0 = datetime(2025, 1, 1)
 EVENT = "gym_equipment_id long, at timestamp, kind string"
 
@@ -140,6 +170,9 @@ def test_oos_stream(spark, tmp_path):
         4: (True, "report"),
         9: (False, "resolve"),
     }
+    # only machines with events or a passed time are written by a batch
+    assert {r.gym_equipment_id for r in spark.read.parquet(f"{store}/batch=0").collect()} == {1, 2, 3}
+    assert oos.compact_latest(spark, store, ["gym_equipment_id"]) > 0
     clear = {r.gym_equipment_id: r.auto_clear_at for r in oos.machine_status(spark, store).collect()}
     assert clear[1] == day(50) and clear[4] == day(55)
 
@@ -153,7 +186,7 @@ def test_oos_stream_keeps_late_events_in_any_cut(spark, tmp_path):
             (5, day(99), "noted"), (1, None, "resolve"), (None, day(97), "report"), (2, day(20), "resolve")]
     want = {1: (True, "report", day(120)), 2: (False, "cleared", None), 3: (False, "resolve", None),
             4: (True, "report", day(110)), 9: (False, "resolve", None), None: (True, "report", day(127))}
-    for cut in (1, 3, len(rows)):
+    for cut in (2, 5, len(rows)):
         folder = f"{tmp_path}/{cut}"
         for i in range(0, len(rows), cut):
             land(spark, folder, rows[i:i + cut], EVENT, i)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,19 +47,19 @@ def contains_listed_word(
 ) -> Column:
     """True when any text holds a listed word after all but letters, digits and space go.
 
-    The default matches inside longer words as well; ``whole_word`` does not. Plain
-    searches come first, so the pattern runs only on texts that hold some word.
+    The default matches inside longer words as well; ``whole_word`` does not. Each text is
+    normalised once and searched once, for all words together.
     """
     if not words:
         return F.lit(False)
     # a word that holds another listed word can never be found without it
     shortest = [w for w in words if not any(o != w and o in w for o in words)]
-    pattern = rf"(^|[{SPACES}])({'|'.join(words)})([{SPACES}]|$)"
+    inside = "|".join(map(re.escape, words if whole_word else shortest))
+    pattern = rf"(^|[{SPACES}])({inside})([{SPACES}]|$)" if whole_word else inside
 
     def found(c: Column) -> Column:
         plain = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACES}]+", "")
-        hit = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in shortest])
-        return F.coalesce(hit & plain.rlike(pattern) if whole_word else hit, F.lit(False))
+        return F.coalesce(plain.rlike(pattern), F.lit(False))
 
     return reduce(lambda a, b: a | b, [found(c) for c in texts])
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitalspark.functions.health import effective_oos
 from vitalspark.functions.text import LISTED_WORDS, contains_listed_word
-from vitalspark.operators import equipment
+from vitalspark.operators import equipment, term_search
 from vitalspark.plans.catalog import query
 from vitalspark.sources.domain import AS_OF
 
@@ -58,7 +58,28 @@ query(
     "search_library", LIBRARY_COLUMNS, LIBRARY_TABLES,
     f"""select * from ({LIBRARY}) where (lower(name) like lower('%RING%') or lower(brand) like lower('%RING%'))
         order by gym_count desc, name, id limit 50""",
+)(lambda t: equipment.search_library(t, q="RING", limit=50))
+query(
+    "search_library_all", LIBRARY_COLUMNS, LIBRARY_TABLES,
+    f"""select * from ({LIBRARY}) where (lower(name) like lower('%RING%') or lower(brand) like lower('%RING%'))""",
 )(lambda t: equipment.search_library(t, q="RING"))
+# terms of the library itself: parts of names and whole brands
+TERMS = """select distinct term from (
+  select substr(name, 2 + cast(id % 5 as int), 7) as term from equipment_library union all
+  select brand as term from equipment_library where id % 50 = 0) where term is not null"""
+
+
+def _library_terms(t):
+    names = t["equipment_library"].select(F.col("name").substr(F.lit(2) + (F.col("id") % 5).cast("int"), F.lit(7)).alias("term"))
+    brands = t["equipment_library"].filter(F.col("id") % 50 == 0).select(F.col("brand").alias("term"))
+    return term_search.search_library_terms(t, names.unionByName(brands))
+
+
+query(
+    "search_library_terms", f"term:s {LIBRARY_COLUMNS}", LIBRARY_TABLES,
+    f"""select term, l.* from ({TERMS}) join ({LIBRARY}) l
+        on lower(name) like '%' || lower(term) || '%' or lower(brand) like '%' || lower(term) || '%'""",
+)(_library_terms)
 query(
     "search_library_filtered", LIBRARY_COLUMNS, LIBRARY_TABLES,
     f"""select * from ({LIBRARY}) where (lower(name) like lower('%brand#1%') or lower(brand) like lower('%brand#1%'))
@@ -85,7 +106,21 @@ query(
     "search_gyms", GYM_COLUMNS, "gyms workout_sessions",
     f"""select * from ({GYMS}) where lower(name) like lower('%00%') or lower(city) like lower('%00%')
         or zip like '00%' order by workout_count desc, name, id limit 20""",
+)(lambda t: equipment.search_gyms(t, "00", limit=20))
+query(
+    "search_gyms_all", GYM_COLUMNS, "gyms workout_sessions",
+    f"""select * from ({GYMS}) where lower(name) like lower('%00%') or lower(city) like lower('%00%')
+        or zip like '00%'""",
 )(lambda t: equipment.search_gyms(t, "00"))
+query(
+    "search_gyms_terms", f"term:s {GYM_COLUMNS}", "gyms workout_sessions",
+    f"""with terms as (select distinct term from (
+          select city as term from gyms union all select substr(zip, 1, 3) as term from gyms union all
+          select substr(name, 9) as term from gyms) where length(trim(term)) >= 2)
+        select term, g.* from terms join ({GYMS}) g on lower(name) like '%' || lower(term) || '%'
+          or lower(city) like '%' || lower(term) || '%' or zip like term || '%'""",
+)(lambda t: term_search.search_gyms_terms(t, t["gyms"].select(F.explode(F.array(
+    "city", F.substring("zip", 1, 3), F.substring("name", 9, 1000))).alias("term"))))
 query(
     "top_gyms", GYM_COLUMNS, "gyms workout_sessions",
     f"select * from ({GYMS}) order by workout_count desc, name, id limit 20",

@@ -10,7 +10,7 @@ from vitalspark.plans.strength_queries import WEEK_COLUMNS, WEEKLY
 from vitalspark.session import work_dir
 from vitalspark.sources.domain import AS_OF, TABLE_SQL
 from vitalspark.streaming import flags, oos, periods, scale
-from vitalspark.streaming.store import finish, write_batch
+from vitalspark.streaming.store import finish
 
 
 def stream_table(t, name: str, source: str) -> DataFrame:
@@ -44,17 +44,14 @@ def _scale(t):
 
 
 @query(
-    "stream_scale_bounded", "renpho_user_id:n measured_at:t", "scale_readings",
-    f"""select distinct renpho_user_id, measured_at from ({MEASURED}) where rejected_field is null""",
+    "stream_scale_bounded", f"renpho_user_id:n arrival:n {MEASURED_COLUMNS}", "scale_readings",
+    f"""select * from (select *, row_number() over (partition by renpho_user_id, measured_at order by arrival) as place
+        from ({MEASURED}) where rejected_field is null) where place = 1 or renpho_user_id is null""",
 )
 def _scale_bounded(t):
     store, checkpoint = _folders(t, "scale-bounded")
     lines = reading_lines(stream_table(t, "scale_readings", "events"))
-    unique = scale.stream_scale_bounded(lines, AS_OF)
-    finish(
-        unique.writeStream.foreachBatch(lambda b, i: write_batch(b, store, i))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    finish(scale.stream_scale_bounded(lines, store, checkpoint, AS_OF))
     return scale.loaded_measurements(t.spark, store)
 
 

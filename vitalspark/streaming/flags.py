@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalspark.operators.changes import FLAGS_TO_HIDE
-from vitalspark.streaming.store import keep_state_on_disk, latest_state, write_batch
+from vitalspark.streaming.store import compact_latest, keep_state_on_disk, read_latest, write_batch
 
 KEY = ["target_type", "target_id"]
 
 
-def stream_flag_threshold(flags: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
+def stream_flag_threshold(
+    flags: DataFrame, store: str, checkpoint: str, *, compact_every: int | None = 64, **trigger
+) -> StreamingQuery:
     """Running number of flags per target; each batch stores the totals it changed.
 
     Counts are combined before the shuffle, so a target with a third of all flags is
-    one row per task.
+    one row per task. After every ``compact_every`` batches the stored totals are reduced to one
+    row per target (never, if None).
     """
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, store, batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_latest(batch.sparkSession, store, KEY)
+
     keep_state_on_disk(flags.sparkSession)
     totals = flags.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total"))
     return (
         totals.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, store, batch_id))
+        .foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -30,7 +39,7 @@ def stream_flag_threshold(flags: DataFrame, store: str, checkpoint: str, **trigg
 
 
 def flag_totals(spark: SparkSession, store: str) -> DataFrame:
-    return latest_state(spark.read.parquet(store), KEY).select(*KEY, "total")
+    return read_latest(spark, store, KEY).select(*KEY, "total")
 
 
 def set_flag_counts(base: DataFrame, totals: DataFrame, target_type: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalspark.operators.changes import insert_if_absent
+from vitalspark.skew import first_rows
 from vitalspark.sources.scale import read_scale_measurements, reading_columns
 from vitalspark.streaming.store import read_store, write_batch
 
@@ -71,16 +72,56 @@ def loaded_measurements(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(store).drop("batch")
 
 
-def stream_scale_bounded(lines: DataFrame, as_of, delay: str = "2 days") -> DataFrame:
-    """Deduplicated readings with bounded state; readings later than ``delay`` are lost.
+def stream_scale_bounded(
+    lines: DataFrame, store: str, checkpoint: str, as_of, delay: str = "2 days", **trigger
+) -> StreamingQuery:
+    """Readings exactly once per (scale user, time), with bounded state and none lost.
+
+    Rows within ``delay`` of the newest reading are told apart by Spark's own state, which forgets
+    keys as the watermark passes them, so they need no look at the store. What that state does not
+    let through is either a repeat or late; those rows are compared with the keys stored for
+    their own days. Of equal keys the first batch counts, within a batch the first arrival. Rows
+    without a scale user never repeat one another.
 
-    Rows without a scale user never repeat one another, so they bypass the state.
+    Each batch is stored by day; a replay overwrites its own folder.
     """
-    measured = read_scale_measurements(reading_columns(lines), as_of, "renpho_user_id", "arrival")
-    measured = measured.filter(F.col("rejected_field").isNull()).drop("rejected_field")
-    marked = measured.withWatermark("measured_at", delay)
-    owned = marked.withColumn(
-        "_key",
-        F.coalesce(F.col("renpho_user_id").cast("string"), F.concat(F.lit("#"), F.col("arrival").cast("string"))),
+    measured = read_scale_measurements(
+        reading_columns(lines), as_of, "renpho_user_id", "arrival"
+    ).filter(F.col("rejected_field").isNull()).drop("rejected_field")
+    schema = measured.schema
+    fresh = (
+        measured.withWatermark("measured_at", delay).filter(F.col("renpho_user_id").isNotNull())
+        .dropDuplicatesWithinWatermark(KEY).select(*KEY, F.lit(True).alias("_fresh"))
+    )
+    both = measured.withColumn("_fresh", F.lit(False)).unionByName(fresh, allowMissingColumns=True)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            store_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.filter(~F.col("_fresh")).drop("_fresh")
+        known = batch.filter(F.col("_fresh")).select(*KEY)
+        owned = F.col("renpho_user_id").isNotNull()
+        first = first_rows(rows.filter(owned), KEY, [F.col("arrival")])
+        rest = first.join(known, KEY, "left_anti")
+        # the days of late rows and repeats; a calendar has few
+        days = [r[0] for r in rest.select("measurement_date").distinct().collect()]
+        if batch_id > 0 and days:
+            stored = read_store(spark, store, schema).filter(
+                (F.col("batch") < batch_id) & F.col("measurement_date").isin(days))
+            rest = rest.join(stored.select(*KEY), KEY, "left_anti")
+        new = first.join(known, KEY, "left_semi").unionByName(rest).unionByName(rows.filter(~owned))
+        new.repartition("measurement_date").write.mode("overwrite").partitionBy("measurement_date").parquet(
+            f"{store.rstrip('/')}/batch={batch_id}")
+
+    return (
+        both.writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    return owned.dropDuplicatesWithinWatermark(["_key", "measured_at"]).drop("_key")
