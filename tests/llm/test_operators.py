@@ -43,7 +43,6 @@ def by_id(df):
 
 def ids_of(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
 
 
@@ -60,7 +59,8 @@ ODD = ["", "a", " a", "a ", "A  b", "don't", "...", "x,y, z.", "\n", "\n\n", "a\
 def test_words_give_the_ids_of_whole_texts(path, byte_level):
     encoder = WordEncoder(path, byte_level)
     whole = ids_of(path)
-    for t in [*ODD, *(t or "" for t in texts())]:
+    marked = ["İ.", "BİLGİ.", "Aİ!", "x<|startoftext|>y", "ς. Σ.", "ŉ.", "ǰ!", "ΐ,", "İ\u0307.", "a\u200d.", "İ<|endoftext|>"]
+    for t in [*ODD, *marked, *(t or "" for t in texts()), *odd_texts(6000, 5), *odd_texts(6000, 6)]:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole(t)[:-1], t
 
 
@@ -547,7 +547,7 @@ def spec():
 def odd_texts(n, seed=3):
     """Texts of special tokens, marks, white space of all kinds and characters of all planes."""
     rng = random.Random(seed)
-    parts = [*"abcdeThe of\n\n  .,;'sé中😀İñ\x1c\x85\xa0 0123#*$<|>", "<|endoftext|>", " the", "'s", "aaaa", "\r\n", "\t", "ing", "́"]
+    parts = [*"abcdeThe of\n\n  .,;'sé中😀İñΣǰ\x1c\x85\xa0 0123#*$<|>", "<|endoftext|>", " the", "'s", "aaaa", "\r\n", "\t", "ing", "́"]
     wide = [lambda: rng.randint(32, 126), lambda: rng.randint(0x80, 0x24F), lambda: rng.randint(0x250, 0xD7FF),
             lambda: rng.randint(0x10000, 0x1FFFF)]
     made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(n)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import string
 import sys
 import unicodedata
@@ -47,7 +48,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(
+            re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.model = self.tokenizer.model
         self.byte_level = byte_level
         self.letters = dict(enumerate(byte_letters()))
@@ -72,9 +74,14 @@ class WordEncoder(dict):
                 self.marks[run] = ids
         return ids
 
+    @staticmethod
+    def _ends_in_letter(letter: str) -> bool:
+        """Is the last character still a letter in lower case? That of some, such as İ, ends in a mark."""
+        return letter.isascii() or unicodedata.normalize("NFC", letter.lower())[-1].isalpha()
+
     def _word(self, word: str) -> bytes:
         core = word.rstrip(string.punctuation)
-        if core != word and core[-1:].isalpha():
+        if core != word and core[-1:].isalpha() and (self.byte_level or self._ends_in_letter(core[-1])):
             return self[core] + self._marks(word[len(core):])
         if self.byte_level:
             if word[:1] == "\n":
@@ -98,6 +105,8 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.special.search(text):  # the text of a special token is that token
+            return self._encode(text)
         if not self.byte_level:
             return self.join(text.replace("\n", " ").split(" "))
         if not text or self._side_by_side(text):
