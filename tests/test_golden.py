@@ -3,6 +3,7 @@
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.fixtures import sample_log
 from vitalspark.operators import body_health, cardio_nutrition, dashboard, history, strength
@@ -100,3 +101,31 @@ def test_pages(t):
     ids = [r.id for r in history.metrics_page(t["body_metrics"], limit=2, offset=1).collect()]
     assert sorted(ids) == ["w1", "w2"]
     assert history.metrics_page(t["body_metrics"], limit=9999).count() == 5
+
+
+
+def test_requests_take_the_machine_day_or_the_latest_of_all(spark):
+    """Against both kinds of history worked out for everybody, as the answers are defined."""
+    t = dict(sample_log(spark))
+    number = F.col("set_number").cast("int")
+    t["workout_sets"] = t["workout_sets"].withColumn(
+        "gym_equipment_id", F.when(number % 3 == 1, "m1").when(number % 3 == 2, "m2"))
+    performed = strength.performed_sets(t).select("user_id", "exercise_name", "gym_equipment_id").distinct().collect()
+    machines = sorted({r.gym_equipment_id for r in performed if r.gym_equipment_id is not None}) + ["none such", None]
+    asked = [(r.user_id, name, m) for r in performed for m in machines
+             for name in (r.exercise_name, r.exercise_name.upper(), "never done", None)]
+    requests = spark.createDataFrame(asked, "user_id string, exercise_name string, gym_equipment_id string")
+    fields = ["session_id", "gym_equipment_id", "session_date", "gym_name", "set_number", "reps", "weight_lbs", "rpe"]
+    special, general = {}, {}
+    for held, unit, rows in ((special, ["gym_equipment_id"], strength.last_performance_rows(t, per_machine=True)),
+                             (general, [], strength.last_performance_rows(t))):
+        for r in rows.collect():
+            held.setdefault((r.user_id, r.exercise_key, *(r[u] for u in unit)), []).append(tuple(r[f] for f in fields))
+    want = set()
+    for user, name, m in asked:
+        key = (user, name and name.lower())
+        own = (*key, m) in special
+        want |= {(*key, m, own, *row) for row in (special[*key, m] if own else general.get(key, []))}
+    found = strength.last_performance_fallback(t, requests).collect()
+    got = [(r.user_id, r.exercise_key, r.requested_machine, r.used_machine, *(r[f] for f in fields)) for r in found]
+    assert len(got) == len(set(got)) and set(got) == want and {g[3] for g in got} == {True, False}

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from vitalspark.functions.dates import days_before, week_start
 from vitalspark.functions.numbers import mean_rounded, one_rep_max, round_to_int
 from vitalspark.operators.history import page_rows
-from vitalspark.skew import PART_ROWS, first_rows, join_optional, join_shared, position_parts
+from vitalspark.skew import (
+    PART_ROWS, first_rows, join_optional, join_shared, position_parts, split_large,
+)
 
 Tables = Mapping[str, DataFrame]
 USER = ("user_id",)
@@ -238,15 +240,23 @@ def nest_sets(rows: DataFrame, by: Sequence[str], part_rows: int = PART_ROWS) ->
     they follow one another in order.
     """
     order = ["set_number", "session_id", *SET_VALUES, "gym_equipment_id"]
+    shown = ("set_number", *SET_VALUES)
+    small, large = split_large(rows, by, part_rows)
+    whole = small.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(*order, *HEADER))).alias("_sets")
+    ).select(
+        *by, F.lit(0).alias("part"), *[F.col("_sets")[0][c].alias(c) for c in HEADER],
+        F.transform("_sets", lambda s: F.struct(*[s[c].alias(c) for c in shown])).alias("sets"),
+    )
     placed = position_parts(
-        rows, by, F.col("set_number"), [F.col(c).asc_nulls_first() for c in order], part_rows
+        large, by, F.col("set_number"), [F.col(c).asc_nulls_first() for c in order], part_rows
     )
     first = placed.filter(F.col("place") == 1).select(*by, *HEADER)
     lists = placed.groupBy(*by, "part").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("place", "set_number", *SET_VALUES))),
-        lambda s: F.struct(*[s[c].alias(c) for c in ("set_number", *SET_VALUES)]),
+        F.sort_array(F.collect_list(F.struct("place", *shown))),
+        lambda s: F.struct(*[s[c].alias(c) for c in shown]),
     ).alias("sets"))
-    return join_shared(lists, first, by).select(*by, "part", *HEADER, "sets")
+    return whole.unionByName(join_shared(lists, first, by).select(*by, "part", *HEADER, "sets"))
 
 
 def last_performance(
@@ -266,27 +276,55 @@ def last_performance_fallback(
     ``requests`` has the key columns, ``exercise_name`` and ``gym_equipment_id``
     (which may be null). Returns one row per set with ``used_machine``; for documents
     pass it to ``nest_sets`` by keys, exercise_key, requested_machine and used_machine.
+
+    The latest day of each machine, and of any, come from one reduction of the exercises that are
+    asked for; each request then takes the one day that answers it, and only the sessions of
+    those days fetch their sets.
     """
     asked = requests.select(
         *keys, F.lower("exercise_name").alias("exercise_key"),
         F.col("gym_equipment_id").alias("requested_machine"),
     ).distinct()
-    fields = ["gym_equipment_id", "session_id", *HEADER, "set_number", *SET_VALUES]
-    special = last_performance_rows(t, keys=keys, per_machine=True).withColumn(
-        "requested_machine", F.col("gym_equipment_id")
+    unit = [*keys, "exercise_key"]
+    asked = asked.filter(F.col("exercise_key").isNotNull())
+    sets = t["workout_sets"].withColumn("exercise_key", F.lower("exercise_name"))
+    sessions = t["workout_sessions"].select(
+        F.col("id").alias("session_id"), "user_id", "session_date", F.col("name").alias("workout_name")
     )
-    exact = asked.join(special, [*keys, "exercise_key", "requested_machine"]).withColumn(
-        "used_machine", F.lit(True)
+    # only exercises that a request names are looked at further
+    performed = (
+        sets.select("session_id", "exercise_key", "gym_equipment_id").distinct()
+        .join(sessions, "session_id")
+        .join(asked.select(*unit).distinct(), unit, "left_semi")
+    )
+    by_machine = performed.groupBy(*unit, F.col("gym_equipment_id").alias("requested_machine")).agg(
+        F.max("session_date").alias("_day")
     )
-    # which requests found machine history, one row each
-    found = special.select(*keys, "exercise_key", "requested_machine").distinct()
-    open_requests = asked.join(found, [*keys, "exercise_key", "requested_machine"], "left_anti")
-    general = last_performance_rows(t, keys=keys)
-    rest = open_requests.join(general, [*keys, "exercise_key"]).withColumn(
-        "used_machine", F.lit(False)
+    ever = by_machine.groupBy(*unit).agg(F.max("_day").alias("_last"))
+    answered = asked.join(ever, unit).join(
+        by_machine.filter(F.col("requested_machine").isNotNull()), [*unit, "requested_machine"], "left"
+    ).select(
+        *unit, "requested_machine", F.col("_day").isNotNull().alias("used_machine"),
+        F.coalesce("_day", "_last").alias("session_date"),
+    )
+    wanted = performed.join(answered, [*unit, "session_date"]).filter(
+        ~F.col("used_machine") | (F.col("gym_equipment_id") == F.col("requested_machine"))
+    ).select(
+        *unit, "session_date", "workout_name", "requested_machine", "used_machine",
+        F.col("session_id").alias("_session"), F.col("exercise_key").alias("_exercise"),
+        F.col("gym_equipment_id").alias("_machine"),
+    )
+    rows = sets.drop("exercise_key").join(
+        wanted, (F.col("session_id") == F.col("_session"))
+        & (F.lower("exercise_name") == F.col("_exercise"))
+        & F.col("gym_equipment_id").eqNullSafe(F.col("_machine")),
+    )
+    return join_optional(
+        rows, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
+    ).select(
+        *unit, "requested_machine", "used_machine", "gym_equipment_id", "session_id", *HEADER,
+        "set_number", *SET_VALUES,
     )
-    columns = [*keys, "exercise_key", "requested_machine", "used_machine", *fields]
-    return exact.select(*columns).unionByName(rest.select(*columns))
 
 
 def session_list(
@@ -323,26 +361,38 @@ def session_detail(t: Tables, part_rows: int = PART_ROWS) -> DataFrame:
     """
     values = ["set_number", "reps", "weight_lbs", "rpe", "notes"]
     sets = t["workout_sets"].select("session_id", "exercise_name", *values)
+    small, large = split_large(sets.filter(F.col("session_id").isNotNull()), ["session_id"], part_rows)
+
+    def shown(c: str) -> Column:
+        return F.transform(c, lambda s: F.struct(*[s[v].alias(v) for v in values[1:]])).alias("sets")
+
+    whole = small.groupBy("session_id", "exercise_name").agg(
+        F.sort_array(F.collect_list(F.struct(*values))).alias("_sets")
+    ).select("session_id", F.lit(0).alias("part"), "exercise_name", F.lit(1).cast("long").alias("first_place"),
+             F.lit(1).cast("long").alias("_from"), shown("_sets"))
     order = [F.col(c).asc_nulls_first() for c in ("exercise_name", *values)]
-    parted = position_parts(sets, ["session_id"], F.col("exercise_name"), order, part_rows)
-    per_exercise = parted.groupBy("session_id", "part", "exercise_name").agg(
-        F.min("place").alias("_from"),
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("place", *values[1:]))),
-            lambda s: F.struct(*[s[c].alias(c) for c in values[1:]]),
-        ).alias("sets"),
-    )
-    starts = per_exercise.groupBy("session_id", "exercise_name").agg(F.min("_from").alias("_start"))
-    entries = join_shared(per_exercise, starts, ["session_id", "exercise_name"]).withColumn(
-        "first_place", F.col("_from") - F.col("_start") + 1
-    )
-    documents = entries.groupBy("session_id", "part").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct(
-            "_from", F.col("exercise_name").alias("name"), "first_place", "sets"))),
-        lambda e: F.struct(*[e[c].alias(c) for c in ("name", "first_place", "sets")]),
-    ).alias("exercises"))
+    parted = position_parts(large, ["session_id"], F.col("exercise_name"), order, part_rows)
+    cut = parted.groupBy("session_id", "part", "exercise_name").agg(
+        F.min("place").cast("long").alias("_from"),
+        F.sort_array(F.collect_list(F.struct("place", *values[1:]))).alias("_sets"),
+    )
+    starts = cut.groupBy("session_id", "exercise_name").agg(F.min("_from").alias("_start"))
+    split = join_shared(cut, starts, ["session_id", "exercise_name"]).select(
+        "session_id", "part", "exercise_name", (F.col("_from") - F.col("_start") + 1).alias("first_place"),
+        "_from", shown("_sets"),
+    )
+
+    def documents(entries: DataFrame) -> DataFrame:
+        # small sessions are in order of the name, parts of large ones in order of their places
+        return entries.groupBy("session_id", "part").agg(F.transform(
+            F.sort_array(F.collect_list(F.struct(
+                "_from", F.col("exercise_name").alias("name"), "first_place", "sets"))),
+            lambda e: F.struct(*[e[c].alias(c) for c in ("name", "first_place", "sets")]),
+        ).alias("exercises"))
+
+    made = documents(whole).unionByName(documents(split))
     sessions = t["workout_sessions"]
-    return sessions.join(documents, F.col("id") == F.col("session_id"), "left").select(
+    return sessions.join(made, F.col("id") == F.col("session_id"), "left").select(
         *sessions.columns, F.coalesce("part", F.lit(0)).alias("part"), "exercises"
     )
 

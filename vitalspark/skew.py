@@ -5,6 +5,7 @@
 ``rolling_rows``    aggregate over the last n rows of a group, in fixed-size blocks
 ``join_optional``   left join whose null keys do not pile up in one task
 ``position_parts`` documents cut into parts of so many positions, alike at every size
+``split_large``    rows of groups that fit in one task, and rows of the few that don't
 """
 
 from __future__ import annotations
@@ -162,3 +163,15 @@ def position_parts(
     """
     placed = row_positions(rows, keys, slice_by, order, name="place")
     return placed.withColumn("part", F.floor((F.col("place") - 1) / part_rows).cast("int"))
+
+
+def split_large(rows: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of at most ``limit`` rows, and those of larger groups.
+
+    Sizes come from a partial aggregate, and the larger groups are few: ``limit`` rows stand
+    behind each. Small groups fit in one task and can be collected at once.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    large = sizes.select(*[F.col(k).alias(f"_l_{k}") for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys], F.lit(True))
+    return rows.join(large, on, "left_anti"), rows.join(large, on, "left_semi")
