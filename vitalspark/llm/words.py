@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import string
 import sys
 import unicodedata
@@ -48,8 +47,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(
-            re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.byte_level = byte_level
         self.letters = dict(enumerate(byte_letters()))
@@ -105,8 +104,12 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.special.search(text):  # the text of a special token is that token
-            return self._encode(text)
+        if any(s in text for s in self.special):  # the text of a special token is that token
+            self.tokenizer.encode_special_tokens = False
+            try:
+                return self._encode(text)
+            finally:
+                self.tokenizer.encode_special_tokens = True
         if not self.byte_level:
             return self.join(text.replace("\n", " ").split(" "))
         if not text or self._side_by_side(text):
