@@ -311,7 +311,41 @@ def test_near_odd_rows(spark):
     assert near.near_dedup(frame(spark, [])).collect() == []
     assert near.near_dedup(awkward(spark)).count() == 8
     kept = near.representatives(awkward(spark))
-    assert kept.columns == awkward(spark).columns and kept.count() >= 6
+    assert kept.columns == awkward(spark).columns and kept.count() == 8
+
+
+def test_near_repeated_and_null_ids(spark):
+    """Every row is compared by its own text: [a], [b] share id 1, [near b] is 3, two near copies have no id."""
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 90).split(" ") for _ in range(3))
+    rows = [(1, a), (1, b), (3, ["new"] + b), (None, c), (None, c + ["end"]), (7, ["other"] + a), (None, a[:60]), (9, [])]
+    docs = spark.createDataFrame([(k, " ".join(w), "x") for k, w in rows], "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near.near_dedup(docs).collect())
+    assert [g for g in got if g[0]] == [(1, 1, True), (1, 1, True), (3, 1, False), (7, 1, False), (9, 9, True)]
+    assert sorted(g[2] for g in got if not g[0]) == [False, True, True]
+    kept = near.representatives(docs)
+    assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_near_family_of_uneven_copies(spark):
+    """A family whose similarities lie on both sides of the threshold, cut into several slices and blocks."""
+    rng = random.Random(32)
+    base = prose(rng, 60).split(" ")
+    values = []
+    for _ in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(1000)}"
+        values.append(" ".join(w))
+    whole = brute_near(values)
+    assert 3 < len({c for _, c in whole.values()}) < 150
+    sizes = near.SLICE, near.SLICE_SHINGLES, near.BIN_ROWS, near.BIN_SHINGLES
+    try:
+        for near.SLICE, near.SLICE_SHINGLES, near.BIN_ROWS, near.BIN_SHINGLES in (sizes, (40, 3000, 4000, 60_000)):
+            got = by_id(near.near_dedup(frame(spark, values)))
+            assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == whole
+    finally:
+        near.SLICE, near.SLICE_SHINGLES, near.BIN_ROWS, near.BIN_SHINGLES = sizes
 
 
 def test_registers_estimate_similarity():

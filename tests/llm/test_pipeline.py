@@ -13,7 +13,7 @@ from vitalspark.llm.common import saved
 def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "suffix", "pack"]
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES)
-    assert len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
+    assert len(QUERIES) == 13 and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_queries_with_sql(spark):

@@ -5,6 +5,10 @@ hash is kept as the count of its leading zeros (6 bits) and the next 10 bits. Fo
 make a 64-bit band; documents that share one of the 32 bands are candidates, are screened by the
 collision-corrected estimate, and are confirmed on their full sets.
 
+Pairs are never rows. Members of a bucket are dealt over slices and its centers over blocks; a task
+compares one block with one slice. The screen tells which members and centers have a partner, full
+sets travel to those alone, and the comparison of the sets leaves a spanning forest of the links.
+
 Two sets with a similarity of 0.75 share a band with a probability of 1 - (1 - 0.75**4)**32, more
 than 0.99999; the screen lies five standard errors below the threshold.
 """
@@ -13,12 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import (
-    LOWER, SPACES, blocks, body, map_arrow, mix, prefix_hash, release, saved, span_hash, spans,
-    utf8, windows,
+    LOWER, SPACES, blocks, body_columns, map_arrow, mix, prefix_hash, release, saved, span_hash,
+    spans, utf8, windows,
 )
 from vitalspark.llm.components import components
 
@@ -26,9 +30,12 @@ SHINGLE = 5
 BUCKETS = 128
 BAND = 4
 MANTISSA = 10
-#: Members of a bucket in one slice, and rows that one task compares.
-SLICE = 4096
+#: Members of a bucket in one slice and centers in one block; rows that one task takes.
+SLICE = 2048
 BIN_ROWS = 20_000
+#: The same for full sets, in shingles.
+SLICE_SHINGLES = 1 << 19
+BIN_SHINGLES = 1 << 20
 _rng = np.random.default_rng(99)
 FACTORS = _rng.integers(0, 1 << 62, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, BUCKETS, dtype=np.uint64)
@@ -110,8 +117,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return corrected((a == b).mean(axis=1), n, m)
 
 
+def row_key() -> Column:
+    """A 128-bit key of id and text, which tells rows of one id apart."""
+    doc_id, text = body_columns()
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), text)
+                         .cast("binary"))).alias("row_key")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, words`` (128-bit key of the word sequence) and the registers."""
+    """``doc_id, row_key, n_shingles, words`` (128-bit key of the word sequence) and the registers."""
 
     def sign(batch: pa.RecordBatch):
         data, offsets = utf8(batch.column("text"))
@@ -125,182 +139,251 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys = np.stack([text, second], 1).astype("<u8")
             regs = registers(sets, bounds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[lo:hi], pa.array(np.diff(bounds).astype(np.int64)),
+                [batch.column("doc_id")[lo:hi], batch.column("row_key")[lo:hi],
+                 pa.array(np.diff(bounds).astype(np.int64)),
                  pa.array([k.tobytes() for k in keys], pa.binary()),
                  pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["doc_id", "n_shingles", "words", "registers"])
+                ["doc_id", "row_key", "n_shingles", "words", "registers"])
+
+    return map_arrow(docs.select(*body_columns(), row_key()), sign,
+                     "doc_id long, row_key binary, n_shingles long, words binary, registers binary")
+
+
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """Row by band: a key of the band's number and value."""
+    value = registers.view("<u8").reshape(len(registers), -1)
+    return mix(value + np.arange(1, value.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
 
-    return map_arrow(body(docs), sign,
-                     "doc_id long, n_shingles long, words binary, registers binary")
+def register_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(utf8(column)[0].tobytes(), np.uint16).reshape(-1, BUCKETS)
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """One row for each representative and band: ``band`` (its number and value) and ``doc_id``."""
+def bands(classes: DataFrame) -> DataFrame:
+    """One row for each class and band: ``band`` (its number and value) and ``node``."""
 
     def cut(batch: pa.RecordBatch):
-        n, per = batch.num_rows, BUCKETS // BAND
-        data, _ = utf8(batch.column("registers"))
-        value = np.frombuffer(data.tobytes(), "<u8").reshape(n, per)
-        key = mix(value + np.arange(1, per + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = band_keys(register_rows(batch.column("registers")))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64).reshape(-1)),
-             pa.array(np.repeat(batch.column("doc_id").to_numpy(), per))], ["band", "doc_id"])
-
-    return map_arrow(reps.select("doc_id", "registers"), cut, "band long, doc_id long")
-
-
-def confirmed(close: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets, made anew from whole texts, reach the threshold."""
-
-    def confirm(batch: pa.RecordBatch):
-        da, oa = utf8(batch.column("ta"))
-        db, ob = utf8(batch.column("tb"))
-        for lo, hi in blocks(oa + ob):
-            sa, ba, _ = shingle_sets(da[oa[lo]:oa[hi]], oa[lo:hi + 1] - oa[lo])
-            sb, bb, _ = shingle_sets(db[ob[lo]:ob[hi]], ob[lo:hi + 1] - ob[lo])
-            ok = np.zeros(hi - lo, bool)
-            for k in range(hi - lo):
-                x, y = sa[ba[k]:ba[k + 1]], sb[bb[k]:bb[k + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = both and 100 * both >= threshold * (len(x) + len(y) - both)
+            [pa.array(key.reshape(-1)),
+             pa.array(np.repeat(batch.column("node").to_numpy(), key.shape[1]))], ["band", "node"])
+
+    return map_arrow(classes.select("node", "registers"), cut, "band long, node long")
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles``: the sorted 64-bit hashes of each whole text's shingles."""
+
+    def make(batch: pa.RecordBatch):
+        data, offsets = utf8(batch.column("text"))
+        for lo, hi in blocks(offsets, rows=2000):
+            sets, bounds, _ = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            raw = sets.astype("<u8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a")[lo:hi], batch.column("b")[lo:hi]], ["a", "b"]).filter(pa.array(ok))
+                [batch.column("node")[lo:hi],
+                 pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
+                ["node", "shingles"])
+
+    return map_arrow(texts.select("node", "text"), make, "node long, shingles binary")
 
-    both = (close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
-    return map_arrow(both.select("a", "b", "ta", "tb"), confirm, "a long, b long")
 
+def dealt(rows: DataFrame, bins: int) -> DataFrame:
+    """The rows once for each task they take part in: a member of a slice meets every block of
+    centers, a center every slice."""
+    k = F.when(F.col("center"), F.col("slices")).otherwise(F.col("blocks")) - 1
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("center"), F.col("blocks")).otherwise(F.col("slices")))
+    return (rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k)))
+            .withColumn("slice", F.when(F.col("center"), F.col("other")).otherwise(F.col("own")))
+            .withColumn("block", F.when(F.col("center"), F.col("own")).otherwise(F.col("other")))
+            .drop("own", "other", "slices", "blocks")
+            .withColumn("bin", F.pmod(F.xxhash64("band", "slice", "block"), F.lit(bins))))
 
-def screened(members: DataFrame, centers: DataFrame, threshold: int, bins: int) -> DataFrame:
-    """Pairs ``a, b`` of a center and a member of another group of its bucket that pass the screen.
 
-    Members of a bucket are dealt over slices, and the few centers go to each slice, so no task
-    holds a bucket whole and only pairs that may be links leave it.
+def met_groups(table: pa.Table) -> tuple[pa.Table, list[tuple[int, int, int]]]:
+    """The table sorted, and the ranges of rows that meet: members from, centers from, end."""
+    t = table.sort_by([(c, "ascending") for c in ("band", "slice", "block", "center", "node")]).combine_chunks()
+    if not t.num_rows:
+        return t, []
+    key = np.stack([t.column(c).to_numpy() for c in ("band", "slice", "block")])
+    edge = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), t.num_rows)
+    center = t.column("center").to_numpy()
+    return t, [(s, s + int((~center[s:e]).sum()), e) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def screened(rows: DataFrame, threshold: int) -> DataFrame:
+    """``band, node, group, n_shingles, center`` of the rows that may have a link to another group.
+
+    A pair counts in the first band it shares only, and a pair of centers once.
     """
     share = threshold / 100
     near = share - 5 * np.sqrt(share * (1 - share) / BUCKETS)
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        pairs, agreed = [np.zeros((4, 0), np.int64)], [np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            m, c = (t.sort_by([("band", "ascending"), ("slice", "ascending")]).combine_chunks() for t in (left, right))
-            key = [np.stack([t.column(k).to_numpy() for k in ("band", "slice")]) for t in (m, c)]
-            edge = [np.flatnonzero(np.append(True, (k[:, 1:] != k[:, :-1]).any(0))) for k in key]
-            place = {tuple(key[1][:, s].tolist()): (s, e) for s, e in zip(
-                edge[1].tolist(), np.append(edge[1][1:], key[1].shape[1]).tolist(), strict=True)}
-            col = [{k: t.column(k).to_numpy() for k in ("doc_id", "group", "n_shingles")}
-                   | {"r": np.frombuffer(utf8(t.column("registers"))[0].tobytes(), np.uint16).reshape(-1, BUCKETS)}
-                   for t in (m, c)]
-            for s, e in zip(edge[0].tolist(), np.append(edge[0][1:], key[0].shape[1]).tolist(), strict=True):
-                for k in range(*place.get(tuple(key[0][:, s].tolist()), (0, 0))):
-                    at = np.flatnonzero(col[0]["group"][s:e] != col[1]["group"][k]) + s
-                    n, own = col[0]["n_shingles"][at], col[1]["n_shingles"][k]
-                    at = at[100 * np.minimum(n, own) >= threshold * np.maximum(n, own)]
-                    agree = (col[0]["r"][at] == col[1]["r"][k]).mean(1)
-                    at, agree = at[agree >= near], agree[agree >= near]  # chance only adds agreement
-                    pairs.append(np.stack([col[0]["doc_id"][at], np.full(len(at), col[1]["doc_id"][k]),
-                                           col[0]["n_shingles"][at], np.full(len(at), own)]))
-                    agreed.append(agree)
-        found, agree = np.concatenate(pairs, 1), np.concatenate(agreed)
-        found = np.sort(found[:2, corrected(agree, found[2], found[3]) >= near], axis=0)
-        return pa.table({"a": found[0], "b": found[1]})
-
-    return (members.groupBy("bin").cogroup(centers.groupBy("bin"))
-            .applyInArrow(compare, "a long, b long").distinct())
-
-
-def open_pairs(buckets: DataFrame, labels: DataFrame, centers: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Screened pairs of this round and the buckets that stay open.
-
-    Of a bucket with members of several groups, the ``centers`` members of its smallest groups,
-    heaviest first, meet all members of other groups, and leave the bucket: they have met
-    everyone. A bucket of at most ``centers`` members is settled by that.
+    names = ["band", "node", "group", "n_shingles", "center"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        t, groups = met_groups(table)
+        node, group, size, meets, band = (t.column(c).to_numpy() for c in ("node", "group", "n_shingles", "meets", "band"))
+        regs = register_rows(t.column("registers"))
+        lanes = regs.view("<u8").reshape(len(regs), BUCKETS // BAND)
+        found = np.zeros(t.num_rows, bool)
+        for s, c, e in groups:
+            for k in range(c, e):
+                at = np.flatnonzero((group[s:c] != group[k]) & (~meets[s:c] | (node[s:c] < node[k]))) + s
+                at = at[100 * np.minimum(size[at], size[k]) >= threshold * np.maximum(size[at], size[k])]
+                if not len(at):
+                    continue
+                agree = (regs[at] == regs[k]).mean(1)
+                at, agree = at[agree >= near], agree[agree >= near]  # chance only adds agreement
+                if not len(at):
+                    continue
+                first = (lanes[at] == lanes[k]).argmax(1)
+                ok = band_keys(regs[k:k + 1])[0][first] == band[k]
+                at, agree = at[ok], agree[ok]
+                at = at[corrected(agree, size[at], np.full(len(at), size[k])) >= near]
+                found[at] = True
+                found[k] |= len(at) > 0
+        return t.select(names).filter(pa.array(found))
+
+    return (rows.groupBy("bin").applyInArrow(
+        compare, "band long, node long, group long, n_shingles long, center boolean").distinct())
+
+
+def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links ``a, b`` between members and centers by their full sets; of those that join the same
+    groups within a task, one."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        t, groups = met_groups(table)
+        node, group, size = (t.column(c).to_numpy() for c in ("node", "group", "n_shingles"))
+        data, offsets = utf8(t.column("shingles"))
+        sets, bounds = np.frombuffer(data.tobytes(), "<u8"), offsets // 8
+        links = []
+        for s, c, e in groups:
+            _, word = np.unique(sets[bounds[s]:bounds[e]], return_inverse=True)
+            own = bounds[s:e + 1] - bounds[s]
+            mine = word[:own[c - s]]
+            here = np.zeros(int(word.max()) + 1, bool)
+            _, root = np.unique(group[s:e], return_inverse=True)
+            for k in range(c - s, e - s):
+                n, m = size[s:c], size[s + k]
+                able = (root[:c - s] != root[k]) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
+                if not able.any():
+                    continue
+                here[word[own[k]:own[k + 1]]] = True
+                both = np.add.reduceat(here[mine], own[:c - s], dtype=np.int64)
+                here[word[own[k]:own[k + 1]]] = False
+                at = np.flatnonzero(able & (both > 0) & (100 * both >= threshold * (n + m - both)))
+                joined, one = np.unique(root[at], return_index=True)
+                links += [(int(node[s + i]), int(node[s + k])) for i in at[one]]
+                root[np.isin(root, joined)] = root[k]
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy("bin").applyInArrow(compare, "a long, b long")
+
+
+def meeting(open_: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links of the centers of every bucket of ``open_`` with the bucket's members."""
+    spread = (open_.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.count_if("center").alias("c"))
+              .select("band", F.ceil(F.col("m") / SLICE).alias("slices"), F.ceil(F.col("c") / SLICE).alias("blocks")))
+    rows = (open_.join(spread, "band").withColumnRenamed("center", "meets")
+            .withColumn("center", F.explode(F.when(F.col("meets"), F.array(F.lit(False), F.lit(True)))
+                                            .otherwise(F.array(F.lit(False))))))
+    times = F.when(F.col("center"), F.col("slices")).otherwise(F.col("blocks"))
+    bins = max(1, (rows.select(F.sum(times)).first()[0] or 0) // BIN_ROWS)
+    sketches = classes.select("node", "n_shingles", "registers")
+    likely = saved(screened(dealt(rows.join(sketches, "node"), bins), threshold), "near-likely")
+
+    by_role = [F.ceil(F.sum(F.when(role, F.col("n_shingles")).otherwise(0)) / SLICE_SHINGLES).alias(name)
+               for role, name in ((~F.col("center"), "slices"), (F.col("center"), "blocks"))]
+    rows = likely.join(likely.groupBy("band").agg(*by_role), "band")
+    bins = max(1, (rows.select(F.sum(times * F.col("n_shingles"))).first()[0] or 0) // BIN_SHINGLES)
+    sets = full_sets(texts.join(likely.select("node").distinct(), "node", "left_semi"))
+    return saved(spanning_links(dealt(rows.join(sets, "node"), bins), threshold), "near-links")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, threshold: int = 75) -> DataFrame:
+    """``node, component`` of the classes that have links.
+
+    First one member of every bucket meets the others, by which most copies become one group and
+    most buckets close: groups that are linked already need no more links. Of buckets that
+    still hold several groups, all members outside the largest group then meet all others.
     """
-    grouped = saved(buckets.join(labels, buckets.doc_id == labels.node, "left")
-                    .select(*buckets.columns, F.coalesce("component", "doc_id").alias("group")), "near-grouped")
-    mixed = (grouped.groupBy("band").agg(F.min("group").alias("least"), F.max("group").alias("most"),
-                                         F.count(F.lit(1)).alias("members"))
-             .filter("least <> most").select("band", F.ceil(F.col("members") / SLICE).alias("slices")))
-    sizes = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"))
-    first = Window.partitionBy("band").orderBy("size", F.desc("weight"), "doc_id")
-    open_ = saved(grouped.join(mixed, "band"), "near-open")
-    chosen = saved(
-        open_.select("band", "doc_id", "weight", "group").join(sizes, ["band", "group"])
-        .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= centers)
-        .select("band", "doc_id"), "near-centers")
-    bins = max(1, open_.count() // BIN_ROWS)
-
-    def binned(df: DataFrame, slice_) -> DataFrame:
-        df = df.withColumn("slice", slice_)
-        return df.select("band", "slice", "doc_id", "group", "n_shingles", "registers",
-                         F.pmod(F.xxhash64("band", "slice"), F.lit(bins)).alias("bin"))
-
-    members = binned(open_, F.pmod(F.xxhash64("doc_id"), F.col("slices")))
-    met = saved(binned(open_.join(chosen, ["band", "doc_id"], "left_semi"),
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))), "near-met")
-    pairs = screened(members, met, threshold, bins)
-    rest = open_.join(chosen, ["band", "doc_id"], "left_anti").select(*buckets.columns)
-    return pairs, rest
-
-
-def near_links(docs: DataFrame, reps: DataFrame, threshold: int = 75) -> DataFrame:
-    """``node, component`` of the representatives that have links.
-
-    Within a band bucket pairs are not spelled out: groups that are linked already need no more
-    links. In each round a few members of every bucket meet the members of other groups, linked
-    groups merge, and rounds go on with more members each until no bucket holds members of
-    different groups that have not met.
-    """
-    spark = docs.sparkSession
-    by_band = bands(reps)
+    by_band = bands(classes)
     sizes = by_band.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
     shared = saved(by_band.join(sizes.filter("size > 1"), "band"), "near-shared")
-    weights = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    buckets = saved(shared.join(weights, "doc_id").join(reps, "doc_id")
-                    .select("band", "doc_id", "weight", "n_shingles", "registers"), "near-buckets")
-    texts = saved(body(docs).join(weights, "doc_id", "left_semi"), "near-texts")
-    texts = texts.dropDuplicates(["doc_id"])
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    rows = docs.select(*body_columns(), row_key())
+    wanted = classes.join(weights, "node", "left_semi").select("row_key", "node")
+    texts = saved(rows.join(wanted, "row_key").groupBy("row_key", "node").agg(F.first("text").alias("text"))
+                  .select("node", "text"), "near-texts")
+    release()
+
+    heaviest = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
+    first = saved(shared.join(weights, "node").select("band", "node", "weight")
+                  .withColumn("place", F.row_number().over(heaviest)).filter("place = 1")
+                  .select("band", F.col("node").alias("chosen")), "near-centers")
+    members = saved(shared.join(first, "band")
+                    .select("band", "node", F.col("node").alias("group"), (F.col("node") == F.col("chosen")).alias("center")),
+                    "near-open")
+    links = meeting(members, classes, texts, threshold)
+    labels = components(links)
     release()
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
-    centers = 1
-    while True:
-        pairs, rest = open_pairs(buckets, labels, centers, threshold)
-        found = saved(confirmed(saved(pairs, "near-pairs"), texts, threshold), "near-links")
-        links = links.union(found)
-        buckets = saved(rest, "near-buckets")
-        if found.limit(1).count():
-            labels = components(links)
-        release()
-        if not buckets.limit(1).count():
-            return labels
-        centers *= 4
+
+    # a center has met all whose first shared band is the bucket; other pairs still meet in theirs
+    grouped = (members.select("band", "node").join(labels, "node", "left")
+               .select("band", "node", F.coalesce("component", "node").alias("group")))
+    counts = saved(grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size")), "near-groups")
+    largest = (counts.groupBy("band").agg(F.max(F.struct("size", "group")).alias("top"), F.count(F.lit(1)).alias("groups"))
+               .filter("groups > 1").select("band", F.col("top.group").alias("main")))
+    left = saved(grouped.join(largest, "band")
+                 .select("band", "node", "group", (F.col("group") != F.col("main")).alias("center")), "near-open")
+    more = meeting(left, classes, texts, threshold)
+    if more.limit(1).count():
+        labels = components(links.union(more))
+    release()
+    return labels
+
+
+def with_heads(docs: DataFrame, threshold: int) -> DataFrame:
+    """``doc_id, row_key, n_shingles`` and ``head``, the first row of the component (its id and key)."""
+    marks = saved(signatures(docs), "near-signatures")
+    # rows without an id come last
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row_key"))
+    classes = saved(marks.filter("n_shingles > 0").groupBy("words")
+                    .agg(F.min(row).alias("row"), F.first("n_shingles").alias("n_shingles"),
+                         F.first("registers").alias("registers"))
+                    .select(F.monotonically_increasing_id().alias("node"), "words", "row",
+                            F.col("row.row_key").alias("row_key"), "n_shingles", "registers"), "near-classes")
+    labels = near_links(docs, classes, threshold)
+    linked = labels.join(classes.select("node", "row"), "node")
+    heads = linked.groupBy("component").agg(F.min("row").alias("head"))
+    linked = labels.join(heads, "component").select("node", "head")
+    named = classes.select("node", "words", "row").join(linked, "node", "left").select(
+        "words", F.coalesce("head", "row").alias("head"))
+    return marks.select("doc_id", "row_key", "n_shingles", "words").join(named, "words", "left")
 
 
 def near_dedup(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
-    Documents with one word sequence are one class with its smallest id; a class stands for its
-    members, and only classes are compared. Null and empty texts, and texts without words, have
-    no set and are linked with nothing. Rows without an id are never compared: they are their
-    own component. Rows that repeat an id with other texts share its component.
+    Documents with one word sequence are one class, and only classes are compared. Null and empty
+    texts, and texts without words, have no set and are linked with nothing. Every row is compared
+    by its own text, also rows without an id and rows that repeat one. Ids decide the name of a component: its
+    smallest id, or null if none of its rows has one; of such rows the one with the smallest key of its text is kept.
     """
-    marks = saved(signatures(docs), "near-signatures")
-    classes = (marks.filter("n_shingles > 0 and doc_id is not null").groupBy("words")
-               .agg(F.min("doc_id").alias("rep")))
-    reps = saved(marks.filter("n_shingles > 0").join(classes, "words").filter("doc_id = rep")
-                 .select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"]), "near-reps")
-    labels = near_links(docs, reps, threshold)
-    named = marks.select("doc_id", "n_shingles", "words").join(classes, "words", "left")
-    return (named.join(labels, named.rep == labels.node, "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id"))
-                    .otherwise(F.col("doc_id")).alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    own = F.col("n_shingles") == 0
+    return (with_heads(docs, threshold)
+            .withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("head.doc_id")))
+            .withColumn("kept", F.when(own | F.col("doc_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id")))
+                        .otherwise(F.col("row_key") == F.col("head.row_key")))
+            .select("doc_id", "n_shingles", "component_id", "kept"))
 
 
 def representatives(docs: DataFrame, threshold: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stay, one id of each component, all columns as they are."""
-    kept = near_dedup(docs, threshold).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    row_id = docs["doc_id"].cast("bigint")
-    return docs.join(kept, row_id.eqNullSafe(kept.kept_id), "left_semi")
+    """The rows of ``docs`` that stay, all columns as they are: of each component the first row, by id
+    and then by a key of the text (rows without an id last), and all rows without words. Rows that
+    repeat both id and text stay or go together.
+    """
+    gone = (with_heads(docs, threshold).filter("n_shingles > 0 and row_key <> head.row_key")
+            .select(F.col("row_key").alias("gone_key")).distinct())
+    return docs.join(gone, row_key() == gone.gone_key, "left_anti")
