@@ -30,12 +30,15 @@ SHINGLE = 5
 BUCKETS = 128
 BAND = 4
 MANTISSA = 10
-#: Members of a bucket in one slice and centers in one block; rows that one task takes.
+#: Members of a bucket in one slice and centers in one block; rows and pairs of a task.
 SLICE = 2048
 BIN_ROWS = 20_000
+BIN_PAIRS = 1 << 20
 #: The same for full sets, in shingles.
 SLICE_SHINGLES = 1 << 19
 BIN_SHINGLES = 1 << 20
+#: Pairs whose estimates a task corrects at once.
+PAIRS = 1 << 18
 _rng = np.random.default_rng(99)
 FACTORS = _rng.integers(0, 1 << 62, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, BUCKETS, dtype=np.uint64)
@@ -225,22 +228,31 @@ def screened(rows: DataFrame, threshold: int) -> DataFrame:
         regs = register_rows(t.column("registers"))
         lanes = regs.view("<u8").reshape(len(regs), BUCKETS // BAND)
         found = np.zeros(t.num_rows, bool)
+        pairs, waiting = [], 0
+
+        def settle():
+            if pairs:
+                at, k, agree = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                ok = corrected(agree, size[at], size[k]) >= near
+                found[at[ok]] = found[k[ok]] = True
+                pairs.clear()
+
         for s, c, e in groups:
+            place = int((band_keys(regs[s:s + 1])[0] == band[s]).argmax())
             for k in range(c, e):
                 at = np.flatnonzero((group[s:c] != group[k]) & (~meets[s:c] | (node[s:c] < node[k]))) + s
                 at = at[100 * np.minimum(size[at], size[k]) >= threshold * np.maximum(size[at], size[k])]
+                at = at[~(lanes[at, :place] == lanes[k, :place]).any(1)]
                 if not len(at):
                     continue
-                agree = (regs[at] == regs[k]).mean(1)
+                agree = np.count_nonzero(regs[at] == regs[k], axis=1) / BUCKETS
                 at, agree = at[agree >= near], agree[agree >= near]  # chance only adds agreement
-                if not len(at):
-                    continue
-                first = (lanes[at] == lanes[k]).argmax(1)
-                ok = band_keys(regs[k:k + 1])[0][first] == band[k]
-                at, agree = at[ok], agree[ok]
-                at = at[corrected(agree, size[at], np.full(len(at), size[k])) >= near]
-                found[at] = True
-                found[k] |= len(at) > 0
+                pairs.append((at, np.full(len(at), k), agree))
+                waiting += len(at)
+                if waiting > PAIRS:
+                    settle()
+                    waiting = 0
+        settle()
         return t.select(names).filter(pa.array(found))
 
     return (rows.groupBy("bin").applyInArrow(
@@ -284,12 +296,15 @@ def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
 def meeting(open_: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Links of the centers of every bucket of ``open_`` with the bucket's members."""
     spread = (open_.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.count_if("center").alias("c"))
-              .select("band", F.ceil(F.col("m") / SLICE).alias("slices"), F.ceil(F.col("c") / SLICE).alias("blocks")))
+              .select("band", F.ceil(F.col("m") / SLICE).alias("slices"), F.ceil(F.col("c") / SLICE).alias("blocks"),
+                      (F.col("m") * F.col("c")).cast("double").alias("work")))
+    work = spread.select(F.sum("work")).first()[0] or 0
+    spread = spread.drop("work")
     rows = (open_.join(spread, "band").withColumnRenamed("center", "meets")
             .withColumn("center", F.explode(F.when(F.col("meets"), F.array(F.lit(False), F.lit(True)))
                                             .otherwise(F.array(F.lit(False))))))
     times = F.when(F.col("center"), F.col("slices")).otherwise(F.col("blocks"))
-    bins = max(1, (rows.select(F.sum(times)).first()[0] or 0) // BIN_ROWS)
+    bins = max(1, (rows.select(F.sum(times)).first()[0] or 0) // BIN_ROWS, int(work // BIN_PAIRS))
     sketches = classes.select("node", "n_shingles", "registers")
     likely = saved(screened(dealt(rows.join(sketches, "node"), bins), threshold), "near-likely")
 
