@@ -423,14 +423,35 @@ def test_the_model_learns_from_all_training_ids(spark):
     assert scoring.fit_all(model, table, classes) == sum(len(x) + 1 for x in ids)
 
 
-def test_gradient_sums_are_those_of_all_windows():
+def test_the_model_is_the_mean_of_the_groups_models(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "GROUP_BYTES", 100_000)
     rng = np.random.default_rng(2)
-    model = attention.Attention.fresh()
-    windows = attention.windows_of(rng.integers(0, attention.CLASSES, 700), np.array([0, 5, 300, 700]))
-    whole = model.shaped(model.gradient_sums(*windows) / windows[2].sum())
-    parts = model.shaped(model.gradient_sums(*windows, batch=7) / windows[2].sum())
-    for name, g in model.gradients(*windows).items():
-        assert np.allclose(whole[name], g, atol=1e-5) and np.allclose(parts[name], g, atol=1e-5)
+    end = 40
+    classes = np.append(np.arange(end) % (attention.CLASSES - 1) + 1, 0)
+    # every id is followed by the next one, so context tells all but the first
+    lines = [(np.arange(n) + s) % end for n, s in zip(rng.integers(1, 90, 3000), rng.integers(0, end, 3000), strict=True)]
+    rows = spark.createDataFrame([(k, bytearray(x.astype("<u2").tobytes())) for k, x in enumerate(lines)],
+                                 "doc_id long, ids binary").repartition(3)
+    groups = sum(2 * len(x) for x in lines) // 100_000 + 1
+    hashes = {r.doc_id: r.h for r in rows.select("doc_id", F.xxhash64("doc_id", "ids").alias("h")).collect()}
+    model, fresh = attention.Attention.fresh(), attention.Attention.fresh()
+    assert scoring.fit_all(model, rows, classes) == sum(len(x) + 1 for x in lines)
+    total, seen = 0, 0
+    assert groups > 2
+    for group in range(groups):
+        own = attention.Attention.fresh()
+        data = [lines[k] for k in sorted(hashes, key=hashes.get) if hashes[k] % groups == group]
+        ids, o = scoring.with_end(np.concatenate(data).astype("<u2").view(np.uint8),
+                                  2 * np.cumsum([0, *map(len, data)]), end)
+        own.train(attention.Adam(own), *attention.windows_of(classes[ids], o, attention.CONTEXT))
+        total, seen = total + own.flat() * len(ids), seen + len(ids)
+    assert np.allclose(model.flat(), total / seen, atol=1e-4)
+    inputs, targets, scored = attention.windows_of(np.append(classes[(np.arange(64) + 7) % end], 0), np.array([0, 65]))
+    gain = lambda m: m.log_probabilities(inputs, targets)[0][scored].mean()
+    assert gain(model) > gain(fresh) + 0.5
+    untouched = attention.Attention.fresh()
+    assert scoring.fit_all(untouched, rows.limit(0), classes) == 0
+    assert np.array_equal(untouched.flat(), fresh.flat())
 
 
 def test_attention_gradients_and_causality():
@@ -463,6 +484,9 @@ def test_windows_score_each_token_once():
     assert first == classes.tolist()
     before = [0 if k in offsets[:-1] else classes[k - 1] for k in range(60)]
     assert inputs[scored].tolist() == before
+    # windows side by side, as in training
+    inputs, targets, scored = attention.windows_of(classes, offsets, attention.CONTEXT)
+    assert targets[scored].tolist() == classes.tolist() and inputs[scored].tolist() == before
 
 
 # classifier
