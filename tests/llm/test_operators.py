@@ -768,6 +768,31 @@ def test_phrases(spark, monkeypatch, longest, least, share, block):
     assert sorted(map(tuple, found.collect())) == phrases_by_hand([(g, t) for _, t, g in given], longest, least, 50, 7)
 
 
+def test_phrases_a_filter_holds_by_chance():
+    """A phrase that an earlier filter held by chance, its words unknown then, opens its border later."""
+    data = np.frombuffer(b"one two three", np.uint8)
+    w = phrases.words_of(data, np.array([0, len(data)]), np.zeros(1, np.int64))
+    lang = np.array([5], np.uint64)
+    every = [level.hashes for level in phrases.walk(w, lang, 3, None, None, True)]
+    place = {k: list(map(w.data[a:b].tobytes().decode().__eq__, ("one", "two", "three"))).index(True)
+             for k, (a, b) in enumerate(w.spans)}
+    one = next(k for k, v in place.items() if v == 0)
+
+    def holding(hashes):
+        found = phrases.BitFilter()
+        for shift in (64 - phrases.FIELD, phrases.LOW):
+            for at in (hashes >> np.uint64(shift) & np.uint64((1 << phrases.FIELD) - 1)).tolist():
+                found.bits[at >> 6] |= np.uint64(1 << (at & 63))
+        return found
+
+    # "one" was not known, both phrases of two words seemed to be
+    before = holding(np.concatenate([np.delete(every[0], one), every[1]]))
+    known = holding(np.concatenate(every[:2]))
+    counted = [list(level.hashes) for level in phrases.walk(w, lang, 3, before, None, True)]
+    later = [list(level.hashes) for level in phrases.walk(w, lang, 3, known, before, False)]
+    assert sorted(sum(counted + later, [])) == sorted(np.concatenate(every).tolist())
+
+
 def test_phrases_odd_rows(spark):
     assert phrases.collocations(frame(spark, []), least=1).collect() == []
     given = [(r.lang, r.text) for r in awkward(spark).collect()]

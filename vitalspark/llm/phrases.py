@@ -179,9 +179,11 @@ def walk(w: Words, lang_hash: np.ndarray, longest: int, known: BitFilter | None,
     """The phrases of a block that a pass counts.
 
     With ``known`` these are the ones whose shorter phrases are all known; those for which
-    that held ``before`` too were counted by an earlier pass.
+    that held ``before`` too were counted by an earlier pass. A filter may hold a phrase by chance that
+    the earlier pass never met, so its shorter phrases must have been counted as well.
     """
     now = level(w, 1, np.arange(len(w.number)), None, lang_hash)
+    done = np.ones(len(w.number) + 1, bool)  # by place: did the earlier pass count the run there?
     if first:
         yield now
     for k in range(2, longest + 1):
@@ -191,7 +193,9 @@ def walk(w: Words, lang_hash: np.ndarray, longest: int, known: BitFilter | None,
         if first:
             yield then
         elif len(at):
-            counted = eligible(w, now, at, before)
+            counted = eligible(w, now, at, before) & done[at] & done[at + 1]
+            done = np.zeros(len(w.number) + 1, bool)
+            done[at[counted]] = True
             fresh = np.ones(len(then.counts), bool)
             fresh[then.number[counted]] = False
             yield Level(at, then.number, then.words[fresh], then.hashes[fresh], then.counts[fresh])
