@@ -155,6 +155,19 @@ def test_hot_records(spark):
     assert got["Bench Press"].total_sets == 2003 and got["Bench Press"].session_count == 1
 
 
+def test_records_are_dealt_by_user_once(spark):
+    plan = strength.personal_records(sample_log(spark))._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "user_id" in line.partition("ENSURE")[0] for line in plan.splitlines()) == 1
+
+
+def test_records_without_keys(spark):
+    t = hot_log(spark)
+    users = {r.user_id for r in t["workout_sessions"].select("user_id").distinct().collect()}
+    assert len(users) == 1
+    by_user = strength.personal_records(t).drop("user_id").collect()
+    assert by_user and sorted(by_user, key=str) == sorted(strength.personal_records(t, keys=()).collect(), key=str)
+
+
 SPLIT_EARLY = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

@@ -11,7 +11,7 @@ from vitalspark.functions.dates import days_before, week_start
 from vitalspark.functions.numbers import mean_rounded, one_rep_max, round_to_int
 from vitalspark.operators.history import page_rows
 from vitalspark.skew import (
-    PART_ROWS, first_rows, join_optional, join_shared, position_parts, split_large,
+    PART_ROWS, join_optional, join_shared, position_parts, split_large,
 )
 
 Tables = Mapping[str, DataFrame]
@@ -117,24 +117,15 @@ def _name_key(name: Column) -> Column:
     return F.coalesce(F.lower(name), F.lit("\u0000"))
 
 
-def reps_at_weight(lifted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Reps of the latest set per (keys, exercise in any case, weight), over all machines."""
-    newest = [F.col(c).desc() for c in ("session_date", "session_id", "set_number", "reps", "gym_equipment_id")]
-    named = lifted.withColumn("_top_name", _name_key(F.col("exercise_name")))
-    return first_rows(named, [*keys, "_top_name", "weight_lbs"], newest).select(
-        *[F.col(k).alias(f"_top_{k}") for k in keys], "_top_name",
-        F.col("weight_lbs").alias("_top_weight"), F.col("reps").alias("reps_at_max"),
-    )
-
-
 def personal_records(
     t: Tables, *, keys: Sequence[str] = USER, machine_only: bool = False
 ) -> DataFrame:
     """Records per exercise name (as written), machine and gym.
 
-    Both branches read the same columns of the same set-session join, so its two
-    shuffles run once. Sets are first reduced to one row per (exercise, machine, day);
-    only those rows meet the machine table.
+    ``reps_at_max`` are the reps of the latest set at that weight per (keys, exercise in any case),
+    over all machines. Sets meet the machine table and are then dealt once, by keys and exercise in
+    any case, for everything that follows. Without keys an exercise has the sets of everyone; these are
+    first reduced to one row per (exercise, machine, day, weight).
     """
     lifted = valid_weight(performed_sets(t), positive=True).select(
         *keys, "exercise_name", "gym_equipment_id", "session_date", "session_id", "set_number",
@@ -142,38 +133,39 @@ def personal_records(
     )
     for k in keys:
         lifted = lifted.filter(F.col(k).isNotNull())
-    counted = lifted.filter(F.col("gym_equipment_id").isNotNull()) if machine_only else lifted
-    daily = counted.groupBy(*keys, "exercise_name", "gym_equipment_id", "session_date").agg(
-        F.max("weight_lbs").alias("_weight"),
-        F.max(one_rep_max(F.col("weight_lbs"), F.col("reps"))).alias("_one_rep"),
-        F.count(F.lit(1)).alias("_sets"),
-    )
+    most, sets = F.col("reps"), F.count(F.lit(1))
+    if not keys:
+        lifted = lifted.groupBy("exercise_name", "gym_equipment_id", "session_date", "weight_lbs").agg(
+            F.max("reps").alias("_most"), F.count(F.lit(1)).alias("_sets"),
+            F.max(F.struct("session_id", "set_number", "reps")).alias("_last"),
+        ).select("*", "_last.*").drop("_last")
+        most, sets = F.col("_most"), F.sum("_sets")
     named = join_optional(
-        daily, machines(t), "gym_equipment_id", "machine_id",
+        lifted, machines(t), "gym_equipment_id", "machine_id",
         [*keys, "exercise_name", "session_date"],
     )
+    newest = F.max(F.struct(
+        "session_date", "session_id", "set_number", "reps", "gym_equipment_id"
+    )).over(Window.partitionBy(*keys, "_name_key", "weight_lbs"))
+    name = _name_key(F.col("exercise_name"))
+    named = named.repartition(*keys, name).withColumn("_name_key", name).withColumn("_top", newest["reps"])
     if machine_only:
+        named = named.filter(F.col("gym_equipment_id").isNotNull())
         named = named.filter(F.col("gym_name").isNotNull() | F.col("equipment_name").isNotNull())
-    records = named.groupBy(
-        *keys, "exercise_name", "equipment_name", "equipment_brand", "equipment_type", "gym_name"
+    return named.groupBy(
+        *keys, "_name_key", "exercise_name", "equipment_name", "equipment_brand", "equipment_type", "gym_name"
     ).agg(
-        F.max("_weight").alias("max_weight_lbs"),
-        F.round(F.max("_one_rep"), 2).cast("decimal(8,2)").alias("estimated_1rm"),
+        F.max("weight_lbs").alias("max_weight_lbs"),
+        F.round(F.max(one_rep_max(F.col("weight_lbs"), most)), 2).cast("decimal(8,2)").alias("estimated_1rm"),
+        F.max_by("_top", "weight_lbs").alias("_top"),
         F.countDistinct("session_date").alias("session_count"),
-        F.sum("_sets").alias("total_sets"),
+        sets.alias("total_sets"),
         F.max("session_date").cast("string").alias("last_performed"),
         F.min("session_date").cast("string").alias("first_performed"),
-    )
-    top = reps_at_weight(lifted, keys)
-    on = (_name_key(F.col("exercise_name")) == F.col("_top_name")) & (
-        F.col("max_weight_lbs") == F.col("_top_weight")
-    )
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_top_{k}"))
-    return records.join(top, on, "left").select(
+    ).select(
         *keys, "exercise_name", "equipment_name", "equipment_brand", "equipment_type",
         "gym_name", "max_weight_lbs", "estimated_1rm",
-        F.when(F.col("exercise_name").isNotNull(), F.col("reps_at_max")).alias("reps_at_max"),
+        F.when(F.col("exercise_name").isNotNull(), F.col("_top")).alias("reps_at_max"),
         "session_count", "total_sets", "last_performed", "first_performed",
     )
 
