@@ -1,5 +1,6 @@
 """Scalar rules on literal rows."""
 
+import random
 from datetime import datetime
 from decimal import Decimal as D
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalspark import functions as V
+from vitalspark.functions.text import SPACES
 
 
 def evaluate(spark, column):
@@ -79,6 +81,22 @@ def test_listed_words(spark, text, inside, word):
     assert evaluate(spark, V.contains_listed_word(c, whole_word=True)) is word
 
 
+def test_listed_words_are_found_as_in_the_text_without_other_characters(spark):
+    rng = random.Random(4)
+    pieces = ["a", "s", "S", "d", "am", "n", "9", " ", ".", "-", "\u00a0", "\u00e9", "\u0130", "\u212a", "\U0001f600", "\n", "\x85"]
+    texts = spark.createDataFrame([("".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))),) for _ in range(3000)], "t string")
+    plain = F.regexp_replace(F.lower("t"), f"[^a-z0-9{SPACES}]+", "")
+    for words in (("ass", "damn", "a9"), ("s s", "A", "n.9", "asn"), ("n.9", "D"), ("",)):
+        want = F.lit(False)
+        for w in words:
+            want = want | plain.contains(w)
+        found = V.contains_listed_word(F.col("t"), words=words)
+        got = texts.select("t", want.alias("want"), found.alias("found"))
+        assert got.filter("want <> found").collect() == []
+    plan = texts.select(V.contains_listed_word(F.col("t")))._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan
+
+
 def test_emails(spark):
     assert evaluate(spark, V.normalise_email(F.lit(" A@B.c "))) == "a@b.c"
     assert evaluate(spark, V.is_email(lit(None, "string"))) is False

@@ -41,6 +41,18 @@ def is_email(c: Column) -> Column:
 # White space in the sense of the web form, which goes beyond \\s here.
 SPACES = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+# the characters outside letters, digits and ``SPACES``, for Python
+KEPT_NOT = "[^a-z0-9\\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def _spread(words: Sequence[str], gap: str) -> str:
+    """A pattern for any of the words with ``gap`` between their characters; no word begins another."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(h) + (gap + _spread(rest, gap) if all(rest) else "") for h, rest in heads.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
 
 def contains_listed_word(
     *texts: Column, words: Sequence[str] = LISTED_WORDS, whole_word: bool = False
@@ -48,18 +60,29 @@ def contains_listed_word(
     """True when any text holds a listed word after all but letters, digits and space go.
 
     The default matches inside longer words as well; ``whole_word`` does not. Each text is
-    normalised once and searched once, for all words together.
+    searched once, for all words together. Inside longer words the search skips what would go, so
+    no second text is made.
     """
     if not words:
         return F.lit(False)
     # a word that holds another listed word can never be found without it
     shortest = [w for w in words if not any(o != w and o in w for o in words)]
-    inside = "|".join(map(re.escape, words if whole_word else shortest))
-    pattern = rf"(^|[{SPACES}])({inside})([{SPACES}]|$)" if whole_word else inside
+    gone = f"[^a-z0-9{SPACES}]"
+    if whole_word:
+        pattern = rf"(^|[{SPACES}])({'|'.join(map(re.escape, words))})([{SPACES}]|$)"
+    elif all(shortest):
+        # a word with a character that goes is never found
+        held = [w for w in shortest if not re.search(KEPT_NOT, w, re.ASCII)]
+        if not held:
+            return F.lit(False)
+        first = "".join(sorted({re.escape(w[0]) for w in held}))
+        pattern = f"(?=[{first}]){_spread(held, gone + '*+')}"
+    else:
+        pattern = ""
 
     def found(c: Column) -> Column:
-        plain = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACES}]+", "")
-        return F.coalesce(plain.rlike(pattern), F.lit(False))
+        text = F.regexp_replace(F.lower(c), gone + "+", "") if whole_word else F.lower(c)
+        return F.coalesce(text.rlike(pattern), F.lit(False))
 
     return reduce(lambda a, b: a | b, [found(c) for c in texts])
 
