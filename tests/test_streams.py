@@ -73,6 +73,20 @@ def test_bounded_scale_stream_loses_no_late_reading(spark, tmp_path, cut):
     assert scale.loaded_measurements(spark, f"{folder}/store").count() == len(got)
 
 
+def test_bounded_scale_stream_reads_each_batch_by_one_window(spark, tmp_path, monkeypatch):
+    """Of equal keys the first arrival counts and rows without a user stay, without joins inside the batch."""
+    rows = [(9, "a", reading(1700000000, 80)), (2, "a", reading(1700000000, 81)), (5, None, reading(1700000000, 82)),
+            (6, None, reading(1700000000, 82)), (7, "b", reading(1700000000, 83))]
+    folder, joins = str(tmp_path), []
+    frames = type(spark.range(1))
+    own = frames.join
+    monkeypatch.setattr(frames, "join", lambda *a, **k: joins.append(1) or own(*a, **k))
+    land(spark, folder, rows, LINE, 0)
+    finish(scale.stream_scale_bounded(stream(spark, folder, LINE), f"{folder}/store", f"{folder}/cp", "2025-01-01"))
+    got = sorted(r.arrival for r in scale.loaded_measurements(spark, f"{folder}/store").collect())
+    assert got == [2, 5, 6, 7] and not joins
+
+
 def test_flag_stream(spark, tmp_path):
     folder, store = str(tmp_path), f"{tmp_path}/store"
     schema = "target_type string, target_id string"

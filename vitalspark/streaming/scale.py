@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalspark.operators.changes import insert_if_absent
-from vitalspark.skew import first_rows
 from vitalspark.sources.scale import read_scale_measurements, reading_columns
 from vitalspark.streaming.store import read_store, write_batch
 
@@ -104,18 +103,27 @@ def stream_scale_bounded(
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.filter(~F.col("_fresh")).drop("_fresh")
-        known = batch.filter(F.col("_fresh")).select(*KEY)
         owned = F.col("renpho_user_id").isNotNull()
-        first = first_rows(rows.filter(owned), KEY, [F.col("arrival")])
-        rest = first.join(known, KEY, "left_anti")
+        # a key that the state let through comes before its rows, the first of which is then the second
+        order = Window.partitionBy(*KEY).orderBy(F.col("_fresh").desc(), "arrival")
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = (
+            batch.filter(owned)
+            .withColumns({"_place": F.row_number().over(order), "_passed": F.max("_fresh").over(so_far)})
+            .filter((F.col("_place") <= 2) & ~F.col("_fresh") & ((F.col("_place") == 1) | F.col("_passed")))
+            .drop("_place", "_fresh")
+        )
+        rest = first.filter(~F.col("_passed")).drop("_passed")
         # the days of late rows and repeats; a calendar has few
         days = [r[0] for r in rest.select("measurement_date").distinct().collect()]
         if batch_id > 0 and days:
             stored = read_store(spark, store, schema).filter(
                 (F.col("batch") < batch_id) & F.col("measurement_date").isin(days))
             rest = rest.join(stored.select(*KEY), KEY, "left_anti")
-        new = first.join(known, KEY, "left_semi").unionByName(rest).unionByName(rows.filter(~owned))
+        new = (
+            first.filter("_passed").drop("_passed").unionByName(rest)
+            .unionByName(batch.filter(~owned & ~F.col("_fresh")).drop("_fresh"))
+        )
         new.repartition("measurement_date").write.mode("overwrite").partitionBy("measurement_date").parquet(
             f"{store.rstrip('/')}/batch={batch_id}")
 
