@@ -60,6 +60,20 @@ def test_a_table_of_terms_gives_what_single_searches_give(spark):
         assert found == {x: ids for x in terms if (ids := {r.id for r in single(t, x).collect()})}
 
 
+def test_equal_names_and_brands_are_matched_once(spark):
+    t = DomainTables(spark, str(TEST_DATA / "sf0.001"))
+    library = t["equipment_library"]
+    copies = library.unionByName(library.withColumn("id", F.col("id") + 1_000_000))
+    asked = spark.createDataFrame([("Brand#1",), ("BRAND#1",), ("ring",), ("%",)], TERMS)
+    found = term_search.search_library_terms({**{k: t[k] for k in ("gym_equipment", "gyms")}, "equipment_library": copies}, asked)
+    one = term_search.search_library_terms(t, asked).collect()
+    got = sorted((r.term, r.id) for r in found.collect())
+    assert one and got == sorted((r.term, r.id + k) for r in one for k in (0, 1_000_000))
+    # no entry is in the index, and no pair of term and entry is sorted or hashed to find equal ones
+    text = term_search.gram_index(library.select(F.lower("name").alias("text")).unionAll(library.select(F.lower("name"))))
+    assert text.columns == ["gram", "text"] and text.count() == text.distinct().count()
+
+
 def test_no_comparison_of_every_term_with_every_text(spark):
     t = DomainTables(spark, str(TEST_DATA / "sf0.001"))
     asked = t["equipment_library"].select(F.substring("name", 2, 9).alias("term"))

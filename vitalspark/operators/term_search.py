@@ -13,7 +13,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.operators.equipment import SEARCHED, gym_workout_summary, library_with_gym_count
+from vitalspark.operators.equipment import (
+    SEARCHED, gym_workout_summary, library_with_gym_count, visible_equipment,
+)
+from vitalspark.skew import join_shared
 
 Tables = Mapping[str, DataFrame]
 GRAM = 3
@@ -34,11 +37,13 @@ def _grams(text: Column, size: int) -> Column:
 def gram_index(texts: DataFrame) -> DataFrame:
     """``gram, id, text`` once per different gram of up to three characters of each (id, text).
 
-    Store it to serve many tables of terms; a new text only adds rows.
+    Store it to serve many tables of terms; a new text only adds rows. Texts without a column
+    ``id`` stand for themselves.
     """
-    known = texts.select("id", "text").filter(F.col("text").isNotNull()).distinct()
+    kept = [c for c in ("id", "text") if c in texts.columns]
+    known = texts.select(*kept).filter(F.col("text").isNotNull()).distinct()
     every = F.concat(*[_grams(F.col("text"), n) for n in range(GRAM + 1)])
-    return known.select(F.explode(F.array_distinct(every)).alias("gram"), "id", "text")
+    return known.select(F.explode(F.array_distinct(every)).alias("gram"), *kept)
 
 
 def _plain_runs(term: Column) -> Column:
@@ -59,7 +64,7 @@ def term_grams(terms: DataFrame) -> DataFrame:
 
 
 def match_terms(index: DataFrame, terms: DataFrame, *, anywhere: bool = True) -> DataFrame:
-    """``term, id`` of each term and each id with a text that holds it, once each.
+    """``term, id`` of each term and each id with a text that holds it, once each; ``term, text`` without ids.
 
     ``terms`` has a column ``term``; % and _ in it keep their LIKE meaning, a backslash takes it
     from them. Null terms match nothing, the empty term every text. Matching is by case: lower
@@ -73,7 +78,9 @@ def match_terms(index: DataFrame, terms: DataFrame, *, anywhere: bool = True) ->
     rarest = wanted.join(sizes, "gram", "left").groupBy("term").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_r")).select("term", "_r.gram")
     pattern = F.concat(F.lit("%") if anywhere else F.lit(""), F.col("term"), F.lit("%"))
-    return rarest.join(held, "gram").filter(F.like("text", pattern)).select("term", "id").distinct()
+    found = rarest.join(held, "gram").filter(F.like("text", pattern))
+    # a term has one gram here and a text has it once
+    return found.select("term", "id").distinct() if "id" in index.columns else found.select("term", "text")
 
 
 def _texts(rows: DataFrame, *columns: str) -> DataFrame:
@@ -81,18 +88,23 @@ def _texts(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("id", F.explode(texts).alias("text"))
 
 
-def _by_term(terms: DataFrame, matched: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of every term as it was written; ``matched`` has lower-case terms as ``_low``."""
-    written = terms.select("term").distinct().withColumn("_low", F.lower("term"))
-    return written.join(matched, "_low").join(rows, "id").select("term", *rows.columns)
-
-
 def search_library_terms(t: Tables, terms: DataFrame) -> DataFrame:
-    """For each term the visible library entries whose name or brand holds it, case aside, with gym counts."""
-    library = t["equipment_library"]
-    low = terms.select(F.lower("term").alias("term"))
-    matched = match_terms(gram_index(_texts(library, "name", "brand")), low)
-    return _by_term(terms, matched.withColumnRenamed("term", "_low"), library_with_gym_count(t))
+    """For each term the visible library entries whose name or brand holds it, case aside, with gym counts.
+
+    Each different text is indexed and compared once; the terms of each different pair of name and
+    brand then meet the entries with that pair. No pairs of terms and entries are sorted out.
+    """
+    pair = {"_name": F.lower("name"), "_brand": F.lower("brand")}
+    pairs = visible_equipment(t["equipment_library"]).select(*[c.alias(n) for n, c in pair.items()]).distinct()
+    held = pairs.select("*", F.posexplode(F.array(*pair)).alias("_at", "text"))
+    matched = match_terms(gram_index(held.select("text")), terms.select(F.lower("term").alias("term")))
+    # a term that is in the name as well counts there
+    named = F.coalesce(F.like("_name", F.concat(F.lit("%"), "term", F.lit("%"))), F.lit(False))
+    hits = held.join(matched, "text").filter((F.col("_at") == 0) | ~named).select(*pair, F.col("term").alias("_low"))
+    written = terms.select("term").distinct().withColumn("_low", F.lower("term"))
+    rows = library_with_gym_count(t)
+    return join_shared(rows.withColumns(pair), hits.join(written, "_low").drop("_low"), list(pair)).select(
+        "term", *rows.columns)
 
 
 def search_gyms_terms(t: Tables, terms: DataFrame) -> DataFrame:
