@@ -150,6 +150,16 @@ def test_last_day_is_the_same_at_any_part_size(spark):
     assert len(bench) == 2003 and len({r[:7] for r in bench}) == 1
 
 
+def test_last_performance_reads_the_sets_once(spark):
+    """Sets are not read again for the sizes of documents, nor for the sessions of the latest days."""
+    t = hot_log(spark)
+    plan = strength.last_performance(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    parts = strength.last_performance(t).collect()
+    want = strength.nest_sets(strength.last_performance_rows(t), ["user_id", "exercise_key"]).collect()
+    assert sorted(parts, key=str) == sorted(want, key=str) and max(len(p.sets) for p in parts) == 2003
+
+
 def test_hot_records(spark):
     got = {r.exercise_name: r for r in strength.personal_records(hot_log(spark)).collect()}
     assert got["Bench Press"].total_sets == 2003 and got["Bench Press"].session_count == 1

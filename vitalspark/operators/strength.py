@@ -189,34 +189,33 @@ def last_performance_rows(
 ) -> DataFrame:
     """Sets of the latest day per exercise (any case) [and machine], one row per set.
 
-    Sets are first reduced to sessions and exercises; the latest day is picked among those
-    few rows, with ``rank() = 1`` cut on the map side, and only its sessions fetch their
-    sets.
+    Sets meet their sessions once and are then dealt by keys and exercise; the sets of each latest
+    day are cut out with ``rank() = 1``, on the map side first.
     """
+    rows = _latest_sets(t, keys, per_machine, machine_id)
+    return _with_header(rows, t, keys)
+
+
+def _latest_sets(t: Tables, keys: Sequence[str], per_machine: bool, machine_id=None) -> DataFrame:
     unit = ["exercise_key", "gym_equipment_id"] if per_machine else ["exercise_key"]
-    sets = optional_equipment_filter(t["workout_sets"], machine_id).withColumn(
-        "exercise_key", F.lower("exercise_name")
+    sets = optional_equipment_filter(t["workout_sets"], machine_id).select(
+        "session_id", "set_number", "gym_equipment_id", *SET_VALUES, F.lower("exercise_name").alias("exercise_key"),
     )
     for c in unit:
         sets = sets.filter(F.col(c).isNotNull())
     sessions = t["workout_sessions"].select(
         F.col("id").alias("session_id"), "user_id", "session_date", F.col("name").alias("workout_name")
     )
-    by = [*keys, *unit]
-    newest = F.rank().over(Window.partitionBy(*by).orderBy(F.col("session_date").desc()))
-    latest = (
-        sets.select("session_id", *unit).distinct()
-        .join(sessions, "session_id")
-        .withColumn("_rank", newest)
-        .filter(F.col("_rank") == 1)
-        .select("session_id", *by, "session_date", "workout_name")
-    )
-    rows = sets.join(latest, ["session_id", *unit])
+    newest = F.rank().over(Window.partitionBy(*keys, *unit).orderBy(F.col("session_date").desc()))
+    return sets.join(sessions, "session_id").withColumn("_rank", newest).filter(F.col("_rank") == 1).drop("_rank")
+
+
+def _with_header(rows: DataFrame, t: Tables, keys: Sequence[str], *more: str) -> DataFrame:
     return join_optional(
         rows, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
     ).select(
         *keys, "exercise_key", "gym_equipment_id", "session_id", "session_date", "workout_name",
-        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES,
+        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES, *more,
     )
 
 
@@ -229,11 +228,15 @@ def nest_sets(rows: DataFrame, by: Sequence[str], part_rows: int = PART_ROWS) ->
 
     The header is that of the first set: lowest set number, then session. A document comes in
     parts of ``part_rows`` sets, numbered by ``part`` from 0; every part has the same header and
-    they follow one another in order.
+    they follow one another in order. Rows may bring the size of their document as ``_size``; else
+    it is counted.
     """
     order = ["set_number", "session_id", *SET_VALUES, "gym_equipment_id"]
     shown = ("set_number", *SET_VALUES)
-    small, large = split_large(rows, by, part_rows)
+    if "_size" in rows.columns:
+        small, large = rows.filter(F.col("_size") <= part_rows), rows.filter(F.col("_size") > part_rows)
+    else:
+        small, large = split_large(rows, by, part_rows)
     whole = small.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(*order, *HEADER))).alias("_sets")
     ).select(
@@ -254,10 +257,14 @@ def nest_sets(rows: DataFrame, by: Sequence[str], part_rows: int = PART_ROWS) ->
 def last_performance(
     t: Tables, *, keys: Sequence[str] = USER, per_machine: bool = False, machine_id=None
 ) -> DataFrame:
-    """Latest day per exercise as one document with its sets."""
-    rows = last_performance_rows(t, keys=keys, per_machine=per_machine, machine_id=machine_id)
+    """Latest day per exercise as one document with its sets.
+
+    Sets are counted where the latest days were cut out, so nothing is read again for the sizes.
+    """
     by = [*keys, "exercise_key"] + (["gym_equipment_id"] if per_machine else [])
-    return nest_sets(rows, by)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    rows = _latest_sets(t, keys, per_machine, machine_id).withColumn("_size", size)
+    return nest_sets(_with_header(rows, t, keys, "_size"), by)
 
 
 def last_performance_fallback(
