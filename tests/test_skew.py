@@ -160,6 +160,21 @@ def test_last_performance_reads_the_sets_once(spark):
     assert sorted(parts, key=str) == sorted(want, key=str) and max(len(p.sets) for p in parts) == 2003
 
 
+def test_fallback_looks_at_the_sets_once(spark):
+    """One join of sets and sessions answers all requests; no side is dealt again for a join of its own."""
+    t = hot_log(spark)
+    requests = spark.createDataFrame(
+        [("u1", "Bench Press", None), ("u1", "BENCH PRESS", None), (None, "Bench Press", None)],
+        "user_id string, exercise_name string, gym_equipment_id string",
+    ).withColumn("user_id", F.when(F.col("user_id").isNotNull(), F.lit(
+        strength.last_performance_rows(t).filter("exercise_key = 'bench press'").first().user_id)))
+    found = strength.last_performance_fallback(t, requests)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Join Inner") == 1
+    rows = found.collect()
+    assert len(rows) == 2003 and {(r.requested_machine, r.used_machine) for r in rows} == {(None, False)}
+
+
 def test_hot_records(spark):
     got = {r.exercise_name: r for r in strength.personal_records(hot_log(spark)).collect()}
     assert got["Bench Press"].total_sets == 2003 and got["Bench Press"].session_count == 1

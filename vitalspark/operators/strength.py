@@ -39,8 +39,8 @@ def machines(t: Tables) -> DataFrame:
     gyms = t["gyms"].select(F.col("id").alias("_gym_id"), F.col("name").alias("gym_name"))
     bridge = t["gym_equipment"].select(F.col("id").alias("machine_id"), "gym_id", "equipment_id")
     return (
-        bridge.join(library, F.col("equipment_id") == F.col("_library_id"), "left")
-        .join(gyms, F.col("gym_id") == F.col("_gym_id"), "left")
+        bridge.join(gyms, F.col("gym_id") == F.col("_gym_id"), "left")
+        .join(library, F.col("equipment_id") == F.col("_library_id"), "left")
         .select("machine_id", "equipment_name", "equipment_brand", "equipment_type", "gym_name")
     )
 
@@ -276,48 +276,50 @@ def last_performance_fallback(
     (which may be null). Returns one row per set with ``used_machine``; for documents
     pass it to ``nest_sets`` by keys, exercise_key, requested_machine and used_machine.
 
-    The latest day of each machine, and of any, come from one reduction of the exercises that are
-    asked for; each request then takes the one day that answers it, and only the sessions of
-    those days fetch their sets.
+    Sets meet their sessions once and are dealt by keys and exercise together with the requests. There
+    windows find the latest day of each machine and of any, and which requests no machine answers; a set
+    then names the requests it answers, so neither side is read or dealt a second time.
     """
-    asked = requests.select(
-        *keys, F.lower("exercise_name").alias("exercise_key"),
-        F.col("gym_equipment_id").alias("requested_machine"),
-    ).distinct()
     unit = [*keys, "exercise_key"]
-    asked = asked.filter(F.col("exercise_key").isNotNull())
-    sets = t["workout_sets"].withColumn("exercise_key", F.lower("exercise_name"))
     sessions = t["workout_sessions"].select(
         F.col("id").alias("session_id"), "user_id", "session_date", F.col("name").alias("workout_name")
     )
-    # only exercises that a request names are looked at further
-    performed = (
-        sets.select("session_id", "exercise_key", "gym_equipment_id").distinct()
-        .join(sessions, "session_id")
-        .join(asked.select(*unit).distinct(), unit, "left_semi")
-    )
-    by_machine = performed.groupBy(*unit, F.col("gym_equipment_id").alias("requested_machine")).agg(
-        F.max("session_date").alias("_day")
-    )
-    ever = by_machine.groupBy(*unit).agg(F.max("_day").alias("_last"))
-    answered = asked.join(ever, unit).join(
-        by_machine.filter(F.col("requested_machine").isNotNull()), [*unit, "requested_machine"], "left"
-    ).select(
-        *unit, "requested_machine", F.col("_day").isNotNull().alias("used_machine"),
-        F.coalesce("_day", "_last").alias("session_date"),
-    )
-    wanted = performed.join(answered, [*unit, "session_date"]).filter(
-        ~F.col("used_machine") | (F.col("gym_equipment_id") == F.col("requested_machine"))
-    ).select(
-        *unit, "session_date", "workout_name", "requested_machine", "used_machine",
-        F.col("session_id").alias("_session"), F.col("exercise_key").alias("_exercise"),
-        F.col("gym_equipment_id").alias("_machine"),
-    )
-    rows = sets.drop("exercise_key").join(
-        wanted, (F.col("session_id") == F.col("_session"))
-        & (F.lower("exercise_name") == F.col("_exercise"))
-        & F.col("gym_equipment_id").eqNullSafe(F.col("_machine")),
+    sets = t["workout_sets"].select(
+        "session_id", "set_number", "gym_equipment_id", *SET_VALUES, F.lower("exercise_name").alias("exercise_key"),
     )
+    performed = sets.join(sessions, "session_id").select(
+        *unit, "gym_equipment_id", "session_id", "session_date", "workout_name", "set_number", *SET_VALUES,
+        F.lit(False).alias("_asked"),
+    ).filter(F.col("session_date").isNotNull())
+    asked = requests.select(
+        *keys, F.lower("exercise_name").alias("exercise_key"), "gym_equipment_id", F.lit(True).alias("_asked")
+    )
+    both = performed.unionByName(asked, allowMissingColumns=True)
+    for k in unit:
+        both = both.filter(F.col(k).isNotNull())
+    on_machine, anywhere = Window.partitionBy(*unit, "gym_equipment_id"), Window.partitionBy(*unit)
+    machine = F.struct(F.col("gym_equipment_id").alias("requested_machine"))
+    known = both.repartition(*unit).withColumn(
+        "_day", F.when(F.col("gym_equipment_id").isNotNull(), F.max("session_date").over(on_machine))
+    ).withColumn("_wanted", F.max("_asked").over(on_machine)).withColumn(
+        "_last", F.max("session_date").over(anywhere)
+    ).withColumn(
+        "_others", F.collect_set(F.when(F.col("_asked") & F.col("_day").isNull(), machine)).over(anywhere)
+    )
+    def answers(requested: Column, used: bool) -> Column:
+        return F.struct(requested.alias("requested_machine"), F.lit(used).alias("used_machine"))
+
+    special = F.filter(
+        F.array(answers(F.col("gym_equipment_id"), True)),
+        lambda _: F.col("_wanted") & (F.col("session_date") == F.col("_day")),
+    )
+    general = F.transform(
+        F.when(F.col("session_date") == F.col("_last"), F.col("_others")).otherwise(F.slice("_others", 1, 0)),
+        lambda m: answers(m["requested_machine"], False),
+    )
+    rows = known.filter(~F.col("_asked")).withColumn(
+        "_for", F.explode(F.concat(special, general))
+    ).select("*", "_for.*")
     return join_optional(
         rows, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
     ).select(
