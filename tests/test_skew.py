@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 import pytest
 
 from tests.fixtures import sample_log
-from vitalspark.operators import strength
+from vitalspark.operators import quality, strength
 from vitalspark.operators.history import page_rows
+from vitalspark.schemas import TableRules
 from vitalspark.sources.seeds import conform
 from vitalspark.skew import first_rows, join_optional, position_parts, rolling_rows, row_positions
 
@@ -233,3 +234,17 @@ def test_hot_session_is_split_at_run_time(spark, build):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_uniqueness_is_counted_in_many_small_tasks(spark):
+    """Also where the table's own making already lies by the unique columns."""
+    made = spark.range(3000).select(
+        (F.col("id") % 1000).alias("gym_id"), (F.col("id") % 7).alias("equipment_id"), F.col("id")
+    ).groupBy("gym_id", "equipment_id").agg(F.max("id").alias("id"))
+    twice = made.unionByName(made.filter("gym_id < 2"))
+    for table, want in ((made, 0), (twice, made.filter("gym_id < 2").count())):
+        rules = TableRules(key="id", unique=(("gym_id", "equipment_id"),))
+        found = quality.validate_constraints({"machines": table}, "machines", rules)
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+        assert len(rows) == want and {r.row_count for r in rows} <= {2}

@@ -13,6 +13,10 @@ from vitalspark.schemas import RULES, TableRules
 from vitalspark.skew import join_optional
 
 
+#: Tasks of a uniqueness check, as a multiple of the configured shuffle partitions.
+KEY_TASKS = 16
+
+
 class Split(NamedTuple):
     """Outcome of a load or change: rows taken and rows set aside with a reason."""
 
@@ -54,14 +58,16 @@ def validate_constraints(
 ) -> DataFrame:
     """Violations of one table: (rule, row_key, row_count).
 
-    Row rules take one pass. Uniqueness is a count per key, with partial counts
-    before the shuffle; a key with a null part never conflicts. A missing parent is a
+    Row rules take one pass. Uniqueness is a count per key; keys are nearly all different, so they
+    are dealt over many small tasks that Spark does not merge again, away from the task that made
+    the table's rows. A key with a null part never conflicts. A missing parent is a
     left join against the distinct parent keys. Rules on absent columns or parent tables are skipped.
     """
     rules = rules or RULES[table]
     df = t[table]
     have = set(df.columns)
     key = F.col(rules.key).cast("string") if rules.key in have else F.lit(None).cast("string")
+    tasks = KEY_TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = []
     checks = row_rules(rules, df.columns)
     if checks:
@@ -77,7 +83,8 @@ def validate_constraints(
         subset = df.filter(where) if where else df
         subset = subset.dropna(subset=list(columns))
         parts.append(
-            subset.groupBy(*columns)
+            subset.select(*columns).repartition(tasks, *columns)
+            .groupBy(*columns)
             .agg(F.count(F.lit(1)).alias("row_count"))
             .filter(F.col("row_count") > 1)
             .select(
