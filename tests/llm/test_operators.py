@@ -454,6 +454,52 @@ def test_the_model_is_the_mean_of_the_groups_models(spark, monkeypatch):
     assert np.array_equal(untouched.flat(), fresh.flat())
 
 
+def test_the_groups_models_meet_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "GROUP_BYTES", 50_000)
+    rng = np.random.default_rng(8)
+    end, rounds = 40, 3
+    classes = np.append(np.arange(end) % (attention.CLASSES - 1) + 1, 0)
+    lines = [(np.arange(n) + s) % end for n, s in zip(rng.integers(1, 90, 2000), rng.integers(0, end, 2000), strict=True)]
+    rows = spark.createDataFrame([(k, bytearray(x.astype("<u2").tobytes())) for k, x in enumerate(lines)],
+                                 "doc_id long, ids binary").repartition(3)
+    groups = sum(2 * len(x) for x in lines) // 50_000 + 1
+    hashes = {r.doc_id: r.h for r in rows.select("doc_id", F.xxhash64("doc_id", "ids").alias("h")).collect()}
+    model = attention.Attention.fresh()
+    assert scoring.fit_all(model, rows, classes, rounds) == sum(len(x) + 1 for x in lines)
+    want = attention.Attention.fresh()
+    adam, dealt = attention.Adam(want), 0
+    for turn in range(rounds):
+        total, seen = 0, 0
+        for group in range(groups):
+            data = [lines[k] for k in sorted(hashes, key=hashes.get)
+                    if hashes[k] % groups == group and (hashes[k] >> 33) % rounds == turn]
+            own = attention.Attention(dict(want.parts))
+            mine = attention.Adam(own, adam.m, adam.s, adam.t)
+            ids, o = scoring.with_end(np.concatenate(data).astype("<u2").view(np.uint8),
+                                      2 * np.cumsum([0, *map(len, data)]), end)
+            own.train(mine, *attention.windows_of(classes[ids], o, attention.CONTEXT))
+            total = total + np.concatenate([own.flat(), mine.m, mine.s, [mine.t]]) * len(ids)
+            seen, dealt = seen + len(ids), dealt + len(data)
+        weights, m, s, t = np.split(total / seen, np.cumsum([len(adam.m)] * 3))
+        want.parts = {k: v.astype(np.float32) for k, v in want.shaped(weights).items()}
+        adam.m, adam.s, adam.t = m.astype(np.float32), s.astype(np.float32), t[0]
+    assert dealt == len(lines) and groups > 2
+    assert np.allclose(model.flat(), want.flat(), atol=1e-3)
+    apart = attention.Attention.fresh()
+    scoring.fit_all(apart, rows, classes)
+    assert not np.allclose(model.flat(), apart.flat(), atol=0.02)
+
+
+def test_hashes_are_found_as_by_binary_search():
+    rng = np.random.default_rng(4)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for n in (0, 1, 5, 3000):
+        word = np.append(np.unique(rng.integers(0, 1 << 64, n, np.uint64)), top)
+        near_by = word[:-1] + np.uint64(1)
+        h = np.concatenate([word, near_by, rng.integers(0, 1 << 64, 500, np.uint64), np.zeros(1, np.uint64)])
+        assert (scoring.finder(word)(h) == np.searchsorted(word, h)).all()
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(1)
     model = attention.Attention.fresh()

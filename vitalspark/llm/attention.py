@@ -30,12 +30,10 @@ def slots(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def neighbours(ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Counts by id of the slots behind it, then before it, in ids laid end to end."""
-    out = np.zeros(len(slot) * 2 * SLOTS, np.int64)
+def neighbours(total: np.ndarray, ids: np.ndarray, slot: np.ndarray) -> None:
+    """Add to the rows of ids the counts of the slots behind them, then before them, in ids laid end to end."""
     for side, (one, other) in enumerate(((ids[:-1], ids[1:]), (ids[1:], ids[:-1]))):
-        out += np.bincount(one * 2 * SLOTS + side * SLOTS + slot[other], minlength=len(out))
-    return out.reshape(len(slot), 2 * SLOTS)
+        np.add.at(total.reshape(-1), one * 2 * SLOTS + side * SLOTS + slot[other], 1)
 
 
 def token_classes(counts: np.ndarray, feature: np.ndarray, starts: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -106,51 +104,72 @@ class Attention:
         return Attention(parts | {"bias": np.zeros(CLASSES, np.float32)})
 
     def forward(self, inputs: np.ndarray):
-        p = self.parts
-        x = p["token"][inputs] + p["place"]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(WIDTH)) + MASK
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        h = x + a @ v
-        return x, q, k, v, a, h, h @ p["out"] + p["bias"]
-
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray):
-        """Natural logs, in windows: of each target's probability, and of any word start's."""
-        p = self.parts
-        x = p["token"][inputs]
-        x += p["place"]
-        a = (x @ (p["q"] / np.float32(np.sqrt(WIDTH)))) @ (x @ p["k"]).transpose(0, 2, 1)
+        p, rows = self.parts, inputs.shape
+        x = (p["token"][inputs] + p["place"]).reshape(-1, WIDTH)
+        q, k, v = (y.reshape(*rows, WIDTH) for y in np.split(x @ self.projections(), 3, axis=-1))
+        a = q @ k.transpose(0, 2, 1)
         np.exp(below(a), out=a)
         a *= SEEN
-        a /= a.sum(-1, keepdims=True)
-        x += a @ (x @ p["v"])
-        z = below(x @ p["out"] + p["bias"])
-        picked = np.take_along_axis(z, targets[..., None], -1)[..., 0]
+        a /= (a @ np.ones((CONTEXT, 1), a.dtype))
+        h = x + (a @ v).reshape(-1, WIDTH)
+        z = h @ p["out"]
+        z += p["bias"]
+        return x, q, k, v, a, h, z.reshape(*rows, CLASSES)
+
+    def projections(self) -> np.ndarray:
+        """Weights of queries, already divided by the root of their width, keys and values side by side."""
+        p = self.parts
+        return np.concatenate([p["q"] / np.float32(np.sqrt(WIDTH)), p["k"], p["v"]], axis=1)
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, last: int = CONTEXT):
+        """Natural logs, for the last positions of windows: of each target's probability, and of any word start's."""
+        p, first = self.parts, CONTEXT - last
+        # a class at a place is always the same vector, so its query, key and value come from a table
+        each = (p["token"] + p["place"][:, None]).reshape(-1, WIDTH)
+        table = np.concatenate([each @ self.projections(), each], axis=1)
+        found = table.take(inputs + np.arange(CONTEXT) * CLASSES, 0)
+        a = found[:, first:, :WIDTH] @ found[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+        np.exp(below(a), out=a)
+        a *= SEEN[first:]
+        h = a @ found[..., 2 * WIDTH:3 * WIDTH]
+        h /= a @ np.ones((CONTEXT, 1), a.dtype)
+        h += found[:, first:, 3 * WIDTH:]
+        z = h.reshape(-1, WIDTH) @ p["out"]
+        z += p["bias"]
+        below(z)
+        picked = z[np.arange(len(z)), targets[:, first:].reshape(-1)]
         np.exp(z, out=z)
-        outer = z[..., :INNER].sum(-1)
-        total = np.log(outer + z[..., INNER:].sum(-1))
-        return picked - total, np.log(outer) - total
+        outer, total = np.log(z @ OUTER.astype(z.dtype)).T
+        shape = len(inputs), last
+        return (picked - total).reshape(shape), (outer - total).reshape(shape)
 
     def gradients(self, inputs, targets, scored):
         p, n = self.parts, np.float32(max(scored.sum(), 1))
         x, q, k, v, a, h, z = self.forward(inputs)
-        d = np.exp(z - z.max(-1, keepdims=True))
-        d /= d.sum(-1, keepdims=True)
-        np.put_along_axis(d, targets[..., None], np.take_along_axis(d, targets[..., None], -1) - 1, -1)
-        d *= scored[..., None] / n
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(0)}
-        dh = d @ p["out"].T
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.float32(np.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh.copy()
-        for name, part in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(x).T @ flat(part)
-            dx += part @ p[name].T
-        g["place"] = dx.sum(0)
-        g["token"] = ONE_HOT[inputs.reshape(-1)].T @ flat(dx)
+        d = z.reshape(-1, CLASSES)
+        np.exp(below(d), out=d)
+        share = (scored.reshape(-1) / n).astype(d.dtype)
+        d *= (share / (d @ np.ones(CLASSES, d.dtype)))[:, None]
+        d[np.arange(len(d)), targets.reshape(-1)] -= share
+        g = {"out": h.T @ d, "bias": np.ones(len(d), d.dtype) @ d}
+        dx = d @ p["out"].T
+        dh = dx.reshape(v.shape)
+        da = dh @ v.transpose(0, 2, 1)
+        da *= a
+        ds = a * (da @ np.ones((CONTEXT, 1), a.dtype))
+        np.subtract(da, ds, out=ds)
+        part = np.empty((*v.shape[:2], 4 * WIDTH), d.dtype)
+        np.matmul(ds, k, out=part[..., :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=part[..., WIDTH:2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dh, out=part[..., 2 * WIDTH:3 * WIDTH])
+        flat = part.reshape(-1, 4 * WIDTH)
+        np.add(dx, flat[:, :3 * WIDTH] @ self.projections().T, out=flat[:, 3 * WIDTH:])
+        # x is a token and a place, so sums by token and by place give all products with x
+        by_token = ONE_HOT.astype(d.dtype)[inputs.reshape(-1)].T @ flat
+        by_place = (np.ones(len(inputs), d.dtype) @ part.reshape(len(inputs), -1)).reshape(CONTEXT, -1)
+        g["token"], g["place"] = by_token[:, 3 * WIDTH:], by_place[:, 3 * WIDTH:]
+        both = p["token"].T @ by_token[:, :3 * WIDTH] + p["place"].T @ by_place[:, :3 * WIDTH]
+        g["q"], g["k"], g["v"] = both[:, :WIDTH] / np.float32(np.sqrt(WIDTH)), both[:, WIDTH:2 * WIDTH], both[:, 2 * WIDTH:]
         return g
 
     def train(self, adam: Adam, inputs, targets, scored, seed: int = 3) -> None:
@@ -171,23 +190,28 @@ class Attention:
 
 
 class Adam:
-    """Adam's running means of a model's gradients."""
+    """Adam's running means of a model's gradients, all weights in one array in order of names."""
 
-    def __init__(self, model: Attention):
-        self.model, self.t = model, 0
-        self.m = {k: np.zeros_like(v) for k, v in model.parts.items()}
-        self.s = {k: np.zeros_like(v) for k, v in model.parts.items()}
+    def __init__(self, model: Attention, m: np.ndarray | None = None, s: np.ndarray | None = None, t: float = 0):
+        self.model, self.t = model, t
+        size = sum(v.size for v in model.parts.values())
+        self.m, self.s = (np.zeros(size, np.float32) if x is None else x.copy() for x in (m, s))
 
     def step(self, gradients: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        m, s, parts = self.m, self.s, self.model.parts
-        for k, g in gradients.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            s[k] = 0.99 * s[k] + 0.01 * g * g
-            parts[k] = (parts[k] - rate * (m[k] / (1 - 0.9 ** self.t))
-                        / (np.sqrt(s[k] / (1 - 0.99 ** self.t)) + 1e-6)).astype(np.float32)
+        m, s, model = self.m, self.s, self.model
+        g = np.concatenate([gradients[k].ravel() for k in sorted(model.parts)])
+        m += np.float32(0.1) * (g - m)
+        s += np.float32(0.01) * (g * g - s)
+        move = np.float32(rate / (1 - 0.9 ** self.t)) * m / (np.sqrt(s / np.float32(1 - 0.99 ** self.t)) + np.float32(1e-6))
+        start = 0
+        for k in sorted(model.parts):
+            v = model.parts[k]
+            model.parts[k] = v - move[start:start + v.size].reshape(v.shape)
+            start += v.size
 
 
-MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 ONE_HOT = np.eye(CLASSES, dtype=np.float32)
+#: Adds the classes that start words, and all classes.
+OUTER = np.stack([np.arange(CLASSES) < INNER, np.ones(CLASSES, bool)], 1).astype(np.float32)

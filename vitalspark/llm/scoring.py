@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm.attention import (
-    CLASSES, CONTEXT, INNER, SLOTS, Adam, Attention, neighbours, slots, token_classes, windows_of,
+    CLASSES, CONTEXT, INNER, SLOTS, STEP, Adam, Attention, neighbours, slots, token_classes, windows_of,
 )
 from vitalspark.llm.chunks import text_bytes
 from vitalspark.llm.common import (
@@ -23,8 +23,9 @@ from vitalspark.llm.words import byte_letters, encoder
 from vitalspark.session import work_dir
 
 CHUNK_BYTES = 8 << 20
-#: Ids, in bytes, that one copy of the attention model trains on.
+#: Ids, in bytes, that one copy of the attention model trains on, and how often the copies meet.
 GROUP_BYTES = 8 << 20
+ROUNDS = 4
 #: Pseudo counts: of an id in its class, and of the class share behind a preceding class.
 ALPHA, KAPPA = 0.1, 5.0
 LOWER_BYTES = LOWER.tobytes()
@@ -104,7 +105,7 @@ def pair_counts(rows: DataFrame, classes: np.ndarray) -> np.ndarray:
         for ids, o in id_blocks(batches, end):
             before = np.append(0, classes[ids[:-1]])
             before[o[:-1]] = 0
-            total += np.bincount(ids * CLASSES + before, minlength=len(total))
+            np.add.at(total, ids * CLASSES + before, 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["key", "n"])
 
@@ -141,6 +142,18 @@ def id_counts(rows: DataFrame, end: int) -> np.ndarray:
     return out
 
 
+def pack(total: np.ndarray) -> bytes:
+    """Counts that are not zero: steps between their places, then the counts."""
+    used = np.flatnonzero(total)
+    return zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + total[used].astype("<i8").tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64), np.frombuffer(raw, "<i8", n, 4 * n)
+
+
 def neighbour_counts(rows: DataFrame, slot: np.ndarray) -> np.ndarray:
     """The ``neighbours`` of each id over all rows; they travel as packed blocks of ids."""
     end, per = len(slot) - 1, 1024
@@ -148,57 +161,88 @@ def neighbour_counts(rows: DataFrame, slot: np.ndarray) -> np.ndarray:
     def count(batches):
         total = np.zeros((end + 1, 2 * SLOTS), np.int64)
         for ids, _ in id_blocks(batches, end):
-            total += neighbours(np.append(end, ids), slot)
+            neighbours(total, np.append(end, ids), slot)
         for k in range(0, end + 1, per):
             if total[k:k + per].any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k]), pa.array([zlib.compress(total[k:k + per].tobytes(), 1)])], ["first", "packed"])
+                    [pa.array([k]), pa.array([pack(total[k:k + per].reshape(-1))])], ["first", "packed"])
 
     def add(block: pa.Table) -> pa.Table:
-        parts = (np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in block.column("packed"))
-        return pa.table({"first": block.column("first")[:1], "packed": [zlib.compress(sum(parts).tobytes(), 1)]})
+        total = np.zeros(per * 2 * SLOTS, np.int64)
+        for x in block.column("packed"):
+            at, n = unpack(x.as_py())
+            total[at] += n
+        return pa.table({"first": block.column("first")[:1], "packed": [pack(total)]})
 
     found = (rows.select("ids").mapInArrow(count, "first long, packed binary").groupBy("first")
              .applyInArrow(add, "first long, packed binary").toLocalIterator())
     out = np.zeros((end + 1, 2 * SLOTS), np.int64)
     for r in found:
-        part = np.frombuffer(zlib.decompress(r.packed), np.int64).reshape(-1, 2 * SLOTS)
-        out[r.first:r.first + len(part)] = part
+        at, n = unpack(r.packed)
+        out.reshape(-1)[r.first * 2 * SLOTS + at] = n
     return out
 
 
-def fit_all(model: Attention, rows: DataFrame, classes: np.ndarray) -> int:
-    """Train on every id of the rows; returns how many ids that were.
+def fit_all(model: Attention, rows: DataFrame, classes: np.ndarray, rounds: int = 1) -> int:
+    """Train on every id of the rows, once; returns how many ids that were.
 
-    Rows are dealt over groups of about ``GROUP_BYTES`` by a hash of id and ids, wherever they lie. Each
-    group trains a copy of the model in the order of the hashes, and the model becomes the mean of
-    the copies, weighted by their ids. Only sums of weights leave a task.
+    Rows are dealt over groups of about ``GROUP_BYTES``, and each group over ``rounds``, by a hash of id and
+    ids, wherever they lie. In a round each group trains a copy of the model in the order of the hashes.
+    Then the copies meet: weights, Adam's running means and its steps become the means of the copies',
+    weighted by their ids, and the next round's copies go on from there. Only sums of these leave a task.
     """
     spark, end = rows.sparkSession, len(classes) - 1
-    size = rows.select(F.sum(F.length("ids"))).first()[0] or 0
-    state = spark.sparkContext.broadcast((classes, model.parts))
-
-    def learn(group: pa.Table) -> pa.Table:
-        kinds, parts = state.value
-        own, seen = Attention(dict(parts)), 0
-        adam = Adam(own)
-        ordered = group.sort_by([("h", "ascending"), ("ids", "ascending")]).combine_chunks()
-        for ids, o in id_blocks(ordered.to_batches(), end):
-            own.train(adam, *windows_of(kinds[ids], o, CONTEXT))
-            seen += len(ids)
-        total = np.append(own.flat(), 1.0) * seen
-        return pa.table({"key": np.arange(len(total)), "w": total})
+    size, trained = rows.select(F.sum(F.length("ids"))).first()[0] or 0, 0
+    adam, groups = Adam(model), size // GROUP_BYTES + 1
+
+    def learner(state):
+        def learn(group: pa.Table) -> pa.Table:
+            kinds, parts, *means = state.value
+            own, seen = Attention(dict(parts)), 0
+            adam = Adam(own, *means)
+            ordered = group.sort_by([("h", "ascending"), ("ids", "ascending")]).combine_chunks()
+            for ids, o in id_blocks(ordered.to_batches(), end):
+                own.train(adam, *windows_of(kinds[ids], o, CONTEXT))
+                seen += len(ids)
+            total = np.concatenate([own.flat(), adam.m, adam.s, [adam.t, 1.0]]) * seen
+            return pa.table({"key": np.arange(len(total)), "w": total})
+
+        return learn
 
     h = F.xxhash64("doc_id", "ids")
-    dealt = rows.select("ids", h.alias("h"), F.pmod(h, F.lit(size // GROUP_BYTES + 1)).alias("group"))
-    found = (dealt.groupBy("group").applyInArrow(learn, "key long, w double")
-             .groupBy("key").agg(F.sum("w").alias("w")).orderBy("key").toArrow())
-    state.destroy()
-    total = found.column("w").to_numpy()
-    if not len(total):
-        return 0
-    model.parts = {k: v.astype(np.float32) for k, v in model.shaped(total[:-1] / total[-1]).items()}
-    return int(total[-1])
+    # groups go by the whole hash, rounds by its upper bits alone
+    dealt = rows.select("ids", h.alias("h"), F.pmod(h, F.lit(groups)).alias("group"),
+                        F.pmod(F.shiftright(h, 33), F.lit(rounds)).alias("round"))
+    for k in range(rounds):
+        part = dealt.filter(F.col("round") == k).drop("round")
+        state = spark.sparkContext.broadcast((classes, model.parts, adam.m, adam.s, adam.t))
+        found = (part.groupBy("group").applyInArrow(learner(state), "key long, w double")
+                 .groupBy("key").agg(F.sum("w").alias("w")).orderBy("key").toArrow())
+        state.destroy()
+        total = found.column("w").to_numpy()
+        if not len(total):
+            continue
+        trained += int(total[-1])
+        weights, m, s, t = np.split(total[:-1] / total[-1], np.cumsum([len(adam.m)] * 3))
+        model.parts = {n: v.astype(np.float32) for n, v in model.shaped(weights).items()}
+        adam.m, adam.s, adam.t = m.astype(np.float32), s.astype(np.float32), float(t[0])
+    return trained
+
+
+def finder(word: np.ndarray):
+    """``np.searchsorted`` in sorted evenly spread hashes, of which the last is the highest there is."""
+    shift = np.uint64(63 - min(len(word).bit_length(), 24))
+    edge = np.searchsorted(word, np.arange(1 << 64 - int(shift), dtype=np.uint64) << shift)
+
+    def find(h: np.ndarray) -> np.ndarray:
+        at = edge[h >> shift]
+        low = np.flatnonzero(word[at] < h)
+        while len(low):
+            at[low] += 1
+            low = low[word[at[low]] < h[low]]
+        return at
+
+    return find
 
 
 def with_end(data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +286,7 @@ def score_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     id_n = id_counts(training, vocabulary)
     classes = token_classes(id_n, neighbour_counts(training, slots(id_n)), begins)
     model = Attention.fresh()
-    fit_all(model, training, classes)
+    fit_all(model, training, classes, ROUNDS)
     pairs = pair_counts(table, classes)
     # a word has one id that starts it, so these are the words of each class of starts
     in_class = np.bincount(classes, weights=pairs.sum(1, dtype=np.float64), minlength=CLASSES)
@@ -265,13 +309,14 @@ def score_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
         order = np.argsort(word)
         word = np.append(word[order], np.uint64(0xFFFFFFFFFFFFFFFF))
         c = np.append(right.column("c").to_numpy()[order], 0)
+        find = finder(word)
         n = chunk.num_rows
         out = {k: np.zeros(n, t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64),
                                               ("base_score", float), ("score", float))}
         end_log = np.log10((end_count + 1) / (n_all + v_all + 1))
         counted, words_before = [], np.zeros(n + 1, np.int64)
         for lo, hi, h, bounds in words_in(chunk):
-            at = np.searchsorted(word, h)
+            at = find(h)
             seen = np.where(word[at] == h, c[at], 0)
             doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
             logs = np.log10((seen + 1) / (n_all + v_all + 1))
@@ -288,8 +333,9 @@ def score_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
             before = np.append(0, kinds[:-1])
             before[o[:-1]] = 0
             inputs, targets, scored = windows_of(kinds, o)
-            parts_of = [[x[scored[k:k + 1024]] for x in attention.log_probabilities(
-                inputs[k:k + 1024], targets[k:k + 1024])] for k in range(0, len(inputs), 1024)]
+            new = scored[:, -STEP:]
+            parts_of = [[x[new[k:k + 256]] for x in attention.log_probabilities(
+                inputs[k:k + 256], targets[k:k + 256], STEP)] for k in range(0, len(inputs), 256)]
             logs, outer = (np.concatenate(x).astype(float) for x in zip(*parts_of, strict=True))
             first = np.flatnonzero(kinds < INNER)
             kind = logs[first] - outer[first]
