@@ -22,6 +22,7 @@ from vitalspark.llm import (
     attention, bpe, classifier, exact, licenses, near, packing, phrases, rules, scoring, search,
     suffixes, tokens, trie,
 )
+from vitalspark.llm import words as words_of
 from vitalspark.llm.words import WordEncoder
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -537,6 +538,22 @@ def test_windows_score_each_token_once():
 
 # classifier
 
+def test_the_quality_stage_drops_what_workers_remember_of_words(spark, monkeypatch):
+    own = words_of.encoder(BYTE, True)
+    before = own.encode("red blue tree red")
+    assert len(own)
+    words_of.forget()
+    assert not own and not own.older and own.encode("red blue tree red") == before
+
+    def told():
+        raise RuntimeError("words are dropped")
+
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(classifier, "forget", told)
+    with pytest.raises(Exception, match="words are dropped"):
+        classifier.good_documents(docs, labels).collect()
+
+
 def test_classifier(spark):
     docs, labels = labelled(spark)
     got = by_id(classifier.quality_scores(docs, labels))

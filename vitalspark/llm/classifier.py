@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vitalspark.llm.common import (
     SPACES, blocks, body, hashed_sample, map_arrow, prefix_hash, remainder, span_hash, spans, utf8,
 )
+from vitalspark.llm.words import forget
 
 #: Hashed features; each n-gram sets one of them.
 FEATURES = 1 << 16
@@ -212,6 +213,10 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             flags = indicators(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             yield rows[lo:hi].filter(pa.array(model.scores(flags) >= threshold))
 
+    def run(batches):
+        forget()  # a worker may have packed texts before
+        for batch in batches:
+            yield from keep(batch)
+
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", whole.alias("whole_text")).mapInArrow(
-        lambda batches: (out for b in batches for out in keep(b)), docs.schema)
+    return docs.select("*", whole.alias("whole_text")).mapInArrow(run, docs.schema)

@@ -137,3 +137,10 @@ def encoder(path: str, byte_level: bool) -> WordEncoder:
     if key not in _encoders:
         _encoders[key] = WordEncoder(path, byte_level)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop what the worker remembers of words, for stages that have no use for it."""
+    for words in _encoders.values():
+        words.clear()
+        words.older = {}
