@@ -633,6 +633,15 @@ def test_licenses(spark):
         {("", "MIT"): 2, ("x", "MIT"): 2})
 
 
+def test_licenses_never_send_pairs_of_directories_to_the_driver(spark):
+    files = spark.createDataFrame([(f"{i}/a/b/c", licenses.TEMPLATES["MIT"]) for i in range(20)], "path string, text string")
+    found = licenses.scan(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate explode")]
+    assert "Broadcast" not in above[above.rindex("Join "):] and above.rindex("SortMergeJoin ") > above.rfind("HashJoin ")
+    assert {r.found_in for r in found.collect()} == {f"{i}/a/b" for i in range(20)}
+
+
 def test_licenses_of_real_files(spark):
     rng = random.Random(7)
     wrapped = ["#!/bin/sh", "# This program is free software; you can redistribute it and/or modify",

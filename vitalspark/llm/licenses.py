@@ -286,9 +286,11 @@ def scan(files: DataFrame, templates: Mapping[str, str | Sequence[str]] | None =
                .agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license", "score")).alias("top"))
                .select(F.col("dir").alias("found_in"), F.col("top.license").alias("given"),
                        F.col("top.score").alias("given_score")))
+    # Sorted, never broadcast: Spark sizes the pairs by the file of ``own`` and doesn't see that each directory
+    # becomes one row per level, so it would collect them all in the driver.
     above = (own.select("dir").distinct()
              .withColumn("found_in", F.explode(ancestors(F.col("dir"))))
-             .join(holders, "found_in"))
+             .hint("merge").join(holders, "found_in"))
     nearest = (above.groupBy("dir").agg(F.max(F.struct(
         F.length("found_in").alias("depth"), "found_in", "given", "given_score")).alias("near"))
         .select("dir", "near.found_in", "near.given", "near.given_score"))
