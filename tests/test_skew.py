@@ -161,6 +161,17 @@ def test_last_performance_reads_the_sets_once(spark):
     assert sorted(parts, key=str) == sorted(want, key=str) and max(len(p.sets) for p in parts) == 2003
 
 
+def test_last_performance_deals_sets_once(spark, monkeypatch):
+    """By user and exercise there is one exchange for days, places, headers and lists, whatever the size of a part."""
+    t = hot_log(spark)
+    plan = strength.last_performance(t)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hash" in line and "exercise_key" in line.partition("ENSURE")[0] for line in plan.splitlines()) == 1
+    monkeypatch.setattr(strength, "PART_ROWS", 7)
+    parts = strength.last_performance(t).collect()
+    want = strength.nest_sets(strength.last_performance_rows(t), ["user_id", "exercise_key"], 7).collect()
+    assert len(parts) > 2003 // 7 and sorted(parts, key=str) == sorted(want, key=str)
+
+
 def test_fallback_looks_at_the_sets_once(spark):
     """One join of sets and sessions answers all requests; no side is dealt again for a join of its own."""
     t = hot_log(spark)

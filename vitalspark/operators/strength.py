@@ -192,12 +192,11 @@ def last_performance_rows(
     Sets meet their sessions once and are then dealt by keys and exercise; the sets of each latest
     day are cut out with ``rank() = 1``, on the map side first.
     """
-    rows = _latest_sets(t, keys, per_machine, machine_id)
-    return _with_header(rows, t, keys)
+    unit = ["exercise_key", "gym_equipment_id"] if per_machine else ["exercise_key"]
+    return _with_header(_latest(_dated_sets(t, unit, machine_id), [*keys, *unit]), t, keys)
 
 
-def _latest_sets(t: Tables, keys: Sequence[str], per_machine: bool, machine_id=None) -> DataFrame:
-    unit = ["exercise_key", "gym_equipment_id"] if per_machine else ["exercise_key"]
+def _dated_sets(t: Tables, unit: Sequence[str], machine_id=None) -> DataFrame:
     sets = optional_equipment_filter(t["workout_sets"], machine_id).select(
         "session_id", "set_number", "gym_equipment_id", *SET_VALUES, F.lower("exercise_name").alias("exercise_key"),
     )
@@ -206,21 +205,28 @@ def _latest_sets(t: Tables, keys: Sequence[str], per_machine: bool, machine_id=N
     sessions = t["workout_sessions"].select(
         F.col("id").alias("session_id"), "user_id", "session_date", F.col("name").alias("workout_name")
     )
-    newest = F.rank().over(Window.partitionBy(*keys, *unit).orderBy(F.col("session_date").desc()))
-    return sets.join(sessions, "session_id").withColumn("_rank", newest).filter(F.col("_rank") == 1).drop("_rank")
+    return sets.join(sessions, "session_id")
+
 
+def _latest(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    newest = F.rank().over(Window.partitionBy(*by).orderBy(F.col("session_date").desc()))
+    return rows.withColumn("_rank", newest).filter(F.col("_rank") == 1).drop("_rank")
 
-def _with_header(rows: DataFrame, t: Tables, keys: Sequence[str], *more: str) -> DataFrame:
+
+def _with_header(rows: DataFrame, t: Tables, keys: Sequence[str]) -> DataFrame:
     return join_optional(
         rows, machines(t), "gym_equipment_id", "machine_id", ["session_id", "set_number"]
     ).select(
         *keys, "exercise_key", "gym_equipment_id", "session_id", "session_date", "workout_name",
-        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES, *more,
+        "equipment_name", "equipment_brand", "gym_name", "set_number", *SET_VALUES,
     )
 
 
 SET_VALUES = ("reps", "weight_lbs", "rpe")
 HEADER = ("session_date", "workout_name", "equipment_name", "equipment_brand", "gym_name")
+#: Order of the sets of a document, and what it shows of each.
+SET_ORDER = ("set_number", "session_id", *SET_VALUES, "gym_equipment_id")
+SHOWN = ("set_number", *SET_VALUES)
 
 
 def nest_sets(rows: DataFrame, by: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
@@ -228,43 +234,48 @@ def nest_sets(rows: DataFrame, by: Sequence[str], part_rows: int = PART_ROWS) ->
 
     The header is that of the first set: lowest set number, then session. A document comes in
     parts of ``part_rows`` sets, numbered by ``part`` from 0; every part has the same header and
-    they follow one another in order. Rows may bring the size of their document as ``_size``; else
-    it is counted.
+    they follow one another in order.
     """
-    order = ["set_number", "session_id", *SET_VALUES, "gym_equipment_id"]
-    shown = ("set_number", *SET_VALUES)
-    if "_size" in rows.columns:
-        small, large = rows.filter(F.col("_size") <= part_rows), rows.filter(F.col("_size") > part_rows)
-    else:
-        small, large = split_large(rows, by, part_rows)
+    small, large = split_large(rows, by, part_rows)
     whole = small.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(*order, *HEADER))).alias("_sets")
+        F.sort_array(F.collect_list(F.struct(*SET_ORDER, *HEADER))).alias("_sets")
     ).select(
         *by, F.lit(0).alias("part"), *[F.col("_sets")[0][c].alias(c) for c in HEADER],
-        F.transform("_sets", lambda s: F.struct(*[s[c].alias(c) for c in shown])).alias("sets"),
+        F.transform("_sets", lambda s: F.struct(*[s[c].alias(c) for c in SHOWN])).alias("sets"),
     )
     placed = position_parts(
-        large, by, F.col("set_number"), [F.col(c).asc_nulls_first() for c in order], part_rows
+        large, by, F.col("set_number"), [F.col(c).asc_nulls_first() for c in SET_ORDER], part_rows
     )
     first = placed.filter(F.col("place") == 1).select(*by, *HEADER)
-    lists = placed.groupBy(*by, "part").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("place", *shown))),
-        lambda s: F.struct(*[s[c].alias(c) for c in shown]),
-    ).alias("sets"))
+    lists = _part_lists(placed, by)
     return whole.unionByName(join_shared(lists, first, by).select(*by, "part", *HEADER, "sets"))
 
 
+def _part_lists(placed: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    return placed.groupBy(*by, "part").agg(*more, F.transform(
+        F.sort_array(F.collect_list(F.struct("place", *SHOWN))),
+        lambda s: F.struct(*[s[c].alias(c) for c in SHOWN]),
+    ).alias("sets"))
+
+
 def last_performance(
     t: Tables, *, keys: Sequence[str] = USER, per_machine: bool = False, machine_id=None
 ) -> DataFrame:
-    """Latest day per exercise as one document with its sets.
+    """Latest day per exercise as one document with its sets, in parts as ``nest_sets`` gives them.
 
-    Sets are counted where the latest days were cut out, so nothing is read again for the sizes.
+    Sets meet the machine table and are then dealt once, by keys and exercise: the latest days, the places
+    of the sets, the header and the lists follow in place. The sets of one latest day are thus sorted in one
+    task, on disk where memory is short, and listed part by part.
     """
-    by = [*keys, "exercise_key"] + (["gym_equipment_id"] if per_machine else [])
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = _latest_sets(t, keys, per_machine, machine_id).withColumn("_size", size)
-    return nest_sets(_with_header(rows, t, keys, "_size"), by)
+    unit = ["exercise_key", "gym_equipment_id"] if per_machine else ["exercise_key"]
+    by = [*keys, *unit]
+    rows = _latest(_with_header(_dated_sets(t, unit, machine_id), t, keys), by)
+    order = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_first() for c in (*SET_ORDER, *HEADER)])
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.select(
+        *by, *SHOWN, F.row_number().over(order).alias("place"), F.first(F.struct(*HEADER)).over(so_far).alias("_header")
+    ).withColumn("part", F.floor((F.col("place") - 1) / PART_ROWS).cast("int"))
+    return _part_lists(placed, by, F.first("_header").alias("_header")).select(*by, "part", "_header.*", "sets")
 
 
 def last_performance_fallback(
