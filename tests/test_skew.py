@@ -9,6 +9,7 @@ import pytest
 from tests.fixtures import sample_log
 from vitalspark.operators import quality, strength
 from vitalspark.operators.history import page_rows
+from vitalspark.plans import strength_queries
 from vitalspark.schemas import TableRules
 from vitalspark.sources.seeds import conform
 from vitalspark.skew import first_rows, join_optional, position_parts, rolling_rows, row_positions
@@ -187,6 +188,26 @@ def test_fallback_looks_at_the_sets_once(spark):
     assert len(rows) == 2003 and {(r.requested_machine, r.used_machine) for r in rows} == {(None, False)}
 
 
+def test_every_set_may_ask_without_another_join(spark):
+    """Requests of the sets themselves are those of a table made from the sets, undated sessions included."""
+    t = dict(hot_log(spark))
+    number = F.col("set_number").cast("int")
+    t["workout_sets"] = t["workout_sets"].withColumn(
+        "gym_equipment_id", F.when(number % 3 == 1, "m1").when(number % 3 == 2, "m2"))
+    t["workout_sessions"] = t["workout_sessions"].unionByName(
+        t["workout_sessions"].limit(1).withColumn("id", F.lit("undated")).withColumn("session_date", F.lit(None).cast("date")))
+    t["workout_sets"] = t["workout_sets"].unionByName(t["workout_sets"].limit(3).withColumn(
+        "session_id", F.lit("undated")).withColumn("gym_equipment_id", F.lit("elsewhere")))
+    machine = F.when(number % 5 == 0, F.lit("none such")).otherwise(F.col("gym_equipment_id"))
+    table = strength.performed_sets(t).select("user_id", "exercise_name", machine.alias("gym_equipment_id"))
+    got = strength.last_performance_fallback(t, machine).collect()
+    want = strength.last_performance_fallback(t, table).collect()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r.requested_machine for r in got} == {"m1", "m2", "none such", "elsewhere", None}
+    plan = strength_queries._fallback(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+
+
 def test_hot_records(spark):
     got = {r.exercise_name: r for r in strength.personal_records(hot_log(spark)).collect()}
     assert got["Bench Press"].total_sets == 2003 and got["Bench Press"].session_count == 1

@@ -279,12 +279,14 @@ def last_performance(
 
 
 def last_performance_fallback(
-    t: Tables, requests: DataFrame, *, keys: Sequence[str] = USER
+    t: Tables, requests: DataFrame | Column, *, keys: Sequence[str] = USER
 ) -> DataFrame:
     """Per requested (keys, exercise, machine): machine history, else that of any machine.
 
     ``requests`` has the key columns, ``exercise_name`` and ``gym_equipment_id``
-    (which may be null). Returns one row per set with ``used_machine``; for documents
+    (which may be null). Where every set asks for its own keys and exercise it is the machine asked for,
+    as a column over the columns of a set; requests then come from the rows of the sets, which
+    are not read and joined a second time. Returns one row per set with ``used_machine``; for documents
     pass it to ``nest_sets`` by keys, exercise_key, requested_machine and used_machine.
 
     Sets meet their sessions once and are dealt by keys and exercise together with the requests. There
@@ -292,20 +294,22 @@ def last_performance_fallback(
     then names the requests it answers, so neither side is read or dealt a second time.
     """
     unit = [*keys, "exercise_key"]
-    sessions = t["workout_sessions"].select(
-        F.col("id").alias("session_id"), "user_id", "session_date", F.col("name").alias("workout_name")
-    )
-    sets = t["workout_sets"].select(
-        "session_id", "set_number", "gym_equipment_id", *SET_VALUES, F.lower("exercise_name").alias("exercise_key"),
-    )
-    performed = sets.join(sessions, "session_id").select(
-        *unit, "gym_equipment_id", "session_id", "session_date", "workout_name", "set_number", *SET_VALUES,
-        F.lit(False).alias("_asked"),
-    ).filter(F.col("session_date").isNotNull())
-    asked = requests.select(
-        *keys, F.lower("exercise_name").alias("exercise_key"), "gym_equipment_id", F.lit(True).alias("_asked")
-    )
-    both = performed.unionByName(asked, allowMissingColumns=True)
+    seen = ("session_id", "session_date", "workout_name", "set_number", *SET_VALUES)
+    performed = performed_sets(t).withColumn("exercise_key", F.lower("exercise_name"))
+    if isinstance(requests, Column):
+        both = performed.withColumn("_machine", requests).withColumn(
+            "_asked", F.explode(F.array(F.lit(False), F.lit(True)))
+        ).select(
+            *unit, F.when(F.col("_asked"), F.col("_machine")).otherwise(F.col("gym_equipment_id")).alias("gym_equipment_id"),
+            *[F.when(~F.col("_asked"), F.col(c)).alias(c) for c in seen], "_asked",
+        ).filter(F.col("_asked") | F.col("session_date").isNotNull())
+    else:
+        asked = requests.select(
+            *keys, F.lower("exercise_name").alias("exercise_key"), "gym_equipment_id", F.lit(True).alias("_asked")
+        )
+        both = performed.filter(F.col("session_date").isNotNull()).select(
+            *unit, "gym_equipment_id", *seen, F.lit(False).alias("_asked")
+        ).unionByName(asked, allowMissingColumns=True)
     for k in unit:
         both = both.filter(F.col(k).isNotNull())
     on_machine, anywhere = Window.partitionBy(*unit, "gym_equipment_id"), Window.partitionBy(*unit)

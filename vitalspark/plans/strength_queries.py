@@ -184,11 +184,8 @@ from ({JOINED})"""
 
 
 def _fallback(t):
-    requests = strength.performed_sets(t).select(
-        "user_id", "exercise_name",
-        F.when(F.col("rpe") > 7, F.lit(1)).otherwise(F.col("gym_equipment_id")).alias("gym_equipment_id"),
-    )
-    return strength.last_performance_fallback(t, requests)
+    machine = F.when(F.col("rpe") > 7, F.lit(1)).otherwise(F.col("gym_equipment_id"))
+    return strength.last_performance_fallback(t, machine)
 
 
 query(
